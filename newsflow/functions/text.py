@@ -18,7 +18,8 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 BRACKETED_WORD = r"\[?[\p{L}\p{N}_]+\]?"
-CJK_OR_WORD = r"\p{IsHan}|[^\P{L}\p{IsHan}]+"
+HAN = r"\x{3005}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}"
+CJK_OR_WORD = rf"[\p{{L}}&&[^{HAN}]]+|[{HAN}]"
 PLACE_OR_TOPIC = r"(?d)\{%.+?%\}"
 MENTION = r"(?d)@.+?( |$)"
 ZERO_WIDTH_SPACE = "\u200b"
@@ -76,16 +77,18 @@ def one_sentence_per_line(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Space-joined token n-grams, empty when the text is shorter than ``n``."""
-    if n == 1:
-        return tokens
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-            lambda i: F.array_join(F.slice(tokens, i, n), " "),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    """Space-joined token n-grams, empty when the text is shorter than ``n``.
+
+    The token array is zipped with itself shifted by one, so pass a materialised
+    column rather than an expensive expression.
+    """
+    grams = tokens
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    for shift in range(1, n):
+        grams = F.zip_with(
+            F.slice(grams, 1, count), F.slice(tokens, shift + 1, count), lambda a, b: F.concat_ws(" ", a, b)
+        )
+    return grams
 
 
 def fold_characters(text: Column, source: str, target: str) -> Column:

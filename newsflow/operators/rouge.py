@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsflow.functions import text as X
 from newsflow.operators.metrics import round_scores
@@ -41,31 +42,32 @@ def rouge_n(df: DataFrame, n: int, pred: str = "pred_tokens", ref: str = "ref_to
     return _add(with_grams, f"rouge{n}", overlap, F.size("_p"), F.size("_r")).drop("_p", "_r")
 
 
-def lcs_length(a, b) -> int:
-    """Length of the longest common subsequence of two token sequences."""
-    if a is None or b is None or len(a) == 0 or len(b) == 0:
-        return 0
-    if len(a) > len(b):
-        a, b = b, a
-    where: dict[str, int] = {}
-    for i, token in enumerate(a):
-        where[token] = where.get(token, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for token in b:
-        match = row & where.get(token, 0)
-        row = ((row + match) | (row - match)) & full
-    return len(a) - row.bit_count()
+def _lcs_batches(a: Column, b: Column) -> Column:
+    """LCS length of two token columns. The helper travels with the task, so workers need no package."""
 
+    def length(x, y) -> int:
+        if x is None or y is None or len(x) == 0 or len(y) == 0:
+            return 0
+        short, long = (x, y) if len(x) <= len(y) else (y, x)
+        where: dict[str, int] = {}
+        for i, token in enumerate(short):
+            where[token] = where.get(token, 0) | (1 << i)
+        full = (1 << len(short)) - 1
+        row = full
+        for token in long:
+            match = row & where.get(token, 0)
+            row = ((row + match) | (row - match)) & full
+        return len(short) - row.bit_count()
 
-@F.pandas_udf("int")
-def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int32")
+    def batch(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([length(p, q) for p, q in zip(x, y)], dtype="int32")
+
+    return F.pandas_udf(batch, T.IntegerType())(a, b)
 
 
 def rouge_l(df: DataFrame, pred: str = "pred_tokens", ref: str = "ref_tokens") -> DataFrame:
     """``rougel_{p,r,f}`` from the LCS of the whole texts."""
-    scored = df.withColumn("_lcs", _lcs(F.col(pred), F.col(ref)))
+    scored = df.withColumn("_lcs", _lcs_batches(F.col(pred), F.col(ref)))
     return _add(scored, "rougel", F.col("_lcs"), F.size(pred), F.size(ref)).drop("_lcs")
 
 

@@ -127,8 +127,8 @@ def block_repeat_ngrams(candidates: DataFrame, n: int = 2, id_col: str = "id") -
     The best rank of each (article, n-gram) decides, so no pairs of sentences are built.
     """
     ranked = rank_candidates(candidates, id_col)
-    grams = F.array_distinct(X.ngrams(X.words(F.col("sentence")), n))
-    exploded = ranked.select(id_col, "rank", F.explode(grams).alias("gram"))
+    words = ranked.select(id_col, "rank", X.words(F.col("sentence")).alias("_words"))
+    exploded = words.select(id_col, "rank", F.explode(F.array_distinct(X.ngrams(F.col("_words"), n))).alias("gram"))
     first_use = F.min("rank").over(Window.partitionBy(id_col, "gram"))
     repeats = (
         exploded.withColumn("_first", first_use)

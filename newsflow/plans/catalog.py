@@ -1,6 +1,6 @@
 """All named queries."""
 
-from newsflow.plans import crawling, prep, scoring  # noqa: F401
+from newsflow.plans import crawling, models, prep, scoring, tokens  # noqa: F401
 from newsflow.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -10,7 +10,7 @@ from newsflow.operators import crawl
 from newsflow.plans.registry import query
 from newsflow.plans.tables import (
     ACCENTED, FOLDED, SQL_ARTICLE, SQL_MAINTEXT, SQL_PARAGRAPHS, SQL_ROWS, SQL_TITLE, quote, sql_strip, sql_url_key,
-    table, with_,
+    table, texts, with_,
 )
 
 SEGMENT = r"^[a-z]+://[^/]+/([^/?#]*)"
@@ -34,7 +34,7 @@ SELF_SQL = (
 
 
 def site_links(spark, sf):
-    return crawl.resolve_links(crawl.extract_links(table(spark, sf, "pages")))
+    return crawl.resolve_links(crawl.extract_links(texts(spark, sf, "pages", "page_id")))
 
 
 def all_links(spark, sf):
@@ -81,7 +81,7 @@ def crawl_frontier_chunked(spark, sf):
 
 @query("extract_links", with_(*LINKS_SQL, "SELECT page_id, pos, href FROM links"))
 def extract_links(spark, sf):
-    return crawl.extract_links(table(spark, sf, "pages")).select("page_id", "pos", "href")
+    return crawl.extract_links(texts(spark, sf, "pages", "page_id")).select("page_id", "pos", "href")
 
 
 @query("resolve_urls", with_(*LINKS_SQL, "SELECT page_id, pos, link, link_key FROM keyed"))
@@ -101,13 +101,13 @@ def links_to_fetch(spark, sf):
 
 @query("extract_title", f"SELECT page_id, {SQL_TITLE} AS title FROM pages")
 def extract_title(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.title(F.col("html")).alias("title"))
+    return texts(spark, sf, "pages", "page_id").select("page_id", H.title(F.col("html")).alias("title"))
 
 
 @query("extract_maintext", f"SELECT page_id, CAST(len({SQL_PARAGRAPHS}) AS INTEGER) AS paragraphs, {SQL_MAINTEXT} AS maintext FROM pages")
 def extract_maintext(spark, sf):
     html = F.col("html")
-    return table(spark, sf, "pages").select(
+    return texts(spark, sf, "pages", "page_id").select(
         "page_id", F.size(H.paragraphs(H.article_node(html))).alias("paragraphs"), H.maintext(html).alias("maintext")
     )
 
@@ -117,7 +117,7 @@ def extract_maintext(spark, sf):
     "SELECT o_orderkey AS id, regexp_replace(trim('2022-' || replace(chr(13) || chr(10) || strftime(o_orderdate, '  %m/%d %H:%M') || chr(10), '/', '-'), "
     "chr(13) || chr(10) || ' '), '[\\n\\r]', '', 'g') AS padded, "
     "'2022-' || strftime(o_orderdate, '%m-%d %H:%M') AS short, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS full, "
-    "strftime(o_orderdate, '2022-%m-%d') AS parsed_day FROM orders",
+    "strftime(try_strptime(strftime(o_orderdate, '2022-%m-%d'), '%Y-%m-%d'), '%Y-%m-%d') AS parsed_day FROM orders",
 )
 def normalize_publish_time(spark, sf):
     """List dates as ``MM/dd`` padded by line breaks, as ``MM-dd`` and as full dates."""
@@ -146,7 +146,7 @@ def convert_script(spark, sf):
 @query("assemble_articles", f"SELECT '' AS date_publish, '' AS id, {SQL_MAINTEXT} AS maintext, "
        f"regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS source_domain, url, {SQL_TITLE} AS title FROM pages")
 def assemble_articles(spark, sf):
-    return crawl.assemble_articles(table(spark, sf, "pages"), F.regexp_extract("url", SEGMENT, 1))
+    return crawl.assemble_articles(texts(spark, sf, "pages", "page_id"), F.regexp_extract("url", SEGMENT, 1))
 
 
 @query("quarantine_bad_records", with_(
@@ -161,7 +161,7 @@ def assemble_articles(spark, sf):
        f"WHEN len(regexp_extract_all({SQL_ARTICLE}, '(?is)<p>(.*?)</p>', 1)) = 0 THEN 'no paragraph' END AS reason FROM variants"))
 def quarantine_bad_records(spark, sf):
     """Every stored page, whole and damaged in four ways."""
-    pages = table(spark, sf, "pages").select("page_id", "html")
+    pages = texts(spark, sf, "pages", "page_id").select("page_id", "html")
     damage = {
         "whole": F.col("html"),
         "no title": F.replace(F.col("html"), F.lit("<title"), F.lit("<h6")),

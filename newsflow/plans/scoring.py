@@ -43,7 +43,7 @@ def label_distribution(spark, sf):
        "count(*) OVER () AS num_labels FROM s"))
 def distinct_labels(spark, sf):
     index = stage(labels.label_index(articles(spark, sf), label="source_domain"), "labels")
-    return index.withColumn("num_labels", F.lit(index.count()))
+    return index.withColumn("num_labels", F.lit(index.count()).cast("bigint"))
 
 
 @query("build_label_index", with_("u AS (SELECT lang AS l FROM documents UNION SELECT role FROM conversations)",

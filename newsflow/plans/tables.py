@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.functions.text import WHITESPACE
+from newsflow.sources.readers import scan_table
 
 # ---------------------------------------------------------------------------
 # Fixed values of the queries over the supplied tables.
@@ -26,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose texts are parsed or tokenised, spread over the cores if it is small."""
+    return scan_table(spark, f"{sf_dir}/{name}.parquet", key)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: the text before the first line break is the title."""
     return table(spark, sf_dir, "documents").select(
@@ -37,6 +43,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, text)`` of all documents, for work on the texts."""
+    return texts(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text")
+
+
 def labelled(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
     """``(id, text, label)``: documents with their quality label."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -78,7 +89,8 @@ def sql_tokens(x: str, stop: bool = False) -> str:
 
 
 def sql_words(x: str) -> str:
-    return rf"regexp_extract_all({x}, '\p{{Han}}|[^\P{{L}}\p{{Han}}]+')"
+    han = r"\x{3005}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}"
+    return rf"regexp_extract_all({x}, '[^\P{{L}}{han}]+|[{han}]')"
 
 
 def sql_sentences(x: str) -> str:
