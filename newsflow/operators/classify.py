@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import text as X
 from newsflow.operators.features import by_document, svm_tokens, term_counts
-from newsflow.operators.labels import MAX_LABELS
 from newsflow.operators.lookup import lookup_join
 from newsflow.session import stage
 
 SCORE_DIGITS = 6
+# Classes become columns of the term table.
+MAX_CLASSES = 1_000
 
 
 @dataclass
@@ -46,9 +47,9 @@ def train_naive_bayes(df: DataFrame, tokens: Column, label: str = "label", smoot
     """
     sizes = df.groupBy(label).agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.size(tokens)).alias("tokens")
-    ).orderBy(label).limit(MAX_LABELS + 1).collect()
-    if len(sizes) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} classes")
+    ).orderBy(label).limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     labels = [row[label] for row in sizes]
     counts = (
         df.select(label, F.explode(tokens).alias("term"))

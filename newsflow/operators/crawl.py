@@ -98,7 +98,8 @@ def link_page_join(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 def links_to_fetch(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Distinct addresses that no stored page covers yet."""
-    stored = pages.select(H.normalize_url(F.col("url")).alias("link_key"))
+    # Both sides are made distinct map-side first, so neither brings a hot address.
+    stored = pages.select(H.normalize_url(F.col("url")).alias("link_key")).distinct()
     return links.select("link_key").distinct().join(stored, "link_key", "left_anti")
 
 

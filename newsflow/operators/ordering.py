@@ -54,7 +54,9 @@ def _range_buckets(df: DataFrame, key: str) -> DataFrame:
     cut again by its own bounds. Only min, max and count come to the driver.
     """
     k = F.col(key)
-    lo, hi, rows = df.agg(F.min(k), F.max(k), F.count(k)).first()
+    lo, hi, rows, everything = df.agg(F.min(k), F.max(k), F.count(k), F.count(F.lit(1))).first()
+    if rows != everything:
+        raise ValueError(f"{everything - rows} rows without '{key}' have no position")
     ranges = min(MAX_RANGES, max(1, rows // ROWS_PER_RANGE))
     width = ((hi or 0) - (lo or 0)) // ranges + 1
     ranged = df.withColumn("_bucket", F.expr(f"{key} div {width}L"))
@@ -147,6 +149,8 @@ def _group_sizes(df: DataFrame, group: str) -> list[tuple]:
     )
     if len(rows) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} values of '{group}'")
+    if rows and rows[0][group] is None:
+        raise ValueError(f"rows without '{group}' belong to no class")
     return [(row[group], row["n"]) for row in rows]
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsflow.functions import text as X
-from newsflow.operators.features import by_document, svm_tokens, weigh_terms
+from newsflow.operators.features import by_document, svm_tokens
+from newsflow.operators.lookup import lookup_join
 
 SCORE_DIGITS = 6
 
@@ -28,20 +29,24 @@ def score_sentences(
 ) -> DataFrame:
     """Candidates scored by the mean TF-IDF weight of their tokens; no known token scores 0.
 
-    The articles are placed by id once. Term rows keep the positions they came
-    from, so weights flow back to the sentences without a join on terms.
+    The articles are placed by id once. With ``c`` uses of a term in a sentence and
+    ``tf`` in the article, a sentence sums ``c * tf * idf`` and the squared norm of the
+    article is the sum of ``c * tf * idf^2`` over all its sentences, so one pass over the
+    term rows gives both and terms are never joined back to sentences.
     """
     placed = by_document(df.select(id_col, text), id_col)
     sentences = sentence_table(placed, text, id_col)
     tokens = sentences.select(id_col, "pos", F.explode(svm_tokens(F.col("sentence"), stopwords)).alias("term"))
-    counts = tokens.groupBy(id_col, "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.collect_list("pos").alias("_at")
+    counts = tokens.groupBy(id_col, "term", "pos").agg(F.count(F.lit(1)).alias("c"))
+    with_tf = counts.withColumn("tf", F.sum("c").over(Window.partitionBy(id_col, "term")))
+    known = lookup_join(with_tf, model, "term", "df", [id_col]).filter(F.col("idf").isNotNull())
+    raw = F.col("c") * F.col("tf") * F.col("idf")
+    sums = known.groupBy(id_col, "pos").agg(
+        F.sum(raw).alias("_raw"), F.sum("c").alias("_tokens"), F.sum(raw * F.col("idf")).alias("_square")
     )
-    weights = weigh_terms(counts, model, id_col)
-    scores = (
-        weights.select(id_col, "weight", F.explode("_at").alias("pos"))
-        .groupBy(id_col, "pos")
-        .agg(F.round(F.avg("weight"), SCORE_DIGITS).alias("score"))
+    norm = F.sqrt(F.sum("_square").over(Window.partitionBy(id_col)))
+    scores = sums.select(
+        id_col, "pos", F.round(F.col("_raw") / F.col("_tokens") / norm, SCORE_DIGITS).alias("score")
     )
     return sentences.join(scores, [id_col, "pos"], "left").withColumn(
         "score", F.coalesce(F.col("score"), F.lit(0.0))
@@ -125,6 +130,7 @@ def block_repeat_ngrams(candidates: DataFrame, n: int = 2, id_col: str = "id") -
     """Drop sentences that share an n-gram with a higher-ranked sentence of the article.
 
     The best rank of each (article, n-gram) decides, so no pairs of sentences are built.
+    ``candidates`` is read twice; pass a staged table.
     """
     ranked = rank_candidates(candidates, id_col)
     words = ranked.select(id_col, "rank", X.words(F.col("sentence")).alias("_words"))

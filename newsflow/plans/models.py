@@ -285,7 +285,7 @@ def sample_candidate(spark, sf):
        "rep AS (SELECT DISTINCT gr.id, gr.rank FROM gr JOIN fi ON gr.id = fi.id AND gr.gram = fi.gram AND fi.first < gr.rank)",
        "SELECT r.id, r.pos, r.rank FROM ranked r LEFT JOIN rep ON r.id = rep.id AND r.rank = rep.rank WHERE rep.id IS NULL"))
 def block_repeat_ngrams(spark, sf):
-    return summarize.block_repeat_ngrams(candidates(spark, sf), 2).select("id", "pos", "rank")
+    return summarize.block_repeat_ngrams(stage(candidates(spark, sf), "candidates"), 2).select("id", "pos", "rank")
 
 
 # --- predictions against references, ROUGE -----------------------------------
@@ -384,15 +384,16 @@ def rouge_corpus(spark, sf):
 
 
 LCS_SQL = (
-    # Tokens found on one side only cannot be part of a common subsequence.
-    "pk AS MATERIALIZED (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY i) AS i FROM po SEMI JOIN ro USING (id, t))",
-    "rk AS MATERIALIZED (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY i) AS i FROM ro SEMI JOIN po USING (id, t))",
+    # Equal texts are their own common subsequence; tokens found on one side only are never part of one.
+    "differ AS (SELECT id FROM ptok WHERE p <> r)",
+    "pk AS MATERIALIZED (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY i) AS i FROM po SEMI JOIN differ USING (id) "
+    "SEMI JOIN ro USING (id, t))",
     # One row of the LCS table per step: the prefix maximum over the reference positions.
-    "walk AS (SELECT id, CAST(0 AS BIGINT) AS step, i, CAST(0 AS BIGINT) AS v FROM rk "
-    "UNION ALL SELECT w.id, w.step + 1, w.i, max(greatest(w.v, CASE WHEN rk.t = pk.t THEN w.d + 1 ELSE 0 END)) "
-    "OVER (PARTITION BY w.id ORDER BY w.i) FROM (SELECT id, step, i, v, coalesce(lag(v) OVER (PARTITION BY id ORDER BY i), 0) AS d FROM walk) w "
-    "JOIN pk ON pk.id = w.id AND pk.i = w.step + 1 JOIN rk ON rk.id = w.id AND rk.i = w.i)",
-    "lcs AS (SELECT id, max(v) AS l FROM walk GROUP BY id)",
+    "walk AS (SELECT id, CAST(0 AS BIGINT) AS step, i, t, CAST(0 AS BIGINT) AS v FROM ro SEMI JOIN differ USING (id) SEMI JOIN po USING (id, t) "
+    "UNION ALL SELECT w.id, w.step + 1, w.i, w.t, max(greatest(w.v, CASE WHEN w.t = pk.t THEN w.d + 1 ELSE 0 END)) "
+    "OVER (PARTITION BY w.id ORDER BY w.i) FROM (SELECT id, step, i, t, v, coalesce(lag(v) OVER (PARTITION BY id ORDER BY i), 0) AS d FROM walk) w "
+    "JOIN pk ON pk.id = w.id AND pk.i = w.step + 1)",
+    "lcs AS (SELECT id, max(v) AS l FROM walk GROUP BY id UNION ALL SELECT id, len(p) FROM ptok WHERE p = r)",
     "lp AS (SELECT t.id, CASE WHEN len(p) = 0 THEN 0.0 ELSE coalesce(l, 0) / len(p) END AS p, "
     "CASE WHEN len(r) = 0 THEN 0.0 ELSE coalesce(l, 0) / len(r) END AS r FROM ptok t LEFT JOIN lcs USING (id))",
     "lf AS (SELECT *, 2.0 * p * r / (p + r + 1e-8) AS f FROM lp)",

@@ -60,9 +60,12 @@ def write_metrics(metrics: DataFrame, path: str, prefix: str = "", mode: str = "
 
 
 def write_by_category(df: DataFrame, path: str, category: str = "source_domain", mode: str = "errorifexists") -> None:
-    """One folder per category. Rows stay in their tasks, so a category that holds most rows
-    is written by many of them."""
-    df.write.mode(mode).partitionBy(category).parquet(path)
+    """One folder per category.
+
+    ``rebalance`` gathers each category so that tasks do not write a file per task and
+    category, and splits a category that holds most rows over several tasks and files.
+    """
+    df.hint("rebalance", category).write.mode(mode).partitionBy(category).parquet(path)
 
 
 def read_through_cache(spark: SparkSession, path: str, build, overwrite: bool = False) -> DataFrame:
