@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from newsflow.functions import text as X
 from newsflow.operators.features import by_document, svm_tokens, term_counts
 from newsflow.operators.lookup import lookup_join
+from newsflow.operators.ordering import split_random
 from newsflow.session import stage
 
 SCORE_DIGITS = 6
@@ -43,11 +44,12 @@ def train_naive_bayes(df: DataFrame, tokens: Column, label: str = "label", smoot
     """Laplace-smoothed multinomial Naive Bayes by counting.
 
     Token counts per (term, class) combine map-side, so a class holding most rows
-    costs no more shuffle than a small one. Only per-class sums come to the driver.
+    costs no more shuffle than a small one. The texts are tokenised once; only
+    per-class sums come to the driver.
     """
-    sizes = df.groupBy(label).agg(
-        F.count(F.lit(1)).alias("docs"), F.sum(F.size(tokens)).alias("tokens")
-    ).orderBy(label).limit(MAX_CLASSES + 1).collect()
+    sizes = (
+        df.groupBy(label).agg(F.count(F.lit(1)).alias("docs")).orderBy(label).limit(MAX_CLASSES + 1).collect()
+    )
     if len(sizes) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     labels = [row[label] for row in sizes]
@@ -60,14 +62,18 @@ def train_naive_bayes(df: DataFrame, tokens: Column, label: str = "label", smoot
         )
     )
     staged = stage(counts, "nb-terms")
-    vocabulary = staged.count()
+    vocabulary, *totals = staged.agg(
+        F.count(F.lit(1)), *[F.sum(F.col("counts")[i]) for i in range(len(labels))]
+    ).first()
     logs = [
-        F.ln((F.col("counts")[i] + F.lit(smoothing)) / F.lit(row["tokens"] + smoothing * vocabulary))
-        for i, row in enumerate(sizes)
+        F.ln((F.col("counts")[i] + F.lit(smoothing)) / F.lit((total or 0) + smoothing * vocabulary))
+        for i, total in enumerate(totals)
     ]
-    total = sum(row["docs"] for row in sizes)
+    documents = sum(row["docs"] for row in sizes)
     return NaiveBayes(
-        labels, [log(row["docs"] / total) for row in sizes], staged.select("term", "n", F.array(*logs).alias("logp"))
+        labels,
+        [log(row["docs"] / documents) for row in sizes],
+        staged.select("term", "n", F.array(*logs).alias("logp")),
     )
 
 
@@ -108,6 +114,51 @@ def social_tokens(text: Column, negators: tuple[str, ...], stopwords=()) -> Colu
     return svm_tokens(cleaned, stopwords)
 
 
+@dataclass
+class SentimentModel:
+    """Fitted vectoriser and linear SVM."""
+
+    vectors: PipelineModel
+    svm: object
+    negators: tuple[str, ...]
+    stopwords: tuple[str, ...]
+
+    def predict(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """Add ``pred`` for new texts, which are cleaned first."""
+        tokens = df.withColumn("_tokens", social_tokens(F.col(text), self.negators, self.stopwords))
+        return self._score(tokens)
+
+    def _score(self, tokens: DataFrame) -> DataFrame:
+        scored = self.svm.transform(self.vectors.transform(tokens))
+        keep = [c for c in tokens.columns if c != "_tokens"]
+        return scored.select(*keep, F.col("prediction").cast("int").alias("pred"))
+
+
+def train_sentiment(
+    df: DataFrame,
+    negators: tuple[str, ...],
+    stopwords: tuple[str, ...] = (),
+    seed: int = 0,
+    test_size: float = 0.1,
+    idf_on_all: bool = False,
+    clean_train: bool = False,
+    max_terms: int = 1 << 18,
+) -> tuple[SentimentModel, DataFrame]:
+    """Linear SVM on ``(id, text, label)`` and the scored hold-out part.
+
+    By default the vectoriser sees the train part only; ``idf_on_all`` fits it on the
+    hold-out rows as well. Training texts stay raw while texts to predict are
+    cleaned; ``clean_train`` treats both alike.
+    """
+    text = F.col("text")
+    tokens = social_tokens(text, negators, stopwords) if clean_train else svm_tokens(text, stopwords)
+    parts = stage(split_random(df.withColumn("_tokens", tokens).drop("text"), seed=seed, test_size=test_size), "sentiment")
+    train, valid = (parts.filter(F.col("split") == s) for s in ("train", "valid"))
+    vectors = vector_pipeline(parts if idf_on_all else train, "_tokens", max_terms)
+    model = SentimentModel(vectors, train_linear_svm(vectors.transform(train)), negators, stopwords)
+    return model, model._score(valid)
+
+
 def vector_pipeline(train: DataFrame, tokens_col: str, max_terms: int = 1 << 18) -> PipelineModel:
     """TF-IDF vectors with ``idf = ln((1+n)/(1+df)) + 1`` and unit norm, from ``pyspark.ml`` stages.
 

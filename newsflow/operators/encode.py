@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsflow.functions import arrays as A
+from newsflow.operators.lookup import sized
 from newsflow.operators.ordering import assign_batches
 
 # ---------------------------------------------------------------------------
@@ -17,8 +18,8 @@ UNKNOWN_ID = 1
 FIRST_WORD_ID = 2
 # ---------------------------------------------------------------------------
 
-# An encoder vocabulary is a parameter of the model, so tables joined to it may be
-# broadcast; larger sizes than this are refused.
+# An encoder vocabulary is a parameter of the model: at most this many words, checked
+# before the table is broadcast.
 MAX_VOCABULARY = 500_000
 
 
@@ -39,12 +40,12 @@ def build_vocab(df: DataFrame, tokens: Column, size: int = 30_000) -> DataFrame:
 def encode_tokens(df: DataFrame, tokens: Column, vocab: DataFrame, id_col: str = "id", out: str = "ids") -> DataFrame:
     """Ids of every token in text order; words outside the vocabulary get the unknown id.
 
-    The vocabulary is broadcast (its size is a parameter). Positions of a document
+    The (staged) vocabulary is broadcast after its size is checked. Positions of a document
     stay in one task, so the map side already collects them and one array per
     document is shuffled.
     """
     exploded = df.select(id_col, F.posexplode_outer(tokens).alias("_pos", "token"))
-    words = exploded.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
+    words = exploded.join(sized(vocab.select("token", "token_id"), MAX_VOCABULARY), "token", "left")
     entry = F.struct(F.col("_pos"), F.coalesce(F.col("token_id"), F.lit(UNKNOWN_ID)).alias("token_id"))
     return words.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), entry)))["token_id"].alias(out)
@@ -61,7 +62,7 @@ def encode_pairs(df: DataFrame, first: Column, second: Column, vocab: DataFrame,
         )).alias("s"),
     )
     exploded = both.select(id_col, "s.side", F.posexplode_outer("s.tokens").alias("_pos", "token"))
-    words = exploded.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
+    words = exploded.join(sized(vocab.select("token", "token_id"), MAX_VOCABULARY), "token", "left")
     entry = F.struct(F.col("_pos"), F.coalesce(F.col("token_id"), F.lit(UNKNOWN_ID)).alias("token_id"))
 
     def side(n: int) -> Column:
@@ -109,6 +110,6 @@ def pad_fixed(df: DataFrame, length: int, ids: str = "ids") -> DataFrame:
 def decode_ids(df: DataFrame, vocab: DataFrame, ids: str = "ids", id_col: str = "id", out: str = "text") -> DataFrame:
     """Ids to space-joined words, skipping padding and unknown ids."""
     exploded = df.select(id_col, F.posexplode_outer(ids).alias("_pos", "token_id"))
-    words = exploded.join(F.broadcast(vocab.select("token", "token_id")), "token_id", "left")
+    words = exploded.join(sized(vocab.select("token", "token_id"), MAX_VOCABULARY), "token_id", "left")
     entry = F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))
     return words.groupBy(id_col).agg(F.array_join(F.sort_array(F.collect_list(entry))["token"], " ").alias(out))

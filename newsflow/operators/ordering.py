@@ -22,8 +22,10 @@ from pyspark.sql.window import Window
 
 from newsflow.functions.text import seeded_hash
 
-# A hash key is cut into 16**HASH_DIGITS buckets of equal expected size.
-HASH_DIGITS = 4
+# A hex hash key is cut into 16**d buckets of equal expected size: d grows with the
+# table until a bucket holds about ROWS_PER_HASH_BUCKET rows, up to MAX_HASH_DIGITS.
+ROWS_PER_HASH_BUCKET = 10_000
+MAX_HASH_DIGITS = 4
 # An integer key is cut into ranges of about ROWS_PER_RANGE rows, at most MAX_RANGES
 # of them; a range holding more than TARGET_ROWS rows is cut again.
 ROWS_PER_RANGE = 1_000
@@ -43,8 +45,11 @@ def _running_total(counts: DataFrame, group: Sequence[str], order: Sequence[str]
     return counts.withColumn("_before", F.coalesce(F.sum("_rows").over(window), F.lit(0)))
 
 
-def _hash_bucket(key: Column) -> Column:
-    return F.substring(key, 1, HASH_DIGITS)
+def _hash_bucket(key: Column, rows: int) -> Column:
+    digits = 1
+    while digits < MAX_HASH_DIGITS and rows > ROWS_PER_HASH_BUCKET * 16**digits:
+        digits += 1
+    return F.substring(key, 1, digits)
 
 
 def _range_buckets(df: DataFrame, key: str) -> DataFrame:
@@ -91,13 +96,31 @@ def assign_ordinal(df: DataFrame, key: str, out: str = "ordinal", start: int = 0
     )
 
 
-def cut_keys(df: DataFrame, group: str, key: str, quotas: DataFrame) -> DataFrame:
+def number_in_file_order(df: DataFrame, out: str = "id") -> DataFrame:
+    """Number the rows of a staged ``file_positions`` table from 0, in file order then row order.
+
+    Rows are ranked inside their file block, whose size the reader bounds, and block
+    counts are summed up over the (small) table of blocks.
+    """
+    block = ["_file_no", "_file", "_block"]
+    counts = df.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = _running_total(counts, [], block).drop("_rows")
+    inside = Window.partitionBy(*block).orderBy("_row")
+    return (
+        df.join(offsets, block)
+        .withColumn(out, F.col("_before") + F.row_number().over(inside) - 1)
+        .drop(*block, "_row", "_before")
+    )
+
+
+def cut_keys(df: DataFrame, group: str, key: str, quotas: DataFrame, rows: int) -> DataFrame:
     """Key of the k-th smallest row per group, for every ``(group, cut, k)`` of ``quotas``.
 
-    ``key`` is a unique hex digest column. Result: ``(group, cut, cut_key)``; cuts
+    ``key`` is a unique hex digest column, ``rows`` the size of the table. Both inputs of
+    the broadcasts are bounded: a row per (group, cut), and groups are classes. Result: ``(group, cut, cut_key)``; cuts
     with ``k = 0`` or beyond the group size are left out.
     """
-    keys = df.select(group, F.col(key).alias("_key")).withColumn("_bucket", _hash_bucket(F.col("_key")))
+    keys = df.select(group, F.col(key).alias("_key")).withColumn("_bucket", _hash_bucket(F.col("_key"), rows))
     counts = keys.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     totals = _running_total(counts, [group], ["_bucket"])
     # The one bucket per (group, cut) that holds the k-th row.
@@ -114,13 +137,14 @@ def cut_keys(df: DataFrame, group: str, key: str, quotas: DataFrame) -> DataFram
 
 
 def split_by_cuts(
-    df: DataFrame, group: str, key: str, quotas: DataFrame, cuts: Sequence[str], last: str, out: str = "split"
+    df: DataFrame, group: str, key: str, quotas: DataFrame, rows: int, cuts: Sequence[str], last: str,
+    out: str = "split",
 ) -> DataFrame:
     """Name the part of every row: first cut whose key is not below the row's key, else ``last``.
 
     One map-side pass over the rows: the cut table has one row per group.
     """
-    keys = cut_keys(df, group, key, quotas)
+    keys = cut_keys(df, group, key, quotas, rows)
     wide = keys.groupBy(group).agg(
         *[F.max(F.when(F.col("cut") == c, F.col("cut_key"))).alias(f"_cut_{c}") for c in cuts]
     )
@@ -182,7 +206,7 @@ def split_fractions(
         quotas.append((0, rest, n - 1))
         names.append(rest)
     table = _quota_table(hashed, "_all", quotas)
-    parts = split_by_cuts(hashed, "_all", "_hash", table, names, "_dropped" if drop_last else rest)
+    parts = split_by_cuts(hashed, "_all", "_hash", table, n, names, "_dropped" if drop_last else rest)
     return parts.filter(F.col("split") != "_dropped").drop("_all", "_hash")
 
 
@@ -211,16 +235,18 @@ def split_stratified(
     rows is spread over many tasks.
     """
     hashed = _with_hash(df, id_col, seed)
-    quotas = stratified_quotas(_group_sizes(df, label), test_size)
+    sizes = _group_sizes(df, label)
+    quotas = stratified_quotas(sizes, test_size)
     table = _quota_table(hashed, label, [(name, "valid", k) for name, k in quotas.items()])
-    return split_by_cuts(hashed, label, "_hash", table, ["valid"], "train").drop("_hash")
+    return split_by_cuts(hashed, label, "_hash", table, sum(n for _, n in sizes), ["valid"], "train").drop("_hash")
 
 
 def split_random(df: DataFrame, id_col: str = "id", seed: int = 0, test_size: float = 0.1) -> DataFrame:
     """Seeded split without strata: ``ceil(test_size * n)`` rows in ``valid``."""
     hashed = _with_hash(df, id_col, seed).withColumn("_all", F.lit(0))
-    table = _quota_table(hashed, "_all", [(0, "valid", ceil(df.count() * test_size))])
-    return split_by_cuts(hashed, "_all", "_hash", table, ["valid"], "train").drop("_all", "_hash")
+    n = df.count()
+    table = _quota_table(hashed, "_all", [(0, "valid", ceil(n * test_size))])
+    return split_by_cuts(hashed, "_all", "_hash", table, n, ["valid"], "train").drop("_all", "_hash")
 
 
 def sample_rows(df: DataFrame, k: int, id_col: str = "id", seed: int = 42) -> DataFrame:

@@ -92,7 +92,18 @@ def rouge_clipped(
     return _add(sums, f"clipped{n}", F.col("both"), F.col("p"), F.col("r")).drop("both", "p", "r")
 
 
-def rouge_corpus(scores: DataFrame, metrics: dict[str, str], ignore_empty: Column | None = None) -> DataFrame:
-    """Means over all pairs as percentages; optionally without pairs flagged empty."""
-    kept = scores if ignore_empty is None else scores.filter(~ignore_empty)
-    return kept.agg(*[round_scores(F.avg(c)).alias(name) for name, c in metrics.items()])
+def corpus_means(metrics: dict[str, str], keep: Column | None = None) -> list[Column]:
+    """Percentage means of score columns, over all pairs or over those to ``keep``."""
+    return [
+        round_scores(F.avg(F.col(c) if keep is None else F.when(keep, F.col(c)))).alias(name)
+        for name, c in metrics.items()
+    ]
+
+
+def not_empty(pred: str = "pred_tokens", ref: str = "ref_tokens") -> Column:
+    return (F.size(pred) > 0) & (F.size(ref) > 0)
+
+
+def rouge_corpus(scores: DataFrame, metrics: dict[str, str], ignore_empty: bool = False) -> DataFrame:
+    """One row of corpus scores; ``ignore_empty`` leaves out pairs with an empty side."""
+    return scores.agg(*corpus_means(metrics, not_empty() if ignore_empty else None))

@@ -17,6 +17,7 @@ from newsflow.session import stage, staging_path
 from newsflow.sources import writers
 
 SUMMARY_SENTENCES = 3
+SVM_TERMS = 1 << 15
 # (name, temperature, top-k, top-p) of the compared decoding settings.
 RUNS = (
     ("greedy", 1.0, 1, None),
@@ -149,7 +150,7 @@ def domain_classifier_train_lr(spark, sf):
     index = stage(labels.label_index(parts), "labels")
     coded = labels.encode_label(parts.withColumn("tokens", stopped_tokens()).drop("maintext"), index)
     train, valid = (coded.filter(F.col("split") == s) for s in ("train", "valid"))
-    vectors = classify.vector_pipeline(train, "tokens", max_terms=1 << 15)
+    vectors = classify.vector_pipeline(train, "tokens", max_terms=SVM_TERMS)
     model = classify.train_logistic(vectors.transform(train))
     scored = model.transform(vectors.transform(valid)).select("id", "label", F.col("prediction").cast("int").alias("pred"))
     return labels.decode_label(scored, index, "pred", "pred_label").select("id", "label", "pred", "pred_label")
@@ -158,28 +159,15 @@ def domain_classifier_train_lr(spark, sf):
 @query("sentiment_svm_train")
 def sentiment_svm_train(spark, sf):
     """Report of a linear SVM on held-out labelled texts; idf and model see the train part only."""
-    scored = svm_predictions(spark, sf)
+    _, scored = classify.train_sentiment(labelled(spark, sf), LATIN_NEGATORS, STOPWORDS, max_terms=SVM_TERMS)
     return metrics.classification_report(scored, classes=[0, 1])
 
 
-def svm_predictions(spark, sf):
-    parts = stage(ordering.split_random(labelled(spark, sf).withColumn("tokens", stopped_tokens("text")).drop("text")), "svm")
-    train, valid = (parts.filter(F.col("split") == s) for s in ("train", "valid"))
-    vectors = classify.vector_pipeline(train, "tokens", max_terms=1 << 15)
-    model = classify.train_linear_svm(vectors.transform(train))
-    return model.transform(vectors.transform(valid)).select("id", "label", F.col("prediction").cast("int").alias("pred"))
-
-
 @query("sentiment_svm_predict")
 def sentiment_svm_predict(spark, sf):
     """New texts (conversation turns): social clean-up, negation gluing, vectors, SVM."""
-    train = labelled(spark, sf).withColumn("tokens", stopped_tokens("text")).drop("text")
-    vectors = classify.vector_pipeline(train, "tokens", max_terms=1 << 15)
-    model = classify.train_linear_svm(vectors.transform(train))
-    turns = table(spark, sf, "conversations").select(
-        "conv_id", "turn", classify.social_tokens(F.col("text"), LATIN_NEGATORS, STOPWORDS).alias("tokens")
-    )
-    return model.transform(vectors.transform(turns)).select("conv_id", "turn", F.col("prediction").cast("int").alias("pred"))
+    model, _ = classify.train_sentiment(labelled(spark, sf), LATIN_NEGATORS, STOPWORDS, max_terms=SVM_TERMS)
+    return model.predict(table(spark, sf, "conversations").select("conv_id", "turn", "text")).drop("text")
 
 
 @query("sentiment_linear_score", with_(*TF,
@@ -374,13 +362,12 @@ def rouge_clipped(spark, sf):
                              f'round(avg(CASE WHEN n = {n} THEN f END) FILTER (WHERE id IN (SELECT id FROM ptok WHERE len(p) > 0 AND len(r) > 0)) * 100, 4) '
                              f'AS "rouge-{n}-kept"' for n in (1, 2)) + " FROM fs"))
 def rouge_corpus(spark, sf):
-    """Corpus scores over all pairs, and without empty pairs, from one scored table."""
-    scored = stage(rouge.rouge_n(rouge.rouge_n(token_pairs(spark, sf), 1), 2), "rouge")
-    empty = (F.size("pred_tokens") == 0) | (F.size("ref_tokens") == 0)
-    everything = rouge.rouge_corpus(scored, {"rouge-1": "rouge1_f", "rouge-2": "rouge2_f"})
-    kept = rouge.rouge_corpus(scored, {"rouge-1-kept": "rouge1_f", "rouge-2-kept": "rouge2_f"}, empty)
-    one = F.lit(1).alias("_one")
-    return everything.select("*", one).join(kept.select("*", one), "_one").drop("_one")
+    """Corpus scores over all pairs, and without empty pairs, in one pass."""
+    scored = rouge.rouge_n(rouge.rouge_n(token_pairs(spark, sf), 1), 2)
+    return scored.agg(
+        *rouge.corpus_means({"rouge-1": "rouge1_f", "rouge-2": "rouge2_f"}),
+        *rouge.corpus_means({"rouge-1-kept": "rouge1_f", "rouge-2-kept": "rouge2_f"}, rouge.not_empty()),
+    )
 
 
 LCS_SQL = (

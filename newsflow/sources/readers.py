@@ -37,6 +37,20 @@ def scan_json_array(spark: SparkSession, paths: str | Sequence[str], schema: T.S
     return spark.read.schema(schema).option("multiLine", True).json(paths)
 
 
+def file_positions(df: DataFrame, file_no: int = 0) -> DataFrame:
+    """Add where each row of a file scan stands: file, block and place inside the block.
+
+    Stage the result before numbering it, so that the places stay what they are.
+    """
+    return df.select(
+        "*",
+        F.lit(file_no).alias("_file_no"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+
+
 def union_sources(parts: Mapping[str, DataFrame]) -> DataFrame:
     """All sources in one bag, duplicates kept, with provenance and file order."""
     union = None
@@ -48,7 +62,7 @@ def union_sources(parts: Mapping[str, DataFrame]) -> DataFrame:
     return union
 
 
-def scan_csv_labelled(spark: SparkSession, path: str, schema: T.StructType = LABELLED_TEXT) -> DataFrame:
+def scan_csv_labelled(spark: SparkSession, path: str, schema: T.StructType | str = LABELLED_TEXT) -> DataFrame:
     """CSV with a header; quoted fields may hold line breaks and doubled quotes."""
     return (
         spark.read.schema(schema)
