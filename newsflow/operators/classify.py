@@ -98,14 +98,23 @@ def predict_naive_bayes(df: DataFrame, tokens: Column, model: NaiveBayes, id_col
     )
 
 
-def linear_scores(weights: DataFrame, coefficients: DataFrame, bias: float = 0.0, id_col: str = "id") -> DataFrame:
-    """``(id, score, pred)`` of a linear model over ``(id, term, weight)`` rows.
+def linear_scores(
+    ids: DataFrame, weights: DataFrame, coefficients: DataFrame, bias: float = 0.0, id_col: str = "id"
+) -> DataFrame:
+    """``(id, score, pred)`` of a linear model for every row of ``ids``.
 
-    ``coefficients`` is a staged ``(term, df, coef)`` table; the decision is ``score >= 0``.
+    ``weights`` is ``(id, term, weight)``, ``coefficients`` a staged ``(term, df, coef)``
+    table; the decision is ``score >= 0``. A row without known terms scores the bias.
     """
     joined = lookup_join(weights, coefficients, "term", "df", [id_col])
-    score = F.round(F.coalesce(F.sum(F.col("weight") * F.col("coef")), F.lit(0.0)) + F.lit(bias), SCORE_DIGITS)
-    return joined.groupBy(id_col).agg(score.alias("score")).withColumn("pred", (F.col("score") >= 0).cast("int"))
+    sums = joined.groupBy(id_col).agg(F.sum(F.col("weight") * F.col("coef")).alias("_sum"))
+    score = F.round(F.coalesce(F.col("_sum"), F.lit(0.0)) + F.lit(bias), SCORE_DIGITS)
+    return (
+        ids.select(id_col)
+        .join(sums, id_col, "left")
+        .select(id_col, score.alias("score"))
+        .withColumn("pred", (F.col("score") >= 0).cast("int"))
+    )
 
 
 def social_tokens(text: Column, negators: tuple[str, ...], stopwords=()) -> Column:

@@ -176,7 +176,8 @@ def sentiment_svm_predict(spark, sf):
        "coef AS (SELECT term, sum(CASE WHEN label = 1 THEN weight ELSE 0 END) / any_value(pos) "
        "- sum(CASE WHEN label = 0 THEN weight ELSE 0 END) / any_value(neg) AS c FROM lw, nl GROUP BY term)",
        "s AS (SELECT w.id, sum(w.weight * coalesce(coef.c, 0)) AS s FROM w LEFT JOIN coef USING (term) GROUP BY w.id)",
-       "SELECT id, round(s, 6) AS score, CAST(round(s, 6) >= 0 AS INTEGER) AS pred FROM s"))
+       "SELECT d.doc_id AS id, round(coalesce(s, 0.0), 6) AS score, CAST(round(coalesce(s, 0.0), 6) >= 0 AS INTEGER) AS pred "
+       "FROM documents d LEFT JOIN s ON s.id = d.doc_id"))
 def sentiment_linear_score(spark, sf):
     """A linear model as a coefficient table: difference of the mean vectors of both classes."""
     model = features.tfidf_model(docs(spark, sf), stopped_tokens())
@@ -187,7 +188,7 @@ def sentiment_linear_score(spark, sf):
     coefficients = stage(
         weights.join(label, "id").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(signed).alias("coef")), "coef"
     )
-    return classify.linear_scores(weights, coefficients)
+    return classify.linear_scores(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), weights, coefficients)
 
 
 # --- summaries ---------------------------------------------------------------
