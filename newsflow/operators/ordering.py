@@ -31,7 +31,7 @@ MAX_HASH_DIGITS = 4
 ROWS_PER_RANGE = 1_000
 MAX_RANGES = 65_536
 TARGET_ROWS = 1_000_000
-# Groups of a split are classes; their quotas are held on the driver and broadcast.
+# Groups of a split are classes; their sizes, quotas and cut keys are held on the driver.
 MAX_GROUPS = 10_000
 
 
@@ -113,49 +113,68 @@ def number_in_file_order(df: DataFrame, out: str = "id") -> DataFrame:
     )
 
 
-def cut_keys(df: DataFrame, group: str, key: str, quotas: DataFrame, rows: int) -> DataFrame:
-    """Key of the k-th smallest row per group, for every ``(group, cut, k)`` of ``quotas``.
+# One cut: group value (None without groups), name of the part it ends, rows up to it.
+Quota = tuple[object, str, int]
 
-    ``key`` is a unique hex digest column, ``rows`` the size of the table. Both inputs of
-    the broadcasts are bounded: a row per (group, cut), and groups are classes. Result: ``(group, cut, cut_key)``; cuts
-    with ``k = 0`` or beyond the group size are left out.
+
+def cut_keys(df: DataFrame, group: str | None, key: str, quotas: Sequence[Quota], rows: int) -> list[tuple]:
+    """``(group, cut, key)`` of the k-th smallest row for every quota ``(group, cut, k)``.
+
+    ``key`` is a unique hex digest column, ``rows`` the size of the table. Quotas with
+    ``k = 0`` or beyond the group size have no key. The result has at most a row per
+    quota, and quotas are classes times parts.
     """
-    keys = df.select(group, F.col(key).alias("_key")).withColumn("_bucket", _hash_bucket(F.col("_key"), rows))
-    counts = keys.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    totals = _running_total(counts, [group], ["_bucket"])
-    # The one bucket per (group, cut) that holds the k-th row.
-    holding = totals.join(F.broadcast(quotas), group).filter(
+    groups = [] if group is None else [group]
+    keys = df.select(*groups, F.col(key).alias("_key")).withColumn("_bucket", _hash_bucket(F.col("_key"), rows))
+    counts = keys.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    totals = _running_total(counts, groups, ["_bucket"])
+    if group is None:
+        wanted = F.array(*[F.struct(F.lit(c).alias("cut"), F.lit(k).cast("bigint").alias("k")) for _, c, k in quotas])
+        asked = totals.select("*", F.inline(wanted))
+    else:
+        kind = df.schema[group].dataType.simpleString()
+        table = df.sparkSession.createDataFrame(quotas, f"{group} {kind}, cut string, k bigint")
+        asked = totals.join(F.broadcast(table), group)
+    # The one bucket per quota that holds the k-th row.
+    holding = asked.filter(
         (F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_before") + F.col("_rows"))
-    ).select(group, "_bucket", "cut", (F.col("k") - F.col("_before")).alias("_nth"))
-    inside = Window.partitionBy(group, "cut", "_bucket").orderBy("_key")
-    return (
-        keys.join(F.broadcast(holding), [group, "_bucket"])
+    ).select(*groups, "_bucket", "cut", (F.col("k") - F.col("_before")).alias("_nth"))
+    inside = Window.partitionBy(*groups, "cut", "_bucket").orderBy("_key")
+    found = (
+        keys.join(F.broadcast(holding), [*groups, "_bucket"])
         .withColumn("_rank", F.row_number().over(inside))
         .filter(F.col("_rank") == F.col("_nth"))
-        .select(group, "cut", F.col("_key").alias("cut_key"))
     )
+    group_value = F.lit(None).cast("string") if group is None else F.col(group)
+    return [tuple(row) for row in found.select(group_value.alias("g"), "cut", "_key").collect()]
 
 
 def split_by_cuts(
-    df: DataFrame, group: str, key: str, quotas: DataFrame, rows: int, cuts: Sequence[str], last: str,
+    df: DataFrame, group: str | None, key: str, quotas: Sequence[Quota], rows: int, cuts: Sequence[str], last: str,
     out: str = "split",
 ) -> DataFrame:
     """Name the part of every row: first cut whose key is not below the row's key, else ``last``.
 
-    One map-side pass over the rows: the cut table has one row per group.
+    One map-side pass over the rows: the cut keys are literals, or one row per class.
     """
-    keys = cut_keys(df, group, key, quotas, rows)
-    wide = keys.groupBy(group).agg(
-        *[F.max(F.when(F.col("cut") == c, F.col("cut_key"))).alias(f"_cut_{c}") for c in cuts]
-    )
+    found = cut_keys(df, group, key, quotas, rows)
+    if group is None:
+        by_cut = {cut: F.lit(value) for _, cut, value in found}
+    else:
+        per_class: dict[object, dict[str, str]] = {}
+        for value, cut, cut_key in found:
+            per_class.setdefault(value, {})[cut] = cut_key
+        kind = df.schema[group].dataType.simpleString()
+        table = df.sparkSession.createDataFrame(
+            [(value, *[keys.get(c) for c in cuts]) for value, keys in per_class.items()],
+            f"{group} {kind}" + "".join(f", _cut_{c} string" for c in cuts),
+        )
+        df = df.join(F.broadcast(table), group, "left")
+        by_cut = {c: F.col(f"_cut_{c}") for c in cuts}
     name = F.lit(last)
-    for c in reversed(cuts):
-        name = F.when(F.col(key) <= F.col(f"_cut_{c}"), F.lit(c)).otherwise(name)
-    return (
-        df.join(F.broadcast(wide), group, "left")
-        .withColumn(out, name)
-        .drop(*[f"_cut_{c}" for c in cuts])
-    )
+    for cut in reversed([c for c in cuts if c in by_cut]):
+        name = F.when(F.col(key) <= by_cut[cut], F.lit(cut)).otherwise(name)
+    return df.withColumn(out, name).drop(*[f"_cut_{c}" for c in cuts])
 
 
 def _with_hash(df: DataFrame, id_col: str, seed: int) -> DataFrame:
@@ -178,11 +197,6 @@ def _group_sizes(df: DataFrame, group: str) -> list[tuple]:
     return [(row[group], row["n"]) for row in rows]
 
 
-def _quota_table(df: DataFrame, group: str, rows: list[tuple]) -> DataFrame:
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"{group} {kind}, cut string, k bigint")
-
-
 def split_fractions(
     df: DataFrame,
     id_col: str = "id",
@@ -196,18 +210,17 @@ def split_fractions(
     ``drop_last`` leaves out the last row of the shuffled order, as a slice that
     stops one short would; the default keeps every row.
     """
-    hashed = _with_hash(df, id_col, seed).withColumn("_all", F.lit(0))
+    hashed = _with_hash(df, id_col, seed)
     n, end, quotas = df.count(), 0, []
     for name, fraction in fractions:
         end += int(n * fraction)
-        quotas.append((0, name, end))
+        quotas.append((None, name, end))
     names = [name for name, _ in fractions]
     if drop_last:
-        quotas.append((0, rest, n - 1))
+        quotas.append((None, rest, n - 1))
         names.append(rest)
-    table = _quota_table(hashed, "_all", quotas)
-    parts = split_by_cuts(hashed, "_all", "_hash", table, n, names, "_dropped" if drop_last else rest)
-    return parts.filter(F.col("split") != "_dropped").drop("_all", "_hash")
+    parts = split_by_cuts(hashed, None, "_hash", quotas, n, names, "_dropped" if drop_last else rest)
+    return parts.filter(F.col("split") != "_dropped").drop("_hash")
 
 
 def stratified_quotas(sizes: Sequence[tuple], test_size: float) -> dict:
@@ -236,17 +249,15 @@ def split_stratified(
     """
     hashed = _with_hash(df, id_col, seed)
     sizes = _group_sizes(df, label)
-    quotas = stratified_quotas(sizes, test_size)
-    table = _quota_table(hashed, label, [(name, "valid", k) for name, k in quotas.items()])
-    return split_by_cuts(hashed, label, "_hash", table, sum(n for _, n in sizes), ["valid"], "train").drop("_hash")
+    quotas = [(name, "valid", k) for name, k in stratified_quotas(sizes, test_size).items()]
+    return split_by_cuts(hashed, label, "_hash", quotas, sum(n for _, n in sizes), ["valid"], "train").drop("_hash")
 
 
 def split_random(df: DataFrame, id_col: str = "id", seed: int = 0, test_size: float = 0.1) -> DataFrame:
     """Seeded split without strata: ``ceil(test_size * n)`` rows in ``valid``."""
-    hashed = _with_hash(df, id_col, seed).withColumn("_all", F.lit(0))
     n = df.count()
-    table = _quota_table(hashed, "_all", [(0, "valid", ceil(n * test_size))])
-    return split_by_cuts(hashed, "_all", "_hash", table, n, ["valid"], "train").drop("_all", "_hash")
+    quotas = [(None, "valid", ceil(n * test_size))]
+    return split_by_cuts(_with_hash(df, id_col, seed), None, "_hash", quotas, n, ["valid"], "train").drop("_hash")
 
 
 def sample_rows(df: DataFrame, k: int, id_col: str = "id", seed: int = 42) -> DataFrame:

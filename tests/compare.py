@@ -30,13 +30,15 @@ def compare(spark, sf_dir: str, build, sql: str, con=None) -> dict:
     df = build(spark, sf_dir)
     rows = [tuple(r) for r in df.collect()]
     t1 = time.time()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    joins = [j for j in ("CartesianProduct", "BroadcastNestedLoopJoin") if j in plan]
     rel = con.sql(sql)
     expected = rel.fetchall()
     t2 = time.time()
     ours = dict(df.dtypes)
     theirs = dict(zip(rel.columns, [str(t) for t in rel.types]))
     names = sorted(ours)
-    problems = []
+    problems = [f"plan has a {j}" for j in joins]
     if names != sorted(theirs):
         problems.append(f"columns {names} vs {sorted(theirs)}")
     else:
