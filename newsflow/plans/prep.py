@@ -137,7 +137,7 @@ def load_splits(spark, sf):
         files[name] = f"{staging_path(spark, name)}.{extension}"
         part = parts.filter(F.col("split") == name).drop("split")
         if extension == "csv":
-            writers._quoted_csv(part, files[name], "errorifexists")
+            writers.write_quoted_csv(part, files[name], "errorifexists")
         else:
             part.write.format(readers.EXTENSIONS[extension]).save(files[name])
     return readers.load_splits(spark, files, parts.drop("split").schema)

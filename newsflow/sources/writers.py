@@ -15,14 +15,14 @@ def write_json_records(df: DataFrame, path: str, mode: str = "errorifexists") ->
 
 def write_labelled_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """``label,text`` with a header, every field quoted, quotes doubled."""
-    _quoted_csv(df.select("label", "text"), path, mode)
+    write_quoted_csv(df.select("label", "text"), path, mode)
 
 
 def write_eval_predictions(
     predictions: DataFrame, references: DataFrame, path: str, id_col: str = "id", mode: str = "errorifexists"
 ) -> None:
     """``id,predictions,references``, paired by id and never by position."""
-    _quoted_csv(zip_predictions(predictions, references, id_col), path, mode)
+    write_quoted_csv(zip_predictions(predictions, references, id_col), path, mode)
 
 
 def zip_predictions(predictions: DataFrame, references: DataFrame, id_col: str = "id") -> DataFrame:
@@ -41,7 +41,7 @@ def domain_predictions(df: DataFrame, pred: str, id_col: str = "id") -> DataFram
 
 
 def write_domain_predictions(df: DataFrame, pred: str, path: str, id_col: str = "id", mode: str = "errorifexists") -> None:
-    _quoted_csv(domain_predictions(df, pred, id_col), path, mode)
+    write_quoted_csv(domain_predictions(df, pred, id_col), path, mode)
 
 
 def title_lines(df: DataFrame) -> DataFrame:
@@ -77,7 +77,8 @@ def read_through_cache(spark: SparkSession, path: str, build, overwrite: bool =
     return spark.read.parquet(path)
 
 
-def _quoted_csv(df: DataFrame, path: str, mode: str) -> None:
+def write_quoted_csv(df: DataFrame, path: str, mode: str) -> None:
+    """CSV with a header, every field quoted, quotes doubled, blanks kept."""
     df.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(path)
