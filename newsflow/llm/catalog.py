@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from newsflow.llm import decontaminate  # noqa: F401
+from newsflow.llm import decontaminate, langid, simhash  # noqa: F401
 from newsflow.llm.common import QUERIES
 
 __all__ = ["QUERIES"]
