@@ -1,24 +1,53 @@
-"""From raw documents to sharded training text: stages over the operators of ``newsflow.llm``."""
+"""From raw documents to sharded training text: stages over the operators of ``newsflow.llm``.
+
+Every stage takes all documents that the one before it kept and returns the columns of ``documents``;
+the last adds ``size``, ``shard`` and ``slot``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsflow.llm import decontaminate, langid, mixing, sharding, simhash
 from newsflow.llm.common import DOCUMENT, table
-from newsflow.llm.decontaminate import drop_leaked
 from newsflow.session import stage
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: null texts, texts without a letter, and texts that share no n-gram with
+    any language learned from the labelled documents go."""
+    return langid.keep_known(docs).select(*DOCUMENT)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints: that of the smallest id."""
+    return simhash.drop_near_duplicates(docs).select(*DOCUMENT)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    return drop_leaked(docs, table(spark, sf_dir, "benchmark")).select(*DOCUMENT)
+    return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark")).select(*DOCUMENT)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts that the mix takes: a row per document and pass, shortened to the words taken."""
+    return mixing.mixed_documents(docs).select(*DOCUMENT)
+
+
+def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard and their slot in it."""
+    return sharding.shard(docs.select(*DOCUMENT))
 
 
 STAGES = [
-    ("decontaminate", decontaminate),
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("benchmark_leaks", drop_benchmark_leaks),
+    ("mixing", mix_sources),
+    ("sharding", deal_to_shards),
 ]
 
-#: Language profiles and 64-bit text hashes have no counterpart in SQL; tests use brute force.
+#: Language profiles, 64-bit text hashes and sampled splitters have no counterpart in SQL; tests use brute force.
 ORACLE_SQL = None
 
 
