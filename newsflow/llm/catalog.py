@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from newsflow.llm import decontaminate, langid, mixing, sharding, simhash  # noqa: F401
+from newsflow.llm import decontaminate, langid, mixing, secrets, sharding, simhash, warc  # noqa: F401
 from newsflow.llm.common import QUERIES
 
 __all__ = ["QUERIES"]
