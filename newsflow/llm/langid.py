@@ -115,7 +115,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     prepare(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("key"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
-    share = rows.groupBy("lang").count().select("lang", (F.lit(float(train_docs)) / F.col("count")).alias("share"))
+    # Stored, so that its size is known before the join and the texts stay where they are.
+    share = stage(rows.groupBy("lang").count().select("lang", (F.lit(float(train_docs)) / F.col("count")).alias("share")), "languages")
     drawn = F.pmod(F.xxhash64(F.coalesce("key", F.lit("")), F.lit("profile")), F.lit(1 << 30)) / float(1 << 30)
     taken = rows.join(share, "lang").filter(drawn < F.col("share")).select("lang", "text")
 
