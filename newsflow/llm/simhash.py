@@ -289,10 +289,11 @@ def components(links: DataFrame) -> DataFrame:
         if not mark[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Stored, so that the joins below are dealt out apart from the sums and their hot nodes can be split.
+        lowest = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "stars")
         large = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         down = stage(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
+        lowest = stage(down.groupBy("a").agg(F.min("b").alias("m")), "stars")
         small = down.join(lowest, "a").select(F.col("b").alias("x"), "m").filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
         now = stage(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "stars")
         before, mark = mark, _mark(now)
