@@ -8,7 +8,7 @@ Texts of a source are packed, in an order that a hash of the id gives, into bloc
    beyond a source's share of the whole mix go, in slot order, to sources that were drawn too rarely,
    so each source ends with the number of blocks that its target asks for;
 2. the j-th slot of a source of n blocks gets block ``permutation(j mod n)`` of pass ``j div n``. The
-   permutation (swap-or-not, for any n, another one for each source and pass) is computed from the
+   permutation (an unbalanced Feistel network with modular sums, another one for each source and pass) is computed from the
    number alone: every block comes once before any comes twice;
 3. slots and packed texts meet in a join by (source, block).
 
@@ -36,7 +36,7 @@ BUCKET = 1024
 TOTAL = 1.5
 MOST = 2
 WEIGHTS = (3, 1, 2)
-ROUNDS = 16
+ROUNDS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets that one running sum goes over before sums of sums take over.
 _CHUNK = 4096
@@ -118,18 +118,38 @@ def located(df: DataFrame, x: str, intervals: DataFrame, total: int) -> DataFram
     return df.withColumn("cell", F.floor(at / width)).join(cells, "cell").filter((at >= F.col("lo")) & (at < F.col("hi"))).drop("cell", "lo", "hi")
 
 
-#: One round of swap-or-not on x in [0, n); {div} is whole division. Every product stays below 2^63.
-_KEY = "(((sid * 7919 + pass * 104729 + r * 15485863 + 12345) % 2147483647) * ((sid * 7919 + pass * 104729 + r * 15485863 + 12345) % 2147483647))"
-_PARTNER = f"((({_KEY} % n) + n - x) % n)"
-_TOP = f"greatest(x, {_PARTNER})"
-_MIX = f"(({_TOP} % 2147483647 + r * 40503 + sid * 31 + 7) % 2147483647)"
-_BIT = f"((((({_MIX} * {_MIX}) % 2147483647) * 69621 + {_TOP} {{div}} 2147483647 + r) % 2147483647) {{div}} 65536) % 2"
-SWAP = f"CASE WHEN {_BIT} = 1 THEN {_PARTNER} ELSE x END"
+#: Rounds of the permutation, each of two steps on a grid of ``wide`` x ``high`` places.
+_PRIME = 2147483647
 
 
-def permuted() -> Column:
-    """Block number of place ``x`` of the pass ``pass`` over source ``sid`` of ``n`` blocks."""
-    return F.expr(f"aggregate(sequence(1L, {ROUNDS}L), x, (x, r) -> {SWAP.format(div='div')})")
+def _scattered(value: str, salt: int) -> str:
+    """SQL of a number below 2^31 that looks random; every product stays below 2^63."""
+    t = f"(({value} + sid * 7919 + pass * 104729 + {salt * 15485863 + 12345}) % {_PRIME})"
+    return f"(({t} * {t} % {_PRIME} * 48271 + {t} * 69621) % {_PRIME})"
+
+
+#: The columns of one round, in turn: the place after a shift by a third of n, its column and row in
+#: the grid, both moved by what the other one scatters to, and the new place. The fewer than ``wide`` places that the grid
+#: leaves over wait for the next round's shift. {div} is whole division.
+ROUND = {
+    "y": "((x + n {div} 3 + 1) % n)",
+    "l": lambda k: f"((y % wide + {_scattered('(y {div} wide)', 2 * k)}) % wide)",
+    "r": lambda k: f"((y {{div}} wide + {_scattered('l', 2 * k + 1)}) % high)",
+    "x": "CASE WHEN y < wide * high THEN l + wide * r ELSE y END",
+}
+
+
+def round_sql(k: int, div: str) -> dict[str, str]:
+    return {name: (v if isinstance(v, str) else v(k)).replace("{div}", div) for name, v in ROUND.items()}
+
+
+def permuted(df: DataFrame) -> DataFrame:
+    """Replace place ``x`` of the pass ``pass`` over source ``sid`` of ``n`` blocks by a block number; one to one."""
+    df = df.withColumn("wide", F.floor(F.sqrt("n")).cast("long")).withColumn("high", F.expr("n div wide"))
+    for k in range(ROUNDS):
+        for name, value in round_sql(k, "div").items():
+            df = df.withColumn(name, F.expr(value))
+    return df.drop("wide", "high", "y", "l", "r")
 
 
 def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -161,7 +181,8 @@ def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     moved = located(extra, "x", gaps, moved_total).select("shard", "slot", F.col("new").alias("sid"), (F.col("from") + F.col("x") - F.col("base")).alias("j"))
     numbered = stay.unionByName(moved).join(share.select("sid", "n"), "sid")
     passes = numbered.select("shard", "slot", "sid", "n", F.floor(F.col("j") / F.col("n")).alias("pass"), F.pmod("j", "n").alias("x"))
-    return passes.select("shard", "slot", "sid", "pass", permuted().alias("block"))
+    # Stored: the plan of the mix, and a bound for the optimiser, which would unfold the rounds into every filter above them.
+    return stage(permuted(passes).select("shard", "slot", "sid", "pass", F.col("x").alias("block")), "slots")
 
 
 def mix(sized: DataFrame, sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -202,9 +223,21 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.select(*result)
 
 
-_SWAP_SQL = SWAP.format(div="//")
+
+
+def _rounds_sql() -> str:
+    """The rounds as common table expressions p0 ... over ``ps``."""
+    found, last = ["g0 AS MATERIALIZED (SELECT *, CAST(floor(sqrt(n)) AS BIGINT) AS wide, n // CAST(floor(sqrt(n)) AS BIGINT) AS high FROM ps)"], "g0"
+    for k in range(ROUNDS):
+        for name, value in round_sql(k, "//").items():
+            old = f" EXCLUDE ({name})" if name == "x" or k else ""
+            found.append(f"g{len(found)} AS MATERIALIZED (SELECT *{old}, {value} AS {name} FROM {last})")
+            last = f"g{len(found) - 1}"
+    return ",\n".join(found) + f",\nbl AS (SELECT sid, x AS block, count(*) AS times FROM {last} GROUP BY sid, x),"
+
+
 SQL = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS sid FROM s0),
 s2 AS (SELECT *, CAST([3, 1, 2][(sid - 1) % 3 + 1] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM s1),
@@ -226,9 +259,8 @@ sh AS (SELECT *, greatest(q - c, 0) AS under, coalesce(sum(greatest(c - q, 0)) O
 ex AS (SELECT slot, over_before + j - q AS x FROM rk JOIN sh USING (sid) WHERE j >= q),
 al AS (SELECT sid, j FROM rk JOIN sh USING (sid) WHERE j < q UNION ALL
        SELECT sid, c + x - under_before FROM ex JOIN sh ON x >= under_before AND x < under_before + under),
-ps AS (SELECT sid, n, CAST(j // n AS BIGINT) AS pass, CAST(j % n AS BIGINT) AS x, 1::BIGINT AS r FROM al JOIN (SELECT sid, n FROM s) USING (sid)),
-pm AS (SELECT sid, n, pass, x, r FROM ps UNION ALL SELECT sid, n, pass, {_SWAP_SQL} AS x, r + 1 FROM pm WHERE r <= {ROUNDS}),
-bl AS (SELECT sid, x AS block, count(*) AS times FROM pm WHERE r = {ROUNDS + 1} GROUP BY sid, x),
+ps AS (SELECT sid, n, CAST(j // n AS BIGINT) AS pass, CAST(j % n AS BIGINT) AS x FROM al JOIN (SELECT sid, n FROM s) USING (sid)),
+{_rounds_sql()}
 st AS (SELECT doc_id, size, s.sid, coalesce(sum(size) OVER (PARTITION BY s.sid ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source WHERE size > 0),
 ov AS (SELECT doc_id, sid, start, size, unnest(range(CAST(start // {BLOCK} AS BIGINT), CAST((start + size - 1) // {BLOCK} + 1 AS BIGINT))) AS block FROM st),
