@@ -88,14 +88,16 @@ def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     lines = let(F.filter(F.split(body, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0), lambda x: F.struct(
         F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     ))
+    # Under names of their own, whatever the other columns are called.
+    inner = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
     counted = docs.select(
-        *columns, words.alias("_words"), lines.alias("_lines"),
+        *inner, words.alias("_words"), lines.alias("_lines"),
         F.length(F.translate(body, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.regexp_count(body, F.lit(f"[{SYMBOLS}]+")).cast("long").alias("n_symbol_runs"),
     )
     return counted.select(
-        *columns, F.col("_words")["n_words"].alias("n_words"), "word_chars", "n_symbols", F.col("_lines")["n_lines"].alias("n_lines"),
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("_words")["n_words"].alias("n_words"), "word_chars", "n_symbols", F.col("_lines")["n_lines"].alias("n_lines"),
         F.col("_lines")["n_dup_lines"].alias("n_dup_lines"), F.col("_words")["n_repeat_words"].alias("n_repeat_words"),
         F.col("_words")["n_distinct"].alias("n_distinct"), "n_symbol_runs",
     )
@@ -189,7 +191,8 @@ def estimate(voted: DataFrame, names: list[str], steps: int = STEPS) -> DataFram
 def judge(counted: DataFrame, least: float = 0.5) -> DataFrame:
     """Stored ``counted`` rows with the votes, ``posterior``, ``base_failed`` and ``kept``."""
     ruled = rules()
-    voted = votes(counted, ruled)
+    taken = [*(f"vote_{name}" for name in ruled), "posterior", "base_failed", "kept"]
+    voted = votes(counted.select(without(counted, *taken)), ruled)
     prior, good, bad = estimate(voted, list(ruled)).first()
     odds = log_odds(F.lit(prior), F.array(*map(F.lit, good)), F.array(*map(F.lit, bad)), lambda k: F.col(f"vote_{list(ruled)[k]}"), len(ruled))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
