@@ -113,12 +113,13 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
 def _bound(ids: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, word: np.ndarray, right: bool) -> np.ndarray:
     """Per query, the first place in [lo, hi) whose word at ``depth`` is not below (``right``: above) ``word``."""
     lo, hi = lo.copy(), hi.copy()
-    while (open_ := lo < hi).any():
-        mid = (lo + hi) >> 1
-        seen = ids[sa[np.where(open_, mid, 0)] + depth]
-        low = (seen <= word) if right else (seen < word)
-        lo = np.where(open_ & low, mid + 1, lo)
-        hi = np.where(open_ & ~low, mid, hi)
+    while len(k := np.flatnonzero(lo < hi)):
+        mid = (lo[k] + hi[k]) >> 1
+        # The suffixes of an interval agree in ``depth`` known words, so there is a word or an end at this depth.
+        seen = ids[sa[mid] + depth]
+        low = (seen <= word[k]) if right else (seen < word[k])
+        lo[k[low]] = mid[low] + 1
+        hi[k[~low]] = mid[~low]
     return lo
 
 
