@@ -127,7 +127,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         def out():
             for name, parts in held.items():
                 codes, n = merged(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes)), pa.array(codes), pa.array(n)], names=["lang", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["lang", "code", "n"])
 
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
