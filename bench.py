@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -42,7 +43,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
-    spark = local_session(cores, shuffle_partitions=cores, app="newsflow-bench")
+    spark = local_session(cores, shuffle_partitions=cores, app="newsflow-bench", checkpoint_dir=tempfile.mkdtemp(prefix="newsflow-bench-"))
     names = sys.argv[1:] or HEADLINE
     # One small run so that JVM start and class loading are not charged to a query.
     QUERIES["tfidf_transform"].build(spark, sf_dir.replace("sf0.1", "sf0.001")).write.format("noop").mode("overwrite").save()

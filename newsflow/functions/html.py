@@ -12,9 +12,10 @@ from newsflow.functions.text import strip
 # ---------------------------------------------------------------------------
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 ARTICLE = r"(?is)<article[^>]*>(.*?)</article>"
-PARAGRAPH = r"(?is)<p>(.*?)</p>"
-LIST_ITEM = r"(?is)<li[^>]*>(.*?)</li>"
-HREF = r"""(?is)<a\s[^>]*?href="([^"]*)\""""
+PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"
+LIST_ITEM = r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"
+HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+NUMERIC = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
 TAG = r"(?s)<[^>]*>"
 ENTITIES = (
     ("&lt;", "<"),
@@ -30,12 +31,29 @@ ENTITIES = (
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode the named entities of the pages; ``&amp;`` last so it is decoded once."""
+    """Decode numeric entities and the named ones of the pages; ``&amp;`` last so it is decoded once."""
+    text = F.when(F.regexp_count(text, F.lit(NUMERIC)) > 0, _decode_numeric(text)).otherwise(text)
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
 
+def _decode_numeric(text: Column) -> Column:
+    """Numeric entities as UTF-8; a number that is no character becomes U+FFFD."""
+
+    def decoded(code: Column) -> Column:
+        number = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).cast("int")
+        valid = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
+        # UTF-32 of the number, read as text.
+        points = F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0"))
+        return F.decode(points, "UTF-32")
+
+    codes = F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(1))
+    parts = F.split(text, NUMERIC, -1)
+    glued = F.transform(parts, lambda part, i: F.when(F.get(codes, i).isNull(), part).otherwise(F.concat(part, decoded(F.get(codes, i)))))
+    return F.array_join(glued, "")
+
+
 def text_of(markup: Column) -> Column:
     """Text content of a piece of markup."""
     return decode_entities(F.regexp_replace(markup, TAG, ""))
@@ -51,7 +69,7 @@ def article_node(html: Column) -> Column:
 
 
 def paragraphs(markup: Column) -> Column:
-    """Text of every paragraph: from ``<p>`` to the next ``</p>``."""
+    """Text of every paragraph: from ``<p>``, with or without attributes, to the next ``</p>``."""
     return F.transform(F.regexp_extract_all(markup, F.lit(PARAGRAPH), F.lit(1)), text_of)
 
 
@@ -66,7 +84,7 @@ def list_rows(html: Column) -> Column:
 
 def first_href(markup: Column) -> Column:
     """First link target, NULL when the row has no link."""
-    return F.nullif(F.regexp_extract(markup, HREF, 1), F.lit(""))
+    return F.nullif(F.concat(*[F.regexp_extract(markup, HREF, k) for k in (1, 2, 3)]), F.lit(""))
 
 
 def resolve_url(base: Column, href: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.functions import text as X
-from newsflow.operators.features import by_document, svm_tokens, term_counts
+from newsflow.operators.features import svm_tokens, term_counts
 from newsflow.operators.lookup import lookup_join
 from newsflow.operators.ordering import split_random
 from newsflow.session import stage
@@ -79,8 +79,8 @@ def train_naive_bayes(df: DataFrame, tokens: Column, label: str = "label", smoot
 
 def naive_bayes_scores(df: DataFrame, tokens: Column, model: NaiveBayes, id_col: str = "id") -> DataFrame:
     """``(id, scores)``: log posterior (up to a constant) per class; unseen terms are ignored."""
-    counts = term_counts(by_document(df, id_col), F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit(""))), id_col)
-    known = lookup_join(counts, model.terms, "term", "n", [id_col])
+    counts = term_counts(df, F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit(""))), id_col)
+    known = lookup_join(counts, model.terms.drop("n"), "term")
     sums = [
         F.round(F.coalesce(F.sum(F.col("tf") * F.col("logp")[i]), F.lit(0.0)) + F.lit(prior), SCORE_DIGITS)
         for i, prior in enumerate(model.priors)
@@ -106,7 +106,7 @@ def linear_scores(
     ``weights`` is ``(id, term, weight)``, ``coefficients`` a staged ``(term, df, coef)``
     table; the decision is ``score >= 0``. A row without known terms scores the bias.
     """
-    joined = lookup_join(weights, coefficients, "term", "df", [id_col])
+    joined = lookup_join(weights, coefficients.drop("df"), "term")
     sums = joined.groupBy(id_col).agg(F.sum(F.col("weight") * F.col("coef")).alias("_sum"))
     score = F.round(F.coalesce(F.col("_sum"), F.lit(0.0)) + F.lit(bias), SCORE_DIGITS)
     return (

@@ -10,29 +10,9 @@ from newsflow.functions import text as X
 from newsflow.operators.lookup import lookup_join, sized
 from newsflow.session import stage
 
-# ---------------------------------------------------------------------------
-# List pages walked per category, and the chunked walk.
-# ---------------------------------------------------------------------------
-LIST_PAGE = "https://www.moneydj.com/kmdj/common/listnewarticles.aspx?index1={}&svc=NW&a="
-CATEGORY_CODES = {
-    "material": ["X0300001", "X0300002", "X0300003", "X0300004", "X0300007", "X0300008", "X0300009", "X0300010"],
-    "future": ["X0700000"],
-    "fund": ["X1300000"],
-    "gold": ["X1100000"],
-    "estate": ["X1010000"],
-    "bond": ["X0500000"],
-    "forex": ["X1610000"],
-    "system": ["X2000001", "X2000002", "X2000003", "X2000004", "X2000005", "X2000006", "X2000007"],
-}
+# Pages walked per list and the chunked walk, by default.
 FIRST_PAGE, LAST_PAGE = 1, 5
 CHUNKS, WORKERS, PAGES_PER_WORKER, PAGES_PER_CHUNK = 4, 9, 10, 100
-CHUNKED_LIST_PAGE = "https://xnews.jin10.com/53/page/{}"
-# ---------------------------------------------------------------------------
-
-
-def category_rows() -> list[tuple[list[str], str]]:
-    """The crawled categories as ``CATEGORY`` rows."""
-    return [([LIST_PAGE + code for code in codes], domain) for domain, codes in CATEGORY_CODES.items()]
 
 
 def crawl_frontier(categories: DataFrame, first: int = FIRST_PAGE, last: int = LAST_PAGE) -> DataFrame:
@@ -85,15 +65,13 @@ def link_page_join(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Each link with the page it leads to, NULL when that page is not stored.
 
     One page per address (the first stored), so a popular address never multiplies
-    rows. Links are counted per address first; the counts tell the join which
-    addresses are hot.
+    rows. Popular addresses are found among the links, so a menu link to a page that is not stored
+    is no hot spot either.
     """
     by_address = pages.select(H.normalize_url(F.col("url")).alias("link_key"), "page_id").groupBy("link_key").agg(
         F.min("page_id").alias("target_id")
     )
-    in_links = links.groupBy("link_key").agg(F.count(F.lit(1)).alias("in_links"))
-    targets = stage(by_address.join(in_links, "link_key"), "link-targets")
-    return lookup_join(links, targets, "link_key", "in_links", ["page_id", "pos"])
+    return lookup_join(links, stage(by_address, "link-targets"), "link_key")
 
 
 def links_to_fetch(links: DataFrame, pages: DataFrame) -> DataFrame:

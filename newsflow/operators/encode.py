@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from newsflow.functions import arrays as A
 from newsflow.operators.lookup import sized
 from newsflow.operators.ordering import assign_batches
+from newsflow.session import stage
 
 # ---------------------------------------------------------------------------
 # Special ids of the word vocabulary.
@@ -26,17 +27,32 @@ MAX_VOCABULARY = 500_000
 def build_vocab(df: DataFrame, tokens: Column, size: int = 30_000) -> DataFrame:
     """``(token, token_id, n)`` of the ``size`` most frequent tokens, ties by token.
 
-    Counts combine map-side; the ranking window sees at most ``size`` rows.
+    Counts combine map-side. The count at the cut-off comes from a table of counts, and tokens that tie there are narrowed
+    by their first letters, so the sort that picks the last ones and the ranking see little more than ``size`` rows.
     """
     if size > MAX_VOCABULARY:
         raise ValueError(f"vocabulary of {size} words, at most {MAX_VOCABULARY} expected")
-    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
     order = [F.desc("n"), F.asc("token")]
-    top = counts.orderBy(*order).limit(size)
+    cut, room = _cut_off(counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows")), F.desc("n"), "n", size)
+    top = counts
+    if cut is not None:
+        ties = counts.filter(F.col("n") == cut).withColumn("_letters", F.substring("token", 1, 2))
+        letters, _ = _cut_off(ties.groupBy("_letters").agg(F.count(F.lit(1)).alias("rows")), F.asc("_letters"), "_letters", room)
+        ties = ties if letters is None else ties.filter(F.col("_letters") <= letters)
+        top = counts.filter(F.col("n") > cut).unionByName(ties.drop("_letters").orderBy("token").limit(room))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
     return top.withColumn("token_id", rank + (FIRST_WORD_ID - 1)).select("token", "token_id", "n")
 
 
+def _cut_off(groups: DataFrame, order: Column, key: str, size: int):
+    """The group in ``order`` that holds the ``size``-th row, and how many of its rows are wanted; none if there are fewer rows."""
+    before = F.sum("rows").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    at = groups.withColumn("_before", F.coalesce(before, F.lit(0))).filter((F.col("_before") < size) & (F.col("_before") + F.col("rows") >= size))
+    row = at.select(key, "_before").first()
+    return (None, size) if row is None else (row[0], size - row[1])
+
+
 def encode_tokens(df: DataFrame, tokens: Column, vocab: DataFrame, id_col: str = "id", out: str = "ids") -> DataFrame:
     """Ids of every token in text order; words outside the vocabulary get the unknown id.
 

@@ -13,16 +13,6 @@ from newsflow.operators.lookup import lookup_join
 from newsflow.session import stage
 
 
-def by_document(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Place whole documents by id once.
-
-    Counting terms, norms and sentence scores all group by document, so with this
-    placement none of them shuffles again: the text moves once instead of its
-    (larger) exploded term rows.
-    """
-    return df.repartition(id_col)
-
-
 def without_stopwords(tokens: Column, stopwords: Sequence[str]) -> Column:
     """Drop stop words inside the token array (a hash-set test, no join)."""
     return F.filter(tokens, lambda t: ~t.isin(*stopwords)) if stopwords else tokens
@@ -39,11 +29,29 @@ def remove_stopwords(tokens: DataFrame, stopwords: DataFrame, token: str = "toke
     return tokens.join(stopwords.select(F.col("word").alias(token)).distinct(), token, "left_anti")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def counted(tokens: Column) -> Column:
+    """``array<struct<term, tf>>``: tokens counted inside the row, by the runs of the sorted array."""
+
+    def runs(ordered: Column) -> Column:
+        new = lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), new)
+        end = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(ordered))
+        return let(starts, lambda at: F.transform(at, lambda p, k: F.struct(
+            F.get(ordered, p).alias("term"), (end(at, k) - p).cast("long").alias("tf")
+        )))
+
+    some = F.size(tokens) > 0
+    return F.when(some, let(F.sort_array(tokens), runs))
+
+
 def term_counts(df: DataFrame, tokens: Column, id_col: str = "id") -> DataFrame:
-    """``(id, term, tf)``; on input placed by document nothing is shuffled."""
-    return df.select(id_col, F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    """``(id, term, tf)``; a document is one row, so nothing is shuffled."""
+    return df.select(id_col, F.inline(counted(tokens)))
 
 
 def tfidf_fit(df: DataFrame, tokens: Column, n_docs: int | None = None) -> DataFrame:
@@ -68,7 +76,7 @@ def tfidf_model(df: DataFrame, tokens: Column) -> DataFrame:
 
 def weigh_terms(counts: DataFrame, model: DataFrame, id_col: str = "id") -> DataFrame:
     """Add ``weight``: tf * idf scaled to unit L2 norm per document; unseen terms are dropped."""
-    known = lookup_join(counts, model, "term", "df", [id_col]).filter(F.col("idf").isNotNull())
+    known = lookup_join(counts, model.drop("df"), "term").filter(F.col("idf").isNotNull())
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(id_col)))
     return known.withColumn("weight", raw / norm).drop("idf")
@@ -76,14 +84,13 @@ def weigh_terms(counts: DataFrame, model: DataFrame, id_col: str = "id") -> Data
 
 def tfidf_transform(df: DataFrame, tokens: Column, model: DataFrame, id_col: str = "id") -> DataFrame:
     """``(id, term, tf, weight)`` of every document."""
-    return weigh_terms(term_counts(by_document(df, id_col), tokens, id_col), model, id_col)
+    return weigh_terms(term_counts(df, tokens, id_col), model, id_col)
 
 
 def vocab_lookup(df: DataFrame, tokens: Column, model: DataFrame, id_col: str = "id") -> DataFrame:
     """``(id, term, tf, df, idf)`` of the known terms of every document."""
-    counts = term_counts(by_document(df, id_col), tokens, id_col)
-    with_df = model.withColumn("doc_freq", F.col("df"))
-    return lookup_join(counts, with_df, "term", "df", [id_col]).filter(F.col("idf").isNotNull())
+    counts = term_counts(df, tokens, id_col)
+    return lookup_join(counts, model.withColumnRenamed("df", "doc_freq"), "term").filter(F.col("idf").isNotNull())
 
 
 def svm_tokens(text: Column, stopwords: Sequence[str] = ()) -> Column:

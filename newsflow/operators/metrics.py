@@ -43,10 +43,10 @@ def confusion_counts(df: DataFrame, pred: str = "pred", label: str = "label") ->
 
 
 def confusion_matrix(df: DataFrame, classes: Sequence[int], pred: str = "pred", label: str = "label") -> DataFrame:
-    """One row per true class, one column ``pred_<class>`` per predicted class."""
-    return df.groupBy(label).agg(
-        *[F.count(F.when(F.col(pred) == c, 1)).alias(f"pred_{c}") for c in classes]
-    )
+    """One row per true class, one column ``pred_<class>`` per predicted class and ``pred_other`` for all others."""
+    own = [F.count(F.when(F.col(pred) == c, 1)).alias(f"pred_{c}") for c in classes]
+    other = F.coalesce(~F.col(pred).isin(list(classes)), F.lit(True))
+    return df.groupBy(label).agg(*own, F.count_if(other).alias("pred_other"))
 
 
 def _ratio(top: Column, bottom: Column) -> Column:

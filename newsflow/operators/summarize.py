@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsflow.functions import text as X
-from newsflow.operators.features import by_document, svm_tokens
+from newsflow.operators.features import svm_tokens
 from newsflow.operators.lookup import lookup_join
 
 SCORE_DIGITS = 6
@@ -29,17 +29,16 @@ def score_sentences(
 ) -> DataFrame:
     """Candidates scored by the mean TF-IDF weight of their tokens; no known token scores 0.
 
-    The articles are placed by id once. With ``c`` uses of a term in a sentence and
+    With ``c`` uses of a term in a sentence and
     ``tf`` in the article, a sentence sums ``c * tf * idf`` and the squared norm of the
     article is the sum of ``c * tf * idf^2`` over all its sentences, so one pass over the
     term rows gives both and terms are never joined back to sentences.
     """
-    placed = by_document(df.select(id_col, text), id_col)
-    sentences = sentence_table(placed, text, id_col)
+    sentences = sentence_table(df.select(id_col, text).repartition(id_col), text, id_col)
     tokens = sentences.select(id_col, "pos", F.explode(svm_tokens(F.col("sentence"), stopwords)).alias("term"))
     counts = tokens.groupBy(id_col, "term", "pos").agg(F.count(F.lit(1)).alias("c"))
     with_tf = counts.withColumn("tf", F.sum("c").over(Window.partitionBy(id_col, "term")))
-    known = lookup_join(with_tf, model, "term", "df", [id_col]).filter(F.col("idf").isNotNull())
+    known = lookup_join(with_tf, model.drop("df"), "term").filter(F.col("idf").isNotNull())
     raw = F.col("c") * F.col("tf") * F.col("idf")
     sums = known.groupBy(id_col, "pos").agg(
         F.sum(raw).alias("_raw"), F.sum("c").alias("_tokens"), F.sum(raw * F.col("idf")).alias("_square")
@@ -62,10 +61,15 @@ def rank_candidates(candidates: DataFrame, id_col: str = "id") -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(_best_first(id_col)))
 
 
-def extractive_summary(candidates: DataFrame, k: int = 3, id_col: str = "id") -> DataFrame:
-    """``(id, summary)``: the ``k`` best sentences in text order."""
-    best = rank_candidates(candidates, id_col).filter(F.col("rank") <= k)
-    return join_sentences(best, id_col)
+def extractive_summary(candidates: DataFrame, k: int = 3, id_col: str = "id", articles: DataFrame | None = None) -> DataFrame:
+    """``(id, summary)``: the ``k`` best sentences in text order.
+
+    With ``articles``, one without a sentence gets an empty summary.
+    """
+    best = join_sentences(rank_candidates(candidates, id_col).filter(F.col("rank") <= k), id_col)
+    if articles is None:
+        return best
+    return articles.select(id_col).join(best, id_col, "left").select(id_col, F.coalesce("summary", F.lit("")).alias("summary"))
 
 
 def join_sentences(chosen: DataFrame, id_col: str = "id") -> DataFrame:
@@ -127,22 +131,29 @@ def sample_candidate(weighted: DataFrame, seed: int = 42, id_col: str = "id") ->
 
 
 def block_repeat_ngrams(candidates: DataFrame, n: int = 2, id_col: str = "id") -> DataFrame:
-    """Drop sentences that share an n-gram with a higher-ranked sentence of the article.
+    """Drop sentences that would repeat an n-gram in the text made of the sentences kept before, best first.
 
-    The best rank of each (article, n-gram) decides, so no pairs of sentences are built.
-    ``candidates`` is read twice; pass a staged table.
+    A sentence that repeats an n-gram in itself goes too; one that goes blocks nothing. Decided in rank order over one array per article.
     """
-    ranked = rank_candidates(candidates, id_col)
-    words = ranked.select(id_col, "rank", X.words(F.col("sentence")).alias("_words"))
-    exploded = words.select(id_col, "rank", F.explode(F.array_distinct(X.ngrams(F.col("_words"), n))).alias("gram"))
-    first_use = F.min("rank").over(Window.partitionBy(id_col, "gram"))
-    repeats = (
-        exploded.withColumn("_first", first_use)
-        .filter(F.col("_first") < F.col("rank"))
-        .select(id_col, "rank")
-        .distinct()
+    columns = [c for c in candidates.columns if c != id_col]
+    ranked = rank_candidates(candidates, id_col).withColumn("_grams", X.ngrams(X.words(F.col("sentence")), n))
+    entry = F.struct("rank", *columns, "_grams")
+    grouped = ranked.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    start = F.struct(
+        F.array().cast("array<string>").alias("seen"), F.array().cast("array<int>").alias("kept")
     )
-    return ranked.join(repeats, [id_col, "rank"], "left_anti")
+
+    def step(state: Column, s: Column) -> Column:
+        grams = s["_grams"]
+        fits = (F.size(F.array_distinct(grams)) == F.size(grams)) & ~F.arrays_overlap(state["seen"], grams)
+        return F.struct(
+            F.when(fits, F.concat(state["seen"], grams)).otherwise(state["seen"]).alias("seen"),
+            F.when(fits, F.concat(state["kept"], F.array(s["rank"]))).otherwise(state["kept"]).alias("kept"),
+        )
+
+    decided = grouped.withColumn("_kept", F.aggregate("_all", start, step)["kept"])
+    chosen = decided.select(id_col, F.explode(F.filter("_all", lambda s: F.array_contains(F.col("_kept"), s["rank"]))).alias("_one"))
+    return chosen.select(id_col, *[F.col("_one")[c].alias(c) for c in columns], F.col("_one")["rank"].alias("rank"))
 
 
 def decoding_runs(candidates: DataFrame, runs: Sequence[tuple[str, float, int | None, float | None]],

@@ -10,7 +10,7 @@ from newsflow.plans.prep import STRATIFIED_SQL
 from newsflow.plans.registry import query
 from newsflow.plans.scoring import DOMAIN_SQL
 from newsflow.plans.tables import (
-    ART, CAND, LATIN_NEGATORS, STOPWORDS, TF, articles, documents, labelled, sql_sentences, sql_tokens, table, texts, with_,
+    ART, CAND, LATIN_NEGATORS, STOPWORDS, TF, articles, documents, labelled, sql_sentences, sql_tokens, table, with_,
 )
 from newsflow.schemas import DOMAIN_LABELS
 from newsflow.session import stage, staging_path
@@ -61,7 +61,7 @@ def tfidf_transform(spark, sf):
 def vocab_lookup(spark, sf):
     """Terms of new texts (pages) found in the vocabulary of the documents."""
     model = features.tfidf_model(docs(spark, sf), stopped_tokens())
-    pages = texts(spark, sf, "pages", "page_id").select(F.col("page_id").alias("id"), "html")
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), "html")
     found = features.vocab_lookup(pages, stopped_tokens("html"), model)
     return found.select("id", "term", "tf", "doc_freq", F.round("idf", 6).alias("idf"))
 
@@ -98,7 +98,7 @@ NB_SCORE_SQL = (
 
 
 def language_rows(spark, sf):
-    docs_ = texts(spark, sf, "documents", "doc_id")
+    docs_ = table(spark, sf, "documents")
     return docs_.select(F.col("doc_id").alias("id"), F.col("text").alias("maintext"), F.col("lang").alias("label"))
 
 
@@ -202,7 +202,8 @@ def candidates(spark, sf):
 
 SUMMARY_SQL = (
     *CAND,
-    f"summ AS (SELECT id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM ranked WHERE rank <= {SUMMARY_SENTENCES} GROUP BY id)",
+    f"best AS (SELECT id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM ranked WHERE rank <= {SUMMARY_SENTENCES} GROUP BY id)",
+    "summ AS (SELECT doc_id AS id, coalesce(summary, '') AS summary FROM documents LEFT JOIN best ON best.id = doc_id)",
 )
 
 
@@ -213,7 +214,7 @@ def score_sentences(spark, sf):
 
 @query("extractive_summary", with_(*SUMMARY_SQL, "SELECT id, summary FROM summ"))
 def extractive_summary(spark, sf):
-    return summarize.extractive_summary(candidates(spark, sf), SUMMARY_SENTENCES)
+    return summarize.extractive_summary(candidates(spark, sf), SUMMARY_SENTENCES, articles=docs(spark, sf))
 
 
 @query("lead_summary", f"SELECT doc_id AS id, array_to_string(({sql_sentences('text')})[1:{SUMMARY_SENTENCES}], ' ') AS summary FROM documents")
@@ -266,15 +267,17 @@ def sample_candidate(spark, sf):
     return summarize.sample_candidate(weighted).select("id", "pos", "sentence")
 
 
-@query("block_repeat_ngrams", with_(*CAND,
+@query("block_repeat_ngrams", "WITH RECURSIVE " + with_(*CAND,
        r"sw AS (SELECT id, rank, regexp_extract_all(lower(sentence), '\p{L}+') AS ws FROM ranked)",
        "so AS (SELECT id, rank, generate_subscripts(ws, 1) AS i, unnest(ws) AS wd FROM sw)",
        "gr AS (SELECT id, rank, wd || ' ' || lead(wd) OVER (PARTITION BY id, rank ORDER BY i) AS gram FROM so)",
-       "fi AS (SELECT id, gram, min(rank) AS first FROM gr WHERE gram IS NOT NULL GROUP BY ALL)",
-       "rep AS (SELECT DISTINCT gr.id, gr.rank FROM gr JOIN fi ON gr.id = fi.id AND gr.gram = fi.gram AND fi.first < gr.rank)",
-       "SELECT r.id, r.pos, r.rank FROM ranked r LEFT JOIN rep ON r.id = rep.id AND r.rank = rep.rank WHERE rep.id IS NULL"))
+       "gl AS MATERIALIZED (SELECT r.id, r.rank, r.pos, coalesce(list(gram) FILTER (WHERE gram IS NOT NULL), []) AS g FROM ranked r LEFT JOIN gr USING (id, rank) GROUP BY ALL)",
+       "fold AS (SELECT DISTINCT id, CAST(0 AS INTEGER) AS rank, CAST(NULL AS INTEGER) AS pos, CAST([] AS VARCHAR[]) AS seen, FALSE AS ok FROM gl UNION ALL "
+       "SELECT id, rank, pos, CASE WHEN ok THEN list_concat(seen, g) ELSE seen END, ok FROM (SELECT gl.*, f.seen, "
+       "len(list_distinct(g)) = len(g) AND NOT list_has_any(f.seen, g) AS ok FROM fold f JOIN gl ON gl.id = f.id AND gl.rank = f.rank + 1))",
+       "SELECT id, pos, rank FROM fold WHERE ok")[5:])
 def block_repeat_ngrams(spark, sf):
-    return summarize.block_repeat_ngrams(stage(candidates(spark, sf), "candidates"), 2).select("id", "pos", "rank")
+    return summarize.block_repeat_ngrams(candidates(spark, sf), 2).select("id", "pos", "rank")
 
 
 # --- predictions against references, ROUGE -----------------------------------

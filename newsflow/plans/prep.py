@@ -148,17 +148,15 @@ def load_splits(spark, sf):
     with_(
         f"tok AS (SELECT unnest({sql_tokens('text')}) AS word FROM documents)",
         "SELECT DISTINCT word FROM (SELECT translate(word, 'àáâäçèéêëíîïñóôöùúûü', 'aaaaceeeeiiinooouuuu') AS word "
-        "FROM (SELECT word FROM tok GROUP BY word ORDER BY count(*) DESC, word LIMIT 1500)) WHERE word <> ''",
+        "FROM (SELECT DISTINCT word FROM tok)) WHERE word <> ''",
     ),
 )
 def load_stopwords(spark, sf):
-    """A word file made of the most frequent words, with blanks around them and every word twice."""
+    """A word file made of all words, with blanks around them and every word twice."""
     tokens = table(spark, sf, "documents").select(F.explode(X.pattern_tokens(F.col("text"))).alias("word"))
-    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(1500)
     path = staging_path(spark, "stopwords")
     padded = F.concat(F.lit("  "), F.col("word"), F.lit("\t"))
-    top.select(F.explode(F.array(padded, F.col("word"))).alias("value")).write.text(path)
+    tokens.distinct().select(F.explode(F.array(padded, F.col("word"))).alias("value")).write.text(path)
     return readers.load_stopwords(spark, path, "àáâäçèéêëíîïñóôöùúûü", "aaaaceeeeiiinooouuuu")
 
 

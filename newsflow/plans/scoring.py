@@ -109,9 +109,10 @@ def accuracy(spark, sf):
     return predicted(spark, sf).agg(F.round(metrics.accuracy(), 6).alias("accuracy"))
 
 
-@query("mse", "SELECT round(avg(pow(CAST(embedding[1] AS DOUBLE) - label, 2)), 6) AS mse FROM embeddings")
+@query("mse", with_(LOGITS, "SELECT round(avg((p - label) * (p - label)), 6) AS mse FROM "
+       "(SELECT label, " + " + ".join(f"scores[{k}]" for k in range(1, 11)) + " AS p FROM logit)"))
 def mse(spark, sf):
-    rows = logits(spark, sf).select(F.element_at("scores", 1).alias("pred"), "label")
+    rows = logits(spark, sf).select(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x).alias("pred"), "label")
     return rows.agg(F.round(metrics.mse(), 6).alias("mse"))
 
 
@@ -141,7 +142,7 @@ def classification_report(spark, sf):
 
 
 @query("confusion_matrix", with_(LOGITS, PREDICTED, "SELECT label, " + ", ".join(
-       f"count(*) FILTER (WHERE pred = {c}) AS pred_{c}" for c in range(10)) + " FROM pred GROUP BY label"))
+       f"count(*) FILTER (WHERE pred = {c}) AS pred_{c}" for c in range(10)) + ", count(*) FILTER (WHERE pred NOT BETWEEN 0 AND 9) AS pred_other FROM pred GROUP BY label"))
 def confusion_matrix(spark, sf):
     return metrics.confusion_matrix(predicted(spark, sf), range(10))
 

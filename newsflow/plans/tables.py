@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.functions.text import WHITESPACE
-from newsflow.sources.readers import scan_table
 
 # ---------------------------------------------------------------------------
 # Fixed values of the queries over the supplied tables.
@@ -20,6 +21,8 @@ STOPWORDS = (
 )
 ACCENTED = "àáâäçèéêëíîïñóôöùúûüß"
 FOLDED = "aaaaceeeeiiinooouuuus"
+# Values of an embedding.
+VECTOR = 64
 # ---------------------------------------------------------------------------
 
 
@@ -27,11 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table whose texts are parsed or tokenised, spread over the cores if it is small."""
-    return scan_table(spark, f"{sf_dir}/{name}.parquet", key)
-
-
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: the text before the first line break is the title."""
     return table(spark, sf_dir, "documents").select(
@@ -45,7 +43,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, text)`` of all documents, for work on the texts."""
-    return texts(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def labelled(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
@@ -56,10 +54,10 @@ def labelled(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str, classes: int = 10) -> DataFrame:
-    """``(id, scores, label)``: the first values of each vector act as class scores."""
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), F.slice("embedding", 1, classes).alias("scores"), "label"
-    )
+    """``(id, scores, label)``: all values of each vector, summed by position modulo the classes, act as class scores."""
+    value = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    sums = [reduce(lambda a, b: a + b, [value(i) for i in range(k, VECTOR, classes)]) for k in range(classes)]
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.array(*sums).alias("scores"), "label")
 
 
 def with_(*parts: str) -> str:
@@ -111,10 +109,10 @@ def sql_text_of(x: str) -> str:
 SQL_TITLE = sql_strip(sql_text_of("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
 SQL_ARTICLE = "regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)"
 SQL_PARAGRAPHS = (
-    f"list_transform(regexp_extract_all({SQL_ARTICLE}, '(?is)<p>(.*?)</p>', 1), lambda p: {sql_text_of('p')})"
+    rf"list_transform(regexp_extract_all({SQL_ARTICLE}, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda p: {sql_text_of('p')})"
 )
 SQL_MAINTEXT = f"array_to_string({SQL_PARAGRAPHS}, '')"
-SQL_ROWS = "regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)"
+SQL_ROWS = r"regexp_extract_all(html, '(?is)<li(?:\s[^>]*)?>(.*?)</li>', 1)"
 
 
 def sql_url_key(x: str) -> str:
@@ -130,7 +128,9 @@ ART = (
     "source AS source_domain, lang FROM documents)"
 )
 LABELLED = "lab AS (SELECT d.doc_id AS id, d.text, l.quality AS label FROM documents d JOIN labels l USING (doc_id))"
-LOGITS = "logit AS (SELECT vec_id AS id, embedding[1:10] AS scores, label FROM embeddings)"
+LOGITS = "logit AS (SELECT vec_id AS id, [" + ", ".join(
+    " + ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(k, VECTOR, 10)) for k in range(10)
+) + "] AS scores, label FROM embeddings)"
 PREDICTED = "pred AS (SELECT id, label, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS pred FROM logit)"
 
 # TF-IDF over all documents, stop words removed.

@@ -9,7 +9,7 @@ from newsflow.functions import text as X
 from newsflow.operators import encode, features, summarize
 from newsflow.plans.registry import query
 from newsflow.plans.tables import (
-    LATIN_NEGATORS, SENT, STOPWORDS, documents, in_list, sql_sentences, sql_strip, sql_tokens, sql_words, table, texts, with_,
+    LATIN_NEGATORS, SENT, STOPWORDS, documents, in_list, sql_sentences, sql_strip, sql_tokens, sql_words, table, with_,
 )
 from newsflow.session import stage
 from newsflow.sources import readers
@@ -92,7 +92,7 @@ def tokenize_pattern(spark, sf):
 
 @query("join_tokens", f"SELECT page_id AS id, array_to_string({sql_tokens('html')}, ' ') AS joined FROM pages")
 def join_tokens(spark, sf):
-    return texts(spark, sf, "pages", "page_id").select(
+    return table(spark, sf, "pages").select(
         F.col("page_id").alias("id"), F.array_join(X.pattern_tokens(F.col("html")), " ").alias("joined")
     )
 
@@ -181,7 +181,7 @@ def encode_pairs(spark, sf):
 
 
 BATCH_SQL = (
-    f"cut AS (SELECT id, ids[1:{MAX_LENGTH}] AS ids, (row_number() OVER (ORDER BY id) - 1) // 16 AS batch FROM enc)",
+    "cut AS (SELECT id, ids, (row_number() OVER (ORDER BY id) - 1) // 16 AS batch FROM enc)",
     "longest AS (SELECT *, CAST(ceil(max(len(ids)) OVER (PARTITION BY batch) / 8) * 8 AS BIGINT) AS width FROM cut)",
 )
 
@@ -191,30 +191,43 @@ BATCH_SQL = (
        "array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(width - len(ids)), lambda x: 0)), ' ') "
        "AS attention_mask FROM longest"))
 def pad_ids(spark, sf):
-    cut = encoded(spark, sf).withColumn("ids", A.truncate(F.col("ids"), MAX_LENGTH))
-    padded = encode.pad_batches(cut, 16, multiple=8)
+    padded = encode.pad_batches(stage(encoded(spark, sf), "encoded"), 16, multiple=8)
     return padded.select("id", "batch", joined("input_ids").alias("input_ids"), joined("attention_mask").alias("attention_mask"))
 
 
-@query("pad_fixed", with_(*VOCAB_SQL, f"f AS (SELECT id, ids[1:{MAX_LENGTH}] AS ids FROM enc)",
-       f"SELECT id, array_to_string(list_concat(ids, list_transform(range({MAX_LENGTH} - len(ids)), lambda x: 0)), ' ') AS input_ids, "
+PARTS_SQL = (
+    f"part AS (SELECT id, ids, unnest(range(0, greatest(len(ids), 1), {MAX_LENGTH})) AS first FROM enc)",
+    f"f AS (SELECT id, first // {MAX_LENGTH} AS part, ids[first + 1:first + {MAX_LENGTH}] AS ids FROM part)",
+)
+
+
+def parts(spark, sf):
+    """All ids of every text, cut into parts of the fixed length."""
+    first = F.explode(F.sequence(F.lit(0), F.greatest(F.size("ids") - 1, F.lit(0)), F.lit(MAX_LENGTH)))
+    cut = encoded(spark, sf).withColumn("first", first)
+    ids = F.slice("ids", F.col("first") + 1, MAX_LENGTH)
+    return cut.select("id", F.floor(F.col("first") / MAX_LENGTH).cast("bigint").alias("part"), ids.alias("ids"))
+
+
+@query("pad_fixed", with_(*VOCAB_SQL, *PARTS_SQL,
+       f"SELECT id, part, array_to_string(list_concat(ids, list_transform(range({MAX_LENGTH} - len(ids)), lambda x: 0)), ' ') AS input_ids, "
        f"CAST(len(ids) AS INTEGER) AS real_ids FROM f"))
 def pad_fixed(spark, sf):
-    padded = encode.pad_fixed(encoded(spark, sf), MAX_LENGTH)
+    padded = encode.pad_fixed(parts(spark, sf), MAX_LENGTH)
     return padded.select(
-        "id", joined("input_ids").alias("input_ids"),
+        "id", "part", joined("input_ids").alias("input_ids"),
         F.size(F.array_compact(F.transform("attention_mask", lambda m: F.nullif(m, F.lit(0))))).alias("real_ids"),
     )
 
 
-@query("mask_label_padding", with_(*VOCAB_SQL, f"f AS (SELECT id, ids[1:{MAX_LENGTH}] AS ids FROM enc)",
-       f"SELECT id, array_to_string(list_concat(ids, list_transform(range({MAX_LENGTH} - len(ids)), lambda x: -100)), ' ') AS labels, "
+@query("mask_label_padding", with_(*VOCAB_SQL, *PARTS_SQL,
+       f"SELECT id, part, array_to_string(list_concat(ids, list_transform(range({MAX_LENGTH} - len(ids)), lambda x: -100)), ' ') AS labels, "
        f"array_to_string(list_concat(ids, list_transform(range({MAX_LENGTH} - len(ids)), lambda x: 0)), ' ') AS restored FROM f"))
 def mask_label_padding(spark, sf):
-    padded = encode.pad_fixed(encoded(spark, sf), MAX_LENGTH)
+    padded = encode.pad_fixed(parts(spark, sf), MAX_LENGTH)
     masked = padded.withColumn("labels", A.swap_value(F.col("input_ids"), encode.PAD_ID, -100))
     restored = masked.withColumn("restored", A.swap_value(F.col("labels"), -100, encode.PAD_ID))
-    return restored.select("id", joined("labels").alias("labels"), joined("restored").alias("restored"))
+    return restored.select("id", "part", joined("labels").alias("labels"), joined("restored").alias("restored"))
 
 
 @query("decode_ids", with_(*VOCAB_SQL,

@@ -34,7 +34,7 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "newsflow") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "newsflow", checkpoint_dir: str | None = None) -> SparkSession:
     """Session for tests and the single-node bench."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -46,6 +46,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if checkpoint_dir is not None:
+        builder = builder.config(CHECKPOINT_KEY, checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

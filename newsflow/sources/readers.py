@@ -14,20 +14,6 @@ from newsflow.schemas import ARTICLE, LABELLED_TEXT
 EXTENSIONS = {"json": "json", "jsonl": "json", "csv": "csv", "parquet": "parquet"}
 
 
-def scan_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """A stored Parquet table.
-
-    With ``key``, a table of fewer files than cores is spread over all cores by the
-    hash of its rows' key: text work on it is CPU-bound and a file may be a single row
-    group. A large table has many files and is read in place, without a shuffle.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if key is not None and len(df.inputFiles()) < cores:
-        return df.repartition(cores, key)
-    return df
-
-
 def scan_json_array(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = ARTICLE) -> DataFrame:
     """Files that each hold one JSON array of records.
 

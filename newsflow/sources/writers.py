@@ -26,8 +26,9 @@ def write_eval_predictions(
 
 
 def zip_predictions(predictions: DataFrame, references: DataFrame, id_col: str = "id") -> DataFrame:
-    """``(id, predictions, references)`` joined on the row id."""
-    return references.join(predictions, id_col).select(id_col, "predictions", "references")
+    """``(id, predictions, references)`` joined on the row id: a row per reference, its prediction empty if there is none."""
+    paired = references.join(predictions, id_col, "left")
+    return paired.select(id_col, F.coalesce("predictions", F.lit("")).alias("predictions"), "references")
 
 
 def format_row_id(ordinal: str):
@@ -54,9 +55,9 @@ def write_title_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def write_metrics(metrics: DataFrame, path: str, prefix: str = "", mode: str = "errorifexists") -> None:
-    """A one-row metrics table as one JSON file, keys optionally prefixed."""
+    """A metrics table as one JSON file, a line per row, keys optionally prefixed."""
     named = metrics.withColumnsRenamed({c: prefix + c for c in metrics.columns})
-    named.limit(1).coalesce(1).write.mode(mode).json(path)
+    named.coalesce(1).write.mode(mode).json(path)
 
 
 def write_by_category(df: DataFrame, path: str, category: str = "source_domain", mode: str = "errorifexists") -> None:

@@ -7,9 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from newsflow.session import local_session
 
-    session = local_session(8, app="newsflow-tests")
+    session = local_session(8, app="newsflow-tests", checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()

@@ -78,6 +78,8 @@ def test_metrics_file(spark, tmp_path):
     writers.write_metrics(spark.createDataFrame([(0.5, 3)], "accuracy double, samples int"), str(tmp_path / "m"), "eval_")
     files = list((tmp_path / "m").glob("*.json"))
     assert len(files) == 1 and json.loads(files[0].read_text()) == {"eval_accuracy": 0.5, "eval_samples": 3}
+    writers.write_metrics(spark.range(7), str(tmp_path / "many"))
+    assert spark.read.json(str(tmp_path / "many")).count() == 7
 
 
 def test_category_folders_split_hot_category(spark, tmp_path):

@@ -60,16 +60,62 @@ def test_labels(spark):
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_lookup_join_under_skew(spark, monkeypatch, limit):
     """The same rows with the broadcast and with the hot/cold shuffle join."""
-    monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", limit)
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_BYTES", limit)
     monkeypatch.setattr(lookup, "HOT_KEYS", 4)
     keys = ["hot"] * 300 + [f"k{i % 50}" for i in range(200)] + ["absent", None]
     facts = spark.createDataFrame(list(enumerate(keys)), "row bigint, key string")
     counts = collections.Counter(k for k in keys if k and k != "absent")
     table = stage(spark.createDataFrame([(k, n, k.upper()) for k, n in counts.items()], "key string, n bigint, value string"), "t")
-    got = {r["row"]: r["value"] for r in lookup.lookup_join(facts, table, "key", "n", ["row"]).collect()}
+    got = {r["row"]: r["value"] for r in lookup.lookup_join(facts, table.drop("n"), "key").collect()}
     assert got == {i: (k.upper() if k in counts else None) for i, k in enumerate(keys)}
 
 
+@pytest.mark.parametrize("stored", [True, False])
+def test_lookup_join_spreads_a_hot_key(spark, monkeypatch, stored):
+    """One key holds 80% of the facts, once stored and once absent; no broadcast by size, no adaptive plan."""
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_BYTES", 0)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        key = F.when(F.col("id") % 5 < 4, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 20_011).cast("string")))
+        facts = spark.range(0, 200_000, 1, 8).withColumn("key", key)
+        table = facts.select("key").distinct().filter(F.lit(stored) | (F.col("key") != "hot")).withColumn("value", F.upper("key"))
+        joined = lookup.lookup_join(facts, stage(table, "t"), "key")
+        assert joined.filter(F.col("value").isNull()).count() == (0 if stored else 160_000)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 200_000
+        # Hot rows stay in the facts' partitions, the others are dealt over the shuffle's.
+        assert max(s for s in sizes) <= 2 * 200_000 / 8
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_counted(spark):
+    rows = [(1, ["b", "a", "b", ""]), (2, []), (3, ["x"])]
+    df = spark.createDataFrame(rows, "id bigint, t array<string>")
+    got = {(r["id"], r["term"]): r["tf"] for r in features.term_counts(df, F.col("t")).collect()}
+    assert got == {(1, "a"): 1, (1, "b"): 2, (1, ""): 1, (3, "x"): 1}
+
+
+def test_vocabulary_ties(spark):
+    words = [f"{a}{b}{c}" for a in "ab" for b in "xy" for c in "123"] * 2 + ["top"] * 5 + ["zz"]
+    df = spark.createDataFrame([(1, words)], "id bigint, t array<string>")
+    expected = [w for w, _ in sorted(collections.Counter(words).items(), key=lambda x: (-x[1], x[0]))]
+    for size in (1, 2, 5, 9, 13, 14, 50):
+        rows = encode.build_vocab(df, F.col("t"), size).orderBy("token_id").collect()
+        assert [r["token"] for r in rows] == expected[:size] and [r["token_id"] for r in rows] == list(range(2, 2 + len(rows)))
+
+
+def test_blocking_in_rank_order(spark):
+    # The second repeats the first and goes; the third shares only with the second and stays; the fourth repeats itself.
+    c = spark.createDataFrame([(1, 0, "a b c", 0.9), (1, 1, "a b d e", 0.8), (1, 2, "d e f", 0.7), (1, 3, "x y x y", 0.6)],
+                              "id bigint, pos int, sentence string, score double")
+    assert sorted(r["pos"] for r in summarize.block_repeat_ngrams(c, 2).collect()) == [0, 2]
+
+
 TEXTS = ["the cat sat", "the dog", "", "cat cat [tag] dog sat", "only here"]
 
 
@@ -241,10 +287,11 @@ def test_social_tokens(spark):
 
 
 def test_frontier(spark):
-    frontier = crawl.crawl_frontier(spark.createDataFrame(crawl.category_rows(), CATEGORY))
-    assert frontier.count() == 105
-    assert frontier.filter("source_domain = 'system'").count() == 35
-    chunks = crawl.chunked_frontier(spark.createDataFrame([(crawl.CHUNKED_LIST_PAGE,)], "template string"))
+    lists = [([f"https://news.example/{name}/{k}?page={{}}" for k in range(n)], name) for name, n in (("gold", 2), ("bond", 5))]
+    frontier = crawl.crawl_frontier(spark.createDataFrame(lists, CATEGORY))
+    assert frontier.count() == 35
+    assert frontier.filter("source_domain = 'bond'").count() == 25
+    chunks = crawl.chunked_frontier(spark.createDataFrame([("https://news.example/list/{}",)], "template string"))
     pages = [r["page"] for r in chunks.collect()]
     assert len(pages) == 360 and min(pages) == 10 and max(pages) == 399 and 105 not in pages
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+from newsflow.operators import lookup
 from newsflow.plans.catalog import QUERIES
 from tests.compare import compare, connect
 
@@ -33,3 +34,11 @@ def test_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if not q.sql])
 def test_runs(spark, name):
     assert QUERIES[name].build(spark, CHECK).count() > 0
+
+
+@pytest.mark.parametrize("name", ["tfidf_transform", "vocab_lookup", "link_page_join", "domain_classifier_predict", "score_sentences"])
+def test_matches_sql_without_broadcast(spark, con, name, monkeypatch):
+    """The same queries through the branch that large keyed tables take."""
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_BYTES", 0)
+    result = compare(spark, CHECK, QUERIES[name].build, QUERIES[name].sql, con)
+    assert not result["problems"], result["problems"]
