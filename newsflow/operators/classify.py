@@ -1,18 +1,16 @@
-"""Text classifiers: multinomial Naive Bayes as joins and sums, linear SVM and logistic regression."""
+"""Text classifiers as joins and sums: multinomial Naive Bayes, and the linear SVM of the sentiment baseline."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from math import log
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.functions import text as X
 from newsflow.operators.features import svm_tokens, term_counts
+from newsflow.operators.linear import LinearModel, fit_svm
 from newsflow.operators.lookup import lookup_join
 from newsflow.operators.ordering import split_random
 from newsflow.session import stage
@@ -125,22 +123,19 @@ def social_tokens(text: Column, negators: tuple[str, ...], stopwords=()) -> Colu
 
 @dataclass
 class SentimentModel:
-    """Fitted vectoriser and linear SVM."""
+    """Fitted linear SVM over TF-IDF terms."""
 
-    vectors: PipelineModel
-    svm: object
+    linear: LinearModel
     negators: tuple[str, ...]
     stopwords: tuple[str, ...]
 
-    def predict(self, df: DataFrame, text: str = "text") -> DataFrame:
+    def predict(self, df: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
         """Add ``pred`` for new texts, which are cleaned first."""
-        tokens = df.withColumn("_tokens", social_tokens(F.col(text), self.negators, self.stopwords))
-        return self._score(tokens)
+        return self._score(df, social_tokens(F.col(text), self.negators, self.stopwords), id_col)
 
-    def _score(self, tokens: DataFrame) -> DataFrame:
-        scored = self.svm.transform(self.vectors.transform(tokens))
-        keep = [c for c in tokens.columns if c != "_tokens"]
-        return scored.select(*keep, F.col("prediction").cast("int").alias("pred"))
+    def _score(self, df: DataFrame, tokens: Column, id_col: str = "id") -> DataFrame:
+        scored = self.linear.scores(df, tokens, id_col).select(id_col, (F.col("scores")[0] >= 0).cast("int").alias("pred"))
+        return df.join(scored, id_col)
 
 
 def train_sentiment(
@@ -151,7 +146,6 @@ def train_sentiment(
     test_size: float = 0.1,
     idf_on_all: bool = False,
     clean_train: bool = False,
-    max_terms: int = 1 << 18,
 ) -> tuple[SentimentModel, DataFrame]:
     """Linear SVM on ``(id, text, label)`` and the scored hold-out part.
 
@@ -163,35 +157,6 @@ def train_sentiment(
     tokens = social_tokens(text, negators, stopwords) if clean_train else svm_tokens(text, stopwords)
     parts = stage(split_random(df.withColumn("_tokens", tokens).drop("text"), seed=seed, test_size=test_size), "sentiment")
     train, valid = (parts.filter(F.col("split") == s) for s in ("train", "valid"))
-    vectors = vector_pipeline(parts if idf_on_all else train, "_tokens", max_terms)
-    model = SentimentModel(vectors, train_linear_svm(vectors.transform(train)), negators, stopwords)
-    return model, model._score(valid)
-
-
-def vector_pipeline(train: DataFrame, tokens_col: str, max_terms: int = 1 << 18) -> PipelineModel:
-    """TF-IDF vectors with ``idf = ln((1+n)/(1+df)) + 1`` and unit norm, from ``pyspark.ml`` stages.
-
-    ``pyspark.ml`` vectors need an indexed vocabulary on the driver, so it is bounded
-    by ``max_terms``.
-    """
-    counter = CountVectorizer(inputCol=tokens_col, outputCol="_tf", vocabSize=max_terms).fit(train)
-    counted = counter.transform(train)
-    idf = IDF(inputCol="_tf", outputCol="_ignored").fit(counted).idf
-    scale = ElementwiseProduct(scalingVec=type(idf)(idf.toArray() + 1.0), inputCol="_tf", outputCol="_tfidf")
-    return PipelineModel([counter, scale, Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)])
-
-
-def train_linear_svm(vectors: DataFrame, label: str = "label", c: float = 1.0, max_iter: int = 50):
-    """Binary linear SVM; the penalty ``C`` becomes ``regParam = 1 / (C n)``."""
-    svm = LinearSVC(
-        featuresCol="features", labelCol=label, regParam=1.0 / (c * max(vectors.count(), 1)),
-        standardization=False, maxIter=max_iter,
-    )
-    return svm.fit(vectors)
-
-
-def train_logistic(vectors: DataFrame, label: str = "label", reg: float = 1e-4, max_iter: int = 30):
-    """Multinomial logistic regression, the alternative to Naive Bayes."""
-    return LogisticRegression(
-        featuresCol="features", labelCol=label, family="multinomial", regParam=reg, maxIter=max_iter
-    ).fit(vectors)
+    linear = fit_svm(train, F.col("_tokens"), idf_rows=parts if idf_on_all else None)
+    model = SentimentModel(linear, negators, stopwords)
+    return model, model._score(valid, F.col("_tokens")).drop("_tokens")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsflow.functions import text as X
-from newsflow.operators import classify, features, labels, metrics, ordering, rouge, summarize
+from newsflow.operators import classify, features, labels, linear, metrics, ordering, rouge, summarize
 from newsflow.plans.prep import STRATIFIED_SQL
 from newsflow.plans.registry import query
 from newsflow.plans.scoring import DOMAIN_SQL
@@ -17,7 +17,6 @@ from newsflow.session import stage, staging_path
 from newsflow.sources import writers
 
 SUMMARY_SENTENCES = 3
-SVM_TERMS = 1 << 15
 # (name, temperature, top-k, top-p) of the compared decoding settings.
 RUNS = (
     ("greedy", 1.0, 1, None),
@@ -143,31 +142,94 @@ def classifier_evaluate(spark, sf):
     return metrics.long_metrics(row, ["accuracy", "f1", "eval_samples"])
 
 
-@query("domain_classifier_train_lr")
+def linear_sql(kind: str, train: str, classes: str, n_out: int, reg: str) -> tuple[str, ...]:
+    """The steps of a linear model on ``ltok(id, label, ts)``: ``cf`` (term, k, c) and ``bs`` (k, b) after the last one.
+
+    ``train`` selects rows; ``classes`` lists the outputs.
+    """
+    rate, bias_rate = (linear.HINGE_RATE, linear.HINGE_BIAS_RATE) if kind == "hinge" else (linear.SOFTMAX_RATE, linear.SOFTMAX_BIAS_RATE)
+    if kind == "hinge":
+        slope = "SELECT id, k, CASE WHEN label = 1 THEN 1.0 ELSE -1.0 END::DOUBLE * 2.0::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - CASE WHEN label = 1 THEN 1.0 ELSE -1.0 END::DOUBLE * m) AS e FROM {m}"
+    else:
+        slope = "SELECT id, k, CASE WHEN label = k THEN 1.0 ELSE 0.0 END::DOUBLE - exp(m) / sum(exp(m)) OVER (PARTITION BY id) AS e FROM {m}"
+    parts = [
+        f"ltr AS MATERIALIZED (SELECT id, label, ts FROM ltok WHERE {train})", "ln_ AS (SELECT count(*)::DOUBLE AS n FROM ltr)",
+        "ltf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ts) AS term FROM ltr) GROUP BY ALL)",
+        "lidf AS MATERIALIZED (SELECT term, ln((1.0::DOUBLE + (SELECT n FROM ln_)) / (count(*) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM ltf GROUP BY term)",
+        "lw AS MATERIALIZED (SELECT id, term, tf * idf / sqrt(sum(tf * idf * (tf * idf)) OVER (PARTITION BY id)) AS w FROM ltf JOIN lidf USING (term))",
+        f"outs AS (SELECT unnest({classes}) AS k)",
+        "cf0 AS (SELECT term, k, 0.0::DOUBLE AS c FROM (SELECT DISTINCT term FROM lw), outs)", "bs0 AS (SELECT k, 0.0::DOUBLE AS b FROM outs)",
+    ]
+    for s in range(linear.STEPS):
+        parts += [
+            f"mg{s} AS MATERIALIZED (SELECT l.id, l.label, o.k, coalesce(x.m, 0.0) + o.b AS m FROM ltr l CROSS JOIN bs{s} o LEFT JOIN "
+            f"(SELECT id, k, sum(w * c) AS m FROM lw JOIN cf{s} USING (term) GROUP BY ALL) x ON x.id = l.id AND x.k = o.k)",
+            f"er{s} AS MATERIALIZED ({slope.format(m=f'mg{s}')})",
+            f"cf{s + 1} AS MATERIALIZED (SELECT term, k, round(c * (1.0::DOUBLE - {rate}::DOUBLE * ({reg})) + g * ({rate}::DOUBLE / (SELECT n FROM ln_)), {linear.DIGITS}) AS c "
+            f"FROM cf{s} JOIN (SELECT term, k, sum(w * e) AS g FROM lw JOIN er{s} USING (id) GROUP BY ALL) USING (term, k))",
+            f"bs{s + 1} AS MATERIALIZED (SELECT k, round(b + round(t * ({bias_rate}::DOUBLE / (SELECT n FROM ln_)), {linear.DIGITS}), {linear.DIGITS}) AS b "
+            f"FROM bs{s} JOIN (SELECT k, sum(e) AS t FROM er{s} GROUP BY k) USING (k))",
+        ]
+    return (*parts, f"cf AS (SELECT * FROM cf{linear.STEPS})", f"bs AS (SELECT * FROM bs{linear.STEPS})")
+
+
+def linear_scores_sql(source: str) -> tuple[str, ...]:
+    """Scores of the rows ``source(id, ts)`` by ``cf`` and ``bs``."""
+    return (
+        f"ntf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ts) AS term FROM {source}) GROUP BY ALL)",
+        "nkn AS (SELECT id, term, tf * idf AS x FROM ntf JOIN lidf USING (term))",
+        "nsc AS (SELECT id, k, sum(x * c) AS s FROM nkn JOIN cf USING (term) GROUP BY ALL)",
+        "nno AS (SELECT id, sqrt(sum(x * x)) AS norm FROM nkn GROUP BY id)",
+        f"sco AS (SELECT r.id, o.k, round(coalesce(s / norm, 0.0) + o.b, 6) AS score FROM {source} r CROSS JOIN bs o "
+        "LEFT JOIN nsc ON nsc.id = r.id AND nsc.k = o.k LEFT JOIN nno ON nno.id = r.id)",
+    )
+
+
+LR_SQL = (
+    ART, *STRATIFIED_SQL, "lx AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT lang FROM art))",
+    f"ltok AS MATERIALIZED (SELECT s.id, lx.code AS label, s.split, {sql_tokens('maintext', stop=True)} AS ts FROM strat s JOIN lx USING (lang))",
+    *linear_sql("softmax", "split = 'train'", "(SELECT list(code) FROM lx)", 0, "0.0001::DOUBLE"),
+    "held AS (SELECT id, label, ts FROM ltok WHERE split = 'valid')", *linear_scores_sql("held"),
+    "bst AS (SELECT id, k AS pred FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, k) AS r FROM sco) WHERE r = 1)",
+)
+
+
+@query("domain_classifier_train_lr", with_(*LR_SQL,
+       "SELECT id, label, pred, lx.lang AS pred_label FROM held JOIN bst USING (id) JOIN lx ON lx.code = bst.pred"))
 def domain_classifier_train_lr(spark, sf):
     """Multinomial logistic regression on the same features; predictions of the held-out part."""
     parts = stage(ordering.split_stratified(language_rows(spark, sf), "label"), "split")
     index = stage(labels.label_index(parts), "labels")
-    coded = labels.encode_label(parts.withColumn("tokens", stopped_tokens()).drop("maintext"), index)
+    coded = stage(labels.encode_label(parts.withColumn("tokens", stopped_tokens()).drop("maintext"), index), "coded")
     train, valid = (coded.filter(F.col("split") == s) for s in ("train", "valid"))
-    vectors = classify.vector_pipeline(train, "tokens", max_terms=SVM_TERMS)
-    model = classify.train_logistic(vectors.transform(train))
-    scored = model.transform(vectors.transform(valid)).select("id", "label", F.col("prediction").cast("int").alias("pred"))
-    return labels.decode_label(scored, index, "pred", "pred_label").select("id", "label", "pred", "pred_label")
+    model = linear.fit_logistic(train, F.col("tokens"), index.count())
+    scored = model.scores(valid, F.col("tokens")).select("id", linear.best_output(F.col("scores")).alias("pred"))
+    found = valid.select("id", "label").join(scored, "id")
+    return labels.decode_label(found, index, "pred", "pred_label").select("id", "label", "pred", "pred_label")
+
+
+SVM_SQL = (
+    "lab0 AS (SELECT d.doc_id AS id, d.text, l.quality AS label FROM documents d JOIN labels l USING (doc_id))",
+    f"ltok AS MATERIALIZED (SELECT id, label, {sql_tokens('text', stop=True)} AS ts, CASE WHEN row_number() OVER (ORDER BY md5('0:' || id)) "
+    "<= ceil(count(*) OVER () * 0.1) THEN 'valid' ELSE 'train' END AS split FROM lab0)",
+    *linear_sql("hinge", "split = 'train'", "[0]", 1, "1.0::DOUBLE / (SELECT n FROM ln_)"),
+)
 
 
-@query("sentiment_svm_train")
+@query("sentiment_svm_train", with_(*SVM_SQL, "held AS (SELECT id, label, ts FROM ltok WHERE split = 'valid')", *linear_scores_sql("held"),
+       "SELECT id, label, CAST(score >= 0 AS INTEGER) AS pred FROM held JOIN sco USING (id)"))
 def sentiment_svm_train(spark, sf):
-    """Report of a linear SVM on held-out labelled texts; idf and model see the train part only."""
-    _, scored = classify.train_sentiment(labelled(spark, sf), LATIN_NEGATORS, STOPWORDS, max_terms=SVM_TERMS)
-    return metrics.classification_report(scored, classes=[0, 1])
+    """A linear SVM on the labelled texts: held-out labels and predictions; idf and model see the train part only."""
+    _, scored = classify.train_sentiment(labelled(spark, sf), LATIN_NEGATORS, STOPWORDS)
+    return scored.select("id", "label", "pred")
 
 
 @query("sentiment_svm_predict")
 def sentiment_svm_predict(spark, sf):
     """New texts (conversation turns): social clean-up, negation gluing, vectors, SVM."""
-    model, _ = classify.train_sentiment(labelled(spark, sf), LATIN_NEGATORS, STOPWORDS, max_terms=SVM_TERMS)
-    return model.predict(table(spark, sf, "conversations").select("conv_id", "turn", "text")).drop("text")
+    model, _ = classify.train_sentiment(labelled(spark, sf), LATIN_NEGATORS, STOPWORDS)
+    turns = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "conv_id", "turn", "text")
+    return model.predict(turns).select("conv_id", "turn", "pred")
 
 
 @query("sentiment_linear_score", with_(*TF,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import text as X
 from newsflow.operators import (
-    batch, classify, cleaning, crawl, encode, features, labels, lookup, metrics, rouge, summarize,
+    batch, classify, cleaning, crawl, encode, features, labels, linear, lookup, metrics, rouge, summarize,
 )
 from newsflow.schemas import ARTICLE, CATEGORY, DOMAIN_LABELS
 from newsflow.session import stage
@@ -273,12 +273,13 @@ def test_learned_models_beat_majority(spark):
         rows.append((i, words, label))
     df = spark.createDataFrame(rows, "id bigint, tokens array<string>, label int")
     train, test = df.filter("id % 5 > 0"), df.filter("id % 5 = 0")
-    vectors = classify.vector_pipeline(train, "tokens")
-    vector = vectors.transform(train).filter("id = 1").first()["features"]
-    assert sum(v * v for v in vector.values) == pytest.approx(1.0)
-    for model in (classify.train_linear_svm(vectors.transform(train)), classify.train_logistic(vectors.transform(train))):
-        scored = model.transform(vectors.transform(test)).withColumn("pred", F.col("prediction").cast("int"))
+    tokens = F.col("tokens")
+    svm, logistic = linear.fit_svm(train, tokens), linear.fit_logistic(train, tokens, 2)
+    for model, pred in ((svm, (F.col("scores")[0] >= 0).cast("int")), (logistic, linear.best_output(F.col("scores")))):
+        scored = test.join(model.scores(test, tokens), "id").withColumn("pred", pred)
         assert scored.agg(metrics.accuracy()).first()[0] > 0.9
+    odd = spark.createDataFrame([(1, []), (2, ["never", "seen"])], "id bigint, tokens array<string>")
+    assert {tuple(r["scores"]) for r in svm.scores(odd, tokens).collect()} == {(round(svm.bias[0], 6),)}
 
 
 def test_social_tokens(spark):
