@@ -10,7 +10,7 @@ from newsflow.plans.prep import STRATIFIED_SQL
 from newsflow.plans.registry import query
 from newsflow.plans.scoring import DOMAIN_SQL
 from newsflow.plans.tables import (
-    ART, CAND, LATIN_NEGATORS, STOPWORDS, TF, articles, documents, labelled, sql_sentences, sql_tokens, table, with_,
+    ART, CAND, LATIN_NEGATORS, STOPWORDS, TF, articles, documents, labelled, sql_sentences, sql_tokens, table, texts, with_,
 )
 from newsflow.schemas import DOMAIN_LABELS
 from newsflow.session import stage, staging_path
@@ -60,7 +60,7 @@ def tfidf_transform(spark, sf):
 def vocab_lookup(spark, sf):
     """Terms of new texts (pages) found in the vocabulary of the documents."""
     model = features.tfidf_model(docs(spark, sf), stopped_tokens())
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), "html")
+    pages = texts(spark, sf, "pages", "page_id").select(F.col("page_id").alias("id"), "html")
     found = features.vocab_lookup(pages, stopped_tokens("html"), model)
     return found.select("id", "term", "tf", "doc_freq", F.round("idf", 6).alias("idf"))
 
@@ -97,7 +97,7 @@ NB_SCORE_SQL = (
 
 
 def language_rows(spark, sf):
-    docs_ = table(spark, sf, "documents")
+    docs_ = texts(spark, sf, "documents", "doc_id")
     return docs_.select(F.col("doc_id").alias("id"), F.col("text").alias("maintext"), F.col("lang").alias("label"))
 
 
@@ -423,19 +423,6 @@ def rouge_clipped(spark, sf):
     return rounded(rouge.rouge_clipped(pairs, 1).join(rouge.rouge_clipped(pairs, 2), "id"), "id")
 
 
-@query("rouge_corpus", with_(*PAIR_SQL,
-       "SELECT " + ", ".join(f'round(avg(CASE WHEN n = {n} THEN f END) * 100, 4) AS "rouge-{n}", '
-                             f'round(avg(CASE WHEN n = {n} THEN f END) FILTER (WHERE id IN (SELECT id FROM ptok WHERE len(p) > 0 AND len(r) > 0)) * 100, 4) '
-                             f'AS "rouge-{n}-kept"' for n in (1, 2)) + " FROM fs"))
-def rouge_corpus(spark, sf):
-    """Corpus scores over all pairs, and without empty pairs, in one pass."""
-    scored = rouge.rouge_n(rouge.rouge_n(token_pairs(spark, sf), 1), 2)
-    return scored.agg(
-        *rouge.corpus_means({"rouge-1": "rouge1_f", "rouge-2": "rouge2_f"}),
-        *rouge.corpus_means({"rouge-1-kept": "rouge1_f", "rouge-2-kept": "rouge2_f"}, rouge.not_empty()),
-    )
-
-
 LCS_SQL = (
     # Equal texts are their own common subsequence; tokens found on one side only are never part of one.
     "differ AS (SELECT id FROM ptok WHERE p <> r)",
@@ -453,6 +440,21 @@ LCS_SQL = (
 )
 
 
+@query("rouge_corpus", "WITH RECURSIVE " + with_(*PAIR_SQL, *LCS_SQL,
+       "kept AS (SELECT id FROM ptok WHERE len(p) > 0 AND len(r) > 0)",
+       "SELECT " + ", ".join(f'round(avg(CASE WHEN n = {n} THEN f END) * 100, 4) AS "rouge-{n}", '
+                             f'round(avg(CASE WHEN n = {n} THEN f END) FILTER (WHERE id IN (SELECT id FROM kept)) * 100, 4) '
+                             f'AS "rouge-{n}-kept"' for n in (1, 2))
+       + ', (SELECT round(avg(f) * 100, 4) FROM lf) AS "rouge-l", (SELECT round(avg(f) * 100, 4) FROM lf WHERE id IN (SELECT id FROM kept)) AS "rouge-l-kept" FROM fs')[5:])
+def rouge_corpus(spark, sf):
+    """Corpus scores over all pairs, and without empty pairs, in one pass."""
+    scored = rouge.rouge_l(rouge.rouge_n(rouge.rouge_n(token_pairs(spark, sf), 1), 2))
+    names = {"rouge-1": "rouge1_f", "rouge-2": "rouge2_f", "rouge-l": "rougel_f"}
+    return scored.agg(
+        *rouge.corpus_means(names), *rouge.corpus_means({f"{k}-kept": v for k, v in names.items()}, rouge.not_empty()),
+    )
+
+
 @query("rouge_l", "WITH RECURSIVE " + with_(*PAIR_SQL, *LCS_SQL, "SELECT id, round(p, 6) AS rougel_p, round(r, 6) AS rougel_r, round(f, 6) AS rougel_f FROM lf")[5:])
 def rouge_l(spark, sf):
     scored = rouge.rouge_l(token_pairs(spark, sf))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.functions.text import WHITESPACE
+from newsflow.operators.lookup import stored_bytes
 
 # ---------------------------------------------------------------------------
 # Fixed values of the queries over the supplied tables.
@@ -23,6 +24,8 @@ ACCENTED = "àáâäçèéêëíîïñóôöùúûüß"
 FOLDED = "aaaaceeeeiiinooouuuus"
 # Values of an embedding.
 VECTOR = 64
+# Files up to this size are dealt over the cores before their texts are worked on.
+SPREAD_BYTES = 128 << 20
 # ---------------------------------------------------------------------------
 
 
@@ -30,6 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose texts are parsed or tokenised.
+
+    A small file is often a single row group and so a single task; up to ``SPREAD_BYTES`` of files its rows are dealt over
+    the cores first. Anything larger is read in place: a scan task never has less than its share then, and texts don't move.
+    """
+    df = table(spark, sf_dir, name)
+    return df.repartition(spark.sparkContext.defaultParallelism, key) if stored_bytes(df) <= SPREAD_BYTES else df
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: the text before the first line break is the title."""
     return table(spark, sf_dir, "documents").select(
@@ -43,7 +56,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, text)`` of all documents, for work on the texts."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return texts(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text")
 
 
 def labelled(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
