@@ -43,6 +43,14 @@ _BITS = 20
 _MASK = (1 << _BITS) - 1
 
 
+def strings(words: list[bytes]) -> pa.Array:
+    """The words as a string column; bytes that are no UTF-8 are replaced."""
+    try:
+        return pa.array(words, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
+
+
 def tokens_of(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
@@ -54,7 +62,7 @@ def count_words(train: DataFrame, text: str = "text") -> DataFrame:
         held: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([strings(list(held)), pa.array(held.values(), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for body in bytes_of(batch.column(0)):
@@ -254,7 +262,6 @@ def train(docs: DataFrame, text: str = "text", word_share: float = WORD_SHARE, g
 
 
 _COLD = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
-_COLD_ARROW = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -271,18 +278,20 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         get, logs = words.number.get, states.logs
         start = get(END, -1)
         for batch in batches:
-            rows = []
+            rows, rare_words, rare_counts, offsets = [], [], [], [0]
             for body in bytes_of(batch.column(batch.schema.get_field_index("text"))):
                 own = tokens_of(body)
                 ids = [get(w, -1) for w in own]
                 rare = Counter([w for w, i in zip(own, ids) if i < 0])
+                rare_words += rare
+                rare_counts += rare.values()
+                offsets.append(len(rare_words))
                 seen = [i for i in ids if i >= 0]
-                rows.append((
-                    len(own), len(seen), math.fsum([logs[i] for i in seen]), states.adjustment(ids, start),
-                    [{"word": w.decode("utf-8", "replace"), "n": n} for w, n in rare.items()],
-                ))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), _COLD_ARROW)
+                rows.append((len(own), len(seen), math.fsum([logs[i] for i in seen]), states.adjustment(ids, start)))
+            cold = pa.StructArray.from_arrays([strings(rare_words), pa.array(rare_counts, pa.int64())], names=["word", "n"])
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             parts = {f.name: pa.array([r[k] for r in rows], kind) for k, (f, kind) in enumerate(zip(fields, kinds))}
+            parts["cold"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cold)
             yield rows_to_batch(batch, inner, parts)
 
     schema = T.StructType([df.schema[c] for c in inner] + fields)
