@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from newsflow.functions import html as H
 from newsflow.functions import text as X
 from newsflow.operators import crawl
+from newsflow.plans import jobs
 from newsflow.plans.registry import query
 from newsflow.plans.tables import (
     ACCENTED, FOLDED, SQL_ARTICLE, SQL_MAINTEXT, SQL_PARAGRAPHS, SQL_ROWS, SQL_TITLE, quote, sql_strip, sql_url_key,
     table, texts, with_,
 )
+from newsflow.schemas import ARTICLE
+from newsflow.session import staging_path
 
 SEGMENT = r"^[a-z]+://[^/]+/([^/?#]*)"
 LINKS_SQL = (
@@ -154,19 +157,21 @@ def assemble_articles(spark, sf):
        "UNION ALL SELECT page_id, 'no title', replace(html, '<title', '<h6') FROM pages "
        "UNION ALL SELECT page_id, 'no article', replace(html, '<article', '<div') FROM pages "
        "UNION ALL SELECT page_id, 'no paragraph', replace(html, '</p>', '') FROM pages "
+       "UNION ALL SELECT page_id, 'attributes', replace(html, '<p>', '<p class=\"lead\">') FROM pages "
        "UNION ALL SELECT page_id, 'empty', ' ' FROM pages)",
        f"SELECT page_id, variant, CASE WHEN {sql_strip('html')} = '' THEN 'empty page' "
        "WHEN NOT regexp_matches(html, '(?is)<title[^>]*>(.*?)</title>') THEN 'no title' "
        "WHEN NOT regexp_matches(html, '(?is)<article[^>]*>(.*?)</article>') THEN 'no article' "
-       f"WHEN len(regexp_extract_all({SQL_ARTICLE}, '(?is)<p>(.*?)</p>', 1)) = 0 THEN 'no paragraph' END AS reason FROM variants"))
+       f"WHEN len(regexp_extract_all({SQL_ARTICLE}, '(?is)<p(?:[[:space:]][^>]*)?>(.*?)</p>', 1)) = 0 THEN 'no paragraph' END AS reason FROM variants"))
 def quarantine_bad_records(spark, sf):
-    """Every stored page, whole and damaged in four ways."""
+    """Every stored page, whole, with attributes, and damaged in four ways."""
     pages = texts(spark, sf, "pages", "page_id").select("page_id", "html")
     damage = {
         "whole": F.col("html"),
         "no title": F.replace(F.col("html"), F.lit("<title"), F.lit("<h6")),
         "no article": F.replace(F.col("html"), F.lit("<article"), F.lit("<div")),
         "no paragraph": F.replace(F.col("html"), F.lit("</p>"), F.lit("")),
+        "attributes": F.replace(F.col("html"), F.lit("<p>"), F.lit('<p class="lead">')),
         "empty": F.lit(" "),
     }
     variants = pages.select("page_id", F.explode(F.array(*[
@@ -182,3 +187,17 @@ def assign_category(spark, sf):
     sections = pages.select(F.regexp_extract("url", SEGMENT, 1).alias("segment")).distinct()
     categories = sections.withColumn("source_domain", F.concat(F.lit("domain-"), "segment"))
     return crawl.assign_category(pages, categories).select("page_id", "segment", "source_domain")
+
+
+@query("crawl_job", with_(*SELF_SQL,
+       "reached AS (SELECT DISTINCT target_id FROM allk JOIN stored USING (link_key))",
+       f"SELECT '' AS date_publish, '' AS id, {SQL_MAINTEXT} AS maintext, "
+       f"regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS source_domain, url, {SQL_TITLE} AS title "
+       f"FROM pages JOIN reached ON page_id = target_id WHERE {sql_strip('html')} <> '' AND regexp_matches(html, '(?is)<title[^>]*>(.*?)</title>') "
+       f"AND regexp_matches(html, '(?is)<article[^>]*>(.*?)</article>') AND len({SQL_PARAGRAPHS}) > 0"))
+def crawl_job(spark, sf):
+    """From stored pages and their links to one folder of articles per category, read back."""
+    out = staging_path(spark, "crawl")
+    pages = texts(spark, sf, "pages", "page_id")
+    jobs.crawl_articles(pages, all_links(spark, sf), F.regexp_extract("url", SEGMENT, 1), out)
+    return spark.read.schema(ARTICLE).parquet(f"{out}/articles").select(*ARTICLE.names)

@@ -8,16 +8,29 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.functions import text as X
-from newsflow.operators import classify, cleaning, features, labels, metrics, ordering, rouge, summarize
+from newsflow.operators import classify, cleaning, crawl, features, labels, metrics, ordering, rouge, summarize
 from newsflow.schemas import DOMAIN_LABELS, NEGATORS, ROUTING_KEYWORDS
 from newsflow.session import stage
 from newsflow.sources import readers, writers
 
 
+def crawl_articles(pages: DataFrame, links: DataFrame, category: Column, out: str) -> None:
+    """From stored pages ``(page_id, url, html)`` and resolved links to article files.
+
+    Writes ``articles``, one folder per category, of the pages that some link leads to, ``rejected`` with the reason of each bad page, and
+    ``to_fetch``, the addresses that no stored page covers.
+    """
+    reached = crawl.link_page_join(links, pages).filter("target_id IS NOT NULL").select(F.col("target_id").alias("page_id")).distinct()
+    marked = stage(crawl.mark_bad_pages(pages.join(reached, "page_id", "left_semi")), "marked-pages")
+    writers.write_by_category(crawl.assemble_articles(marked.filter("reason IS NULL"), category), f"{out}/articles")
+    marked.filter("reason IS NOT NULL").select("page_id", "url", "reason").write.parquet(f"{out}/rejected")
+    crawl.links_to_fetch(links, pages).write.parquet(f"{out}/to_fetch")
+
+
 def load_articles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Article files in the listed order, numbered over all rows in file then row order."""
     union = None
