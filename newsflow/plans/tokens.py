@@ -132,8 +132,8 @@ def split_sentences(spark, sf):
 def remove_stopwords(spark, sf):
     """Kept tokens per document with their repeats."""
     stop = readers.clean_stopwords(spark.createDataFrame([(w,) for w in STOPWORDS], "value string"))
-    rows = features.token_table(features.by_document(documents(spark, sf)), tokens())
-    return features.remove_stopwords(rows, stop).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
+    rows = features.term_counts(documents(spark, sf), tokens()).withColumnsRenamed({"term": "token", "tf": "n"})
+    return features.remove_stopwords(rows, stop).select("id", "token", "n")
 
 
 # --- encoding ----------------------------------------------------------------
