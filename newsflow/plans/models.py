@@ -10,7 +10,7 @@ from newsflow.plans.prep import STRATIFIED_SQL
 from newsflow.plans.registry import query
 from newsflow.plans.scoring import DOMAIN_SQL
 from newsflow.plans.tables import (
-    ART, CAND, LATIN_NEGATORS, STOPWORDS, TF, articles, documents, labelled, sql_sentences, sql_tokens, table, texts, with_,
+    ART, CAND, LATIN_NEGATORS, STOPWORDS, TF, articles, documents, labelled, sql_sentences, sql_tokens, sql_words, table, texts, with_,
 )
 from newsflow.schemas import DOMAIN_LABELS
 from newsflow.session import stage, staging_path
@@ -224,7 +224,17 @@ def sentiment_svm_train(spark, sf):
     return scored.select("id", "label", "pred")
 
 
-@query("sentiment_svm_predict")
+SOCIAL_SQL = (
+    r"cln AS (SELECT conv_id, turn, replace(regexp_replace(regexp_replace(text, '\{%[^\n]+?%\}', ' ', 'g'), "
+    r"'@[^\n]+?(?: |(\n?)\z)', ' \1', 'g'), chr(8203), ' ') AS text FROM conversations)",
+    f"glu AS (SELECT conv_id, turn, regexp_replace(array_to_string({sql_words('text')}, ' '), "
+    rf"'(^| )({'|'.join(LATIN_NEGATORS)}) ([^ ]+)', '\1\2\3', 'g') AS text FROM cln)",
+    f"new AS (SELECT conv_id || '-' || turn AS id, conv_id, turn, {sql_tokens('text', stop=True)} AS ts FROM glu)",
+)
+
+
+@query("sentiment_svm_predict", with_(*SVM_SQL, *SOCIAL_SQL, *linear_scores_sql("new"),
+       "SELECT conv_id, turn, CAST(score >= 0 AS INTEGER) AS pred FROM new JOIN sco USING (id)"))
 def sentiment_svm_predict(spark, sf):
     """New texts (conversation turns): social clean-up, negation gluing, vectors, SVM."""
     model, _ = classify.train_sentiment(labelled(spark, sf), LATIN_NEGATORS, STOPWORDS)
