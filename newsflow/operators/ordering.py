@@ -21,16 +21,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsflow.functions.text import seeded_hash
+from newsflow.session import stage
 
 # A hex hash key is cut into 16**d buckets of equal expected size: d grows with the
 # table until a bucket holds about ROWS_PER_HASH_BUCKET rows, up to MAX_HASH_DIGITS.
 ROWS_PER_HASH_BUCKET = 10_000
 MAX_HASH_DIGITS = 4
 # An integer key is cut into ranges of about ROWS_PER_RANGE rows, at most MAX_RANGES
-# of them; a range holding more than TARGET_ROWS rows is cut again.
+# of them; a range holding more than TARGET_ROWS rows is cut again, into MAX_PARTS at most.
 ROWS_PER_RANGE = 1_000
 MAX_RANGES = 65_536
 TARGET_ROWS = 1_000_000
+MAX_PARTS = 1_024
 # Groups of a split are classes; their sizes, quotas and cut keys are held on the driver.
 MAX_GROUPS = 10_000
 
@@ -55,8 +57,9 @@ def _hash_bucket(key: Column, rows: int) -> Column:
 def _range_buckets(df: DataFrame, key: str) -> DataFrame:
     """Add ``_bucket`` and ``_part``, which follow the order of an integer key.
 
-    Equal ranges of the key; a range that holds more than ``TARGET_ROWS`` rows is
-    cut again by its own bounds. Only min, max and count come to the driver.
+    Equal ranges of the key; a range that holds more than ``TARGET_ROWS`` rows (ids with outliers) is cut at
+    its own quantiles, which are stored once so that all later passes see the same cuts. Min, max, counts and the
+    crowded ranges come to the driver.
     """
     k = F.col(key)
     lo, hi, rows, everything = df.agg(F.min(k), F.max(k), F.count(k), F.count(F.lit(1))).first()
@@ -67,14 +70,20 @@ def _range_buckets(df: DataFrame, key: str) -> DataFrame:
     ranged = df.withColumn("_bucket", F.expr(f"{key} div {width}L"))
     if rows <= TARGET_ROWS:
         return ranged.withColumn("_part", F.lit(0).cast("bigint"))
-    spans = ranged.groupBy("_bucket").agg(
-        F.min(k).alias("_lo"),
-        F.expr(f"(max({key}) - min({key})) div ceil(count(1) / {TARGET_ROWS}) + 1").alias("_step"),
+    crowded = ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > TARGET_ROWS).collect()
+    if not crowded:
+        return ranged.withColumn("_part", F.lit(0).cast("bigint"))
+    parts = min(MAX_PARTS, max(-(-2 * r["_rows"] // TARGET_ROWS) for r in crowded))
+    full = df.sparkSession.createDataFrame([(r["_bucket"],) for r in crowded], "_bucket bigint")
+    steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    quantiles = ranged.join(F.broadcast(full), "_bucket").groupBy("_bucket").agg(
+        F.percentile_approx(k.cast("bigint"), steps, max(10_000, 20 * parts)).alias("_cuts")
     )
+    below = F.size(F.filter("_cuts", lambda c: c < k))
     return (
-        ranged.join(F.broadcast(spans), "_bucket")
-        .withColumn("_part", F.expr(f"({key} - _lo) div _step"))
-        .drop("_lo", "_step")
+        ranged.join(F.broadcast(stage(quantiles, "range-cuts")), "_bucket", "left")
+        .withColumn("_part", F.when(F.col("_cuts").isNotNull(), below).otherwise(0).cast("bigint"))
+        .drop("_cuts")
     )
 
 
@@ -82,7 +91,7 @@ def assign_ordinal(df: DataFrame, key: str, out: str = "ordinal", start: int = 0
     """Exact dense position of every row in the order of ``key``.
 
     ``key`` is an integer column, unique per row. Rows move once, to their bucket;
-    the broadcast bucket table has at most ``2 * MAX_RANGES + n / TARGET_ROWS`` rows
+    the broadcast bucket table has at most ``MAX_RANGES`` rows and those of the parts of crowded ranges,
     of three numbers.
     """
     keyed = _range_buckets(df, key)

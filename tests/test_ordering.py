@@ -83,3 +83,13 @@ def test_head_and_sample(spark):
     assert [r["id"] for r in O.head(df, 2).collect()] == [1, 3]
     assert O.head(df, None).count() == 3
     assert [r["id"] for r in O.sample_rows(df, 2, seed=1).collect()] == by_hash(1, [5, 1, 3])[:2]
+
+
+def test_outliers_leave_no_crowded_part(spark, monkeypatch):
+    """Dense ids with two far ones: all dense ids fall into one equal range, which is cut at its quantiles."""
+    monkeypatch.setattr(O, "TARGET_ROWS", 1_000)
+    ids = spark.range(20_000).union(spark.createDataFrame([(2**40,), (2**62,)], "id bigint"))
+    keyed = O._range_buckets(ids, "id")
+    assert max(r["count"] for r in keyed.groupBy("_bucket", "_part").count().collect()) <= 2_000
+    rows = O.assign_ordinal(ids, "id").orderBy("id").collect()
+    assert [r["ordinal"] for r in rows] == list(range(20_002))
