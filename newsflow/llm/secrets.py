@@ -3,8 +3,8 @@
 The given text is the first layer of a worklist. Every layer is scanned for the kinds of ``KINDS`` and unwrapped:
 percent escapes and Unicode escapes (``\\uXXXX``, ``\\xXX``, ``&#N;``) are decoded in place, base64 runs become layers of
 their own, and decoded bytes that are gzip, zlib, bzip2, xz or zstandard data are decompressed first. New layers join the list until
-nothing new appears; a layer whose text was seen before is not taken again, which ends cycles. A match
-in a layer is mapped back to the characters of the given text that it came from.
+nothing new appears; a text is unwrapped once, which ends cycles, but keeps every place that yields it. A match
+in a layer is mapped back to the characters of the given text that it came from, at each of these places.
 
 A document's decoded layers may hold ``MAX_DECODED`` characters together, the guard against decompression
 bombs; where that is reached ``complete`` is false. The given text is never cut and its own matches don't depend on the guard.
@@ -79,22 +79,19 @@ def matches(text: str) -> Iterator[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text. ``pieces`` are (place here, start and end in the parent, copied): a copied piece keeps its characters, of any other each
-    character stands for the piece's whole source."""
+    """A decoded text, held once however many places yield it. ``places`` are (parent, way, pieces); pieces are (place here, start and end in
+    the parent, copied): a copied piece keeps its characters, of any other each character stands for the piece's whole source."""
 
-    def __init__(self, text: str, path: str, parent: Layer | None = None, pieces: list[tuple[int, int, int, bool]] = ()):
-        self.text, self.path, self.parent, self.pieces = text, path, parent, pieces
-        self.places = [p[0] for p in pieces]
+    def __init__(self, text: str):
+        self.text = text
+        self.places: list[tuple[Layer, str, list[tuple[int, int, int, bool]]]] = []
 
-    def origin(self, start: int, end: int) -> tuple[int, int]:
-        """Span of the first layer that the characters [start, end) of this one come from."""
-        layer = self
-        while layer.parent is not None:
-            at, a, _, same = layer.pieces[bisect_right(layer.places, start) - 1]
-            last_at, b, stop, last_same = layer.pieces[bisect_right(layer.places, end - 1) - 1]
-            start, end = a + (start - at if same else 0), b + (end - last_at) if last_same else stop
-            layer = layer.parent
-        return start, end
+
+def _source(pieces: list[tuple[int, int, int, bool]], start: int, end: int) -> tuple[int, int]:
+    """Span of the parent that the characters [start, end) come from."""
+    at, a, _, same = pieces[bisect_right(pieces, start, key=lambda p: p[0]) - 1]
+    last_at, b, stop, last_same = pieces[bisect_right(pieces, end - 1, key=lambda p: p[0]) - 1]
+    return a + (start - at if same else 0), b + (end - last_at) if last_same else stop
 
 
 def unpacked(data: bytes, room: int) -> bytes | None:
@@ -156,17 +153,21 @@ def _percent(run: str, room: int) -> tuple[str, str, list[int]] | None:
     return *got, [] if got[1] else _widths(got[0], "utf-8", 3)
 
 
-def _in_place(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
-    """The layer with every run of ``pattern`` decoded; None if nothing could be."""
+#: Text, way of decoding and pieces of a layer inside another one.
+Found = tuple[str, str, list[tuple[int, int, int, bool]]]
+
+
+def _in_place(text: str, pattern: re.Pattern, decode, name: str) -> Found | None:
+    """The text with every run of ``pattern`` decoded; None if nothing could be."""
     parts, pieces, size, at, how = [], [], 0, 0, name
-    for m in pattern.finditer(layer.text):
+    for m in pattern.finditer(text):
         got = decode(m[0])
         if not got:
             continue
         new, packed, widths = got
         how = name + packed if packed else how
         if m.start() > at:
-            parts.append(layer.text[at:m.start()])
+            parts.append(text[at:m.start()])
             pieces.append((size, at, m.start(), True))
             size += m.start() - at
         parts.append(new)
@@ -180,18 +181,17 @@ def _in_place(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | N
         size, at = size + len(new), m.end()
     if not parts:
         return None
-    if at < len(layer.text):
-        parts.append(layer.text[at:])
-        pieces.append((size, at, len(layer.text), True))
-    return Layer("".join(parts), f"{layer.path}/{how}", layer, pieces)
+    if at < len(text):
+        parts.append(text[at:])
+        pieces.append((size, at, len(text), True))
+    return "".join(parts), how, pieces
 
 
-def unwrapped(layer: Layer, room: int) -> Iterator[Layer]:
-    """The layers directly inside a layer."""
-    text = layer.text
-    if "%" in text and (found := _in_place(layer, _PERCENT, lambda r: _percent(r, room), "url")):
+def unwrapped(text: str, room: int) -> Iterator[Found]:
+    """The layers directly inside a text."""
+    if "%" in text and (found := _in_place(text, _PERCENT, lambda r: _percent(r, room), "url")):
         yield found
-    if ("\\" in text or "&#" in text) and (found := _in_place(layer, _UNICODE, _unescaped, "unicode")):
+    if ("\\" in text or "&#" in text) and (found := _in_place(text, _UNICODE, _unescaped, "unicode")):
         yield found
     for m in _BASE64.finditer(text):
         tried = set()
@@ -207,26 +207,39 @@ def unwrapped(layer: Layer, room: int) -> Iterator[Layer]:
                     continue
                 if got := _readable(data, room):
                     a, b = m.start() + n.start(), m.start() + n.end()
-                    yield Layer(got[0], f"{layer.path}/base64{got[1]}", layer, [(0, a, b, False)])
+                    yield got[0], f"base64{got[1]}", [(0, a, b, False)]
 
 
 def scan(text: str | None, max_decoded: int = MAX_DECODED) -> tuple[list[dict], bool]:
     """All spans by start, kind and end, and whether every layer was taken."""
     text = text or ""
-    spans = {x: (True, "") for x in matches(text)}
-    todo, seen, room, complete = deque([Layer(text, "")]), {text}, max_decoded, True
+    top = Layer(text)
+    layers, todo, room, complete = {text: top}, deque([top]), max_decoded, True
     while todo:
-        for layer in unwrapped(todo.popleft(), room):
-            if layer.text in seen:
-                continue
-            if len(layer.text) > room:
-                complete = False
-                continue
-            seen.add(layer.text)
-            room -= len(layer.text)
-            todo.append(layer)
-            for kind, start, end in matches(layer.text):
-                spans.setdefault((kind, *layer.origin(start, end)), (False, layer.path[1:]))
+        parent = todo.popleft()
+        for inner, way, pieces in unwrapped(parent.text, room):
+            if (layer := layers.get(inner)) is None:
+                if len(inner) > room:
+                    complete = False
+                    continue
+                room -= len(inner)
+                layer = layers[inner] = Layer(inner)
+                todo.append(layer)
+            layer.places.append((parent, way, pieces))
+    spans = {x: (True, "") for x in matches(text)}
+    # Every match goes up through all places of its layer; a span of a layer that was followed before is not followed again.
+    followed = set()
+    for layer in layers.values():
+        up = deque((layer, *x, "") for x in matches(layer.text)) if layer is not top else deque()
+        while up:
+            own, kind, start, end, path = up.popleft()
+            for parent, way, pieces in own.places:
+                found = (parent, kind, *_source(pieces, start, end))
+                if parent is top:
+                    spans.setdefault(found[1:], (False, way + path))
+                elif found not in followed:
+                    followed.add(found)
+                    up.append((*found, f"/{way}{path}"))
     rows = [
         {"kind": KINDS[k], "start": s, "end": e, "base": base, "path": path}
         for (k, s, e), (base, path) in sorted(spans.items(), key=lambda x: (x[0][1], x[0][0], x[0][2]))

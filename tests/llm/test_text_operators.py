@@ -219,6 +219,18 @@ def test_bombs_and_cycles():
     assert secrets.scan("clean text of ordinary words, 100% sure") == ([], True)
 
 
+def test_one_secret_at_many_places():
+    inner = b"note token=abcdefghijkl0123 end"
+    plain, packed = base64.b64encode(inner).decode(), base64.b64encode(gzip.compress(inner)).decode()
+    text = f"a {plain} b {packed} c {plain} d %{plain[:1].encode().hex()}{plain[1:]}"
+    spans, complete = secrets.scan(text)
+    places = [m.start() for m in re.finditer(re.escape(plain), text)] + [text.index(packed), text.index("%")]
+    assert sorted(s["start"] for s in spans) == sorted(places) and complete
+    # Twice inside a layer that itself stands twice.
+    outer = base64.b64encode(f"x {plain} y {plain}".encode()).decode()
+    assert [s["start"] for s in secrets.scan(f"{outer} and {outer}")[0]] == [0, len(outer) + 5]
+
+
 def test_secrets_awkward(spark):
     rows = awkward() + [(9, "token=abcdefghijkl"), (10, "x" * 300_000 + " token=abcdefghijkl")]
     got = {(r["doc_id"], r["text"]): r["secrets"] for r in secrets.find_secrets(docs(spark, rows, ["secrets", "kind"])).collect()}
