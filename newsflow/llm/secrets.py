@@ -1,8 +1,9 @@
 """Secret scans that see through encodings.
 
 The given text is the first layer of a worklist. Every layer is scanned for the kinds of ``KINDS`` and unwrapped:
-percent escapes and Unicode escapes (``\\uXXXX``, ``\\xXX``, ``&#N;``) are decoded in place, base64 runs become layers of
-their own, and decoded bytes that are gzip, zlib, bzip2, xz or zstandard data are decompressed first. New layers join the list until
+percent escapes and Unicode escapes (``\\uXXXX``, ``\\xXX``, ``&#N;``) are decoded in place, base64 runs, also such over several lines, become
+layers of their own, and decoded bytes that are gzip, zlib, bzip2, xz or zstandard data are decompressed first, all members of it.
+Decoded bytes are text if they are UTF-8 or UTF-16, control characters or not. New layers join the list until
 nothing new appears; a text is unwrapped once, which ends cycles, but keeps every place that yields it. A match
 in a layer is mapped back to the characters of the given text that it came from, at each of these places.
 
@@ -24,7 +25,6 @@ import zlib
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
-from io import BytesIO
 
 import pyarrow as pa
 import zstandard
@@ -54,7 +54,10 @@ _UNICODE = re.compile(
 )
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _PLAIN64, _SAFE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
+#: Base64 over several lines; each line but the last of a block has the same length.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_TO_PLAIN = str.maketrans("-_", "+/")
 
 SPAN = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
@@ -94,19 +97,60 @@ def _source(pieces: list[tuple[int, int, int, bool]], start: int, end: int) -> t
     return a + (start - at if same else 0), b + (end - last_at) if last_same else stop
 
 
+def _member(data: bytes, room: int) -> tuple[bytes, bytes] | None:
+    """Content of the first member or frame of compressed data, at most ``room`` + 1 bytes, and the data after it; None if it isn't compressed."""
+    if data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
+        one = zlib.decompressobj(47)
+    elif data[:3] == b"BZh":
+        one = bz2.BZ2Decompressor()
+    elif data[:6] == b"\xfd7zXZ\x00":
+        one = lzma.LZMADecompressor()
+    else:
+        return None
+    return one.decompress(data, room + 1), one.unused_data
+
+
+def _frames(data: bytes, room: int) -> bytes:
+    """Content of all zstandard frames up to the first damaged one, at most ``room`` + 1 bytes."""
+    parts, size, one, at = [], 0, None, 0
+    try:
+        while at < len(data) and size <= room:
+            one = one or zstandard.ZstdDecompressor().decompressobj()
+            # Fed in small steps, as 4 bytes may give 128 KB.
+            parts.append(one.decompress(data[at:at + 256]))
+            size += len(parts[-1])
+            at = min(at + 256, len(data))
+            if one.eof:
+                at, one = at - len(one.unused_data), None
+    except zstandard.ZstdError:
+        if not size:
+            raise
+    return b"".join(parts)[:room + 1]
+
+
 def unpacked(data: bytes, room: int) -> bytes | None:
-    """The content of compressed data, at most ``room`` + 1 bytes of it; None if it isn't compressed."""
+    """The content of compressed data, all its members or frames, at most ``room`` + 1 bytes of it; None if it isn't compressed."""
+    parts, size = [], 0
     try:
-        if data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj(47).decompress(data, room + 1)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, room + 1)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, room + 1)
         if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().stream_reader(BytesIO(data)).read(room + 1)
+            return _frames(data, room)
+        while size <= room and (got := _member(data, room - size)):
+            parts.append(got[0])
+            size += len(got[0])
+            # Zeros may stand between members and after the last one.
+            data = got[1].lstrip(b"\0")
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
         pass
+    return b"".join(parts) if parts else None
+
+
+def _wide(data: bytes) -> str | None:
+    """The UTF-16 encoding of the bytes, by its mark or because most characters have a zero half; None if it is none."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    for name, half in (("utf-16-le", data[1::2]), ("utf-16-be", data[::2])):
+        if len(data) % 2 == 0 and half.count(0) * 2 > len(half):
+            return name
     return None
 
 
@@ -119,11 +163,17 @@ def _readable(data: bytes, room: int) -> tuple[str, str] | None:
         if not data or data in seen:
             return None
         seen.add(data)
+    errors = "strict" if len(data) <= room else "ignore"
+    if wide := _wide(data):
+        try:
+            return data.decode(wide, errors), packed + "/utf16"
+        except UnicodeDecodeError:
+            pass
     try:
-        text = data.decode("utf-8", "strict" if len(data) <= room else "ignore")
+        text = data.decode("utf-8", errors)
     except UnicodeDecodeError:
         return None
-    return (text, packed) if text and not _CONTROL.search(text) else None
+    return (text, packed) if text else None
 
 
 def _widths(text: str, encoding: str, per_byte: float) -> list[int]:
@@ -187,6 +237,35 @@ def _in_place(text: str, pattern: re.Pattern, decode, name: str) -> Found | None
     return "".join(parts), how, pieces
 
 
+def _decoded64(run: str, room: int) -> tuple[str, str] | None:
+    body = run.rstrip("=").translate(_TO_PLAIN)
+    if len(body) % 4 == 1:
+        return None
+    try:
+        return _readable(base64.b64decode(body + "=" * (-len(body) % 4), validate=True), room)
+    except binascii.Error:
+        return None
+
+
+def _blocks(lines: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """The spans that wrapped data may have, likeliest first, per block of lines: lines of equal length and a shorter last one, also after
+    a first line of another length; and all lines."""
+    i, n = 0, len(lines)
+    widths = [b - a for a, b in lines]
+    while i < n:
+        j = i + 1
+        while j < n and widths[j] == widths[i]:
+            j += 1
+        ends = [j + 1, j] if j < n and widths[j] < widths[i] else [j]
+        starts = [0, i] if i == 1 else [i]
+        if choices := [(lines[k][0], lines[e - 1][1]) for k in starts for e in ends if e - k > 1]:
+            yield choices
+            if i <= 1 and ends[0] == n:
+                return
+        i = j
+    yield [(lines[0][0], lines[-1][1])]
+
+
 def unwrapped(text: str, room: int) -> Iterator[Found]:
     """The layers directly inside a text."""
     if "%" in text and (found := _in_place(text, _PERCENT, lambda r: _percent(r, room), "url")):
@@ -197,17 +276,18 @@ def unwrapped(text: str, room: int) -> Iterator[Found]:
         tried = set()
         for pattern in (_PLAIN64, _SAFE64):
             for n in pattern.finditer(m[0]):
-                body = n[0].rstrip("=").translate(str.maketrans("-_", "+/"))
-                if len(body) % 4 == 1 or (n.start(), n.end()) in tried:
+                if (n.start(), n.end()) in tried:
                     continue
                 tried.add((n.start(), n.end()))
-                try:
-                    data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-                except binascii.Error:
-                    continue
-                if got := _readable(data, room):
-                    a, b = m.start() + n.start(), m.start() + n.end()
-                    yield got[0], f"base64{got[1]}", [(0, a, b, False)]
+                if got := _decoded64(n[0], room):
+                    yield got[0], f"base64{got[1]}", [(0, m.start() + n.start(), m.start() + n.end(), False)]
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            for choices in _blocks([x.span() for x in _LINE.finditer(text, m.start(), m.end())]):
+                for a, b in choices:
+                    if got := _decoded64("".join(text[a:b].split()), room):
+                        yield got[0], f"base64{got[1]}", [(0, a, b, False)]
+                        break
 
 
 def scan(text: str | None, max_decoded: int = MAX_DECODED) -> tuple[list[dict], bool]:

@@ -1,8 +1,10 @@
 """Language ID, token counts, language model, secrets and quality on small tables."""
 
 import base64
+import bz2
 import collections
 import gzip
+import lzma
 import math
 import random
 import re
@@ -11,6 +13,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from newsflow.llm import langid, lm, quality, secrets
@@ -231,6 +234,39 @@ def test_one_secret_at_many_places():
     assert [s["start"] for s in secrets.scan(f"{outer} and {outer}")[0]] == [0, len(outer) + 5]
 
 
+@pytest.mark.parametrize("width,newline", [(64, "\n"), (76, "\r\n"), (76, "\n    ")])
+@pytest.mark.parametrize("after", ["", "end of it", "\nword\n"])
+def test_base64_over_lines(width, newline, after):
+    rng = random.Random(width)
+    noise = " ".join(str(rng.random()) for _ in range(60))
+    for body in (gzip.compress(f"{noise} token=abcdefghijkl0123 {noise}".encode()), f"{'x' * 40} token=abcdefghijkl0123 {noise}".encode()):
+        coded = base64.b64encode(body).decode()
+        block = newline.join(coded[k:k + width] for k in range(0, len(coded), width))
+        text = f"key: |\n{block}\n{after}"
+        assert ("assign", text.index(block), text.index(block) + len(block)) in {(s["kind"], s["start"], s["end"]) for s in secrets.scan(text)[0]}
+
+
+def test_base64_lines_stay_linear():
+    assert secrets.scan("Zz" * 100_000 + "\n!") == ([], True)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress])
+def test_later_members(pack):
+    coded = base64.b64encode(pack(b"first part ") + pack(b"token=abcdefghijkl0123 ") + pack(b"AKIAABCDEFGHIJKLMN")).decode()
+    assert {s["kind"] for s in secrets.scan(f"x {coded} y")[0]} >= {"assign", "access"}
+    assert secrets.unpacked(pack(b"one") + b"no member", 100) == b"one"
+
+
+@pytest.mark.parametrize("body", [
+    b"token=abcdefghijkl0123\0", b"\x1b[31mtoken=abcdefghijkl0123\x1b[0m", "token=abcdefghijkl0123".encode("utf-16"),
+    "token=abcdefghijkl0123".encode("utf-16-le"), "token=abcdefghijkl0123".encode("utf-16-be"),
+])
+def test_control_characters_and_wide_text(body):
+    coded = base64.b64encode(body).decode()
+    for text in (coded, "".join(f"%{b:02X}" for b in body), base64.b64encode(gzip.compress(body)).decode()):
+        assert "assign" in {s["kind"] for s in secrets.scan(f"x {text} y")[0]}
+
+
 def test_secrets_awkward(spark):
     rows = awkward() + [(9, "token=abcdefghijkl"), (10, "x" * 300_000 + " token=abcdefghijkl")]
     got = {(r["doc_id"], r["text"]): r["secrets"] for r in secrets.find_secrets(docs(spark, rows, ["secrets", "kind"])).collect()}
