@@ -3,16 +3,21 @@
 Tokens are words and one end per text. Every token has the smoothed unigram probability
 ``(c + 1) / (N + V + 1)``, from exact counts of all training tokens. On top of it come bigrams and trigrams:
 
-* a word is *frequent* if it makes up ``WORD_SHARE`` of the training tokens or more; a bigram or trigram of frequent words gets an arc if it makes
-  up ``GRAM_SHARE`` or more. There can't be more than one over the share of them, whatever the corpus, which bounds what
-  the tasks get, and the rule is the same at every size. All others flow into the backoff weights;
+* every bigram and trigram seen ``LEAST`` times gets an arc, at every size of the corpus. All others flow into the backoff weights;
 * contexts are the automaton's states. An arc carries the discounted log-probability; where a state has no arc
   for a word, its failure arc leads to the shorter context and carries the backoff weight;
   probabilities of each state add up to 1;
 * one left-to-right traversal of a text carries the state and adds up what differs from the unigram model.
 
-A rare word always falls to the root, where it has its unigram probability. So these counts never travel to every task: a text's rare
-words, once per text, meet the word counts in a join by word, and the sums go back to the text.
+The arcs grow with the corpus, so the automaton is a table and never travels to every task. Its weights are pushed onto the grams: what a
+traversal passes through between two states depends on the grams that occur there alone, and a gram's weight is its arc, less the
+backoff weights and the shorter arc that it spares, and the backoff weight of the context that it is. The sum of the weights of a
+text's grams is then that of its traversal. A text's grams, once per text, meet their weights in a join, and the sums go back to the text. Grams
+above ``HOT_SHARE`` (so a bounded number) are looked up in the task, and a bit filter of bounded size holds back most grams that
+training has no weight for; both only spare work.
+
+With ``word_share`` and ``gram_share``, ``train`` learns an automaton of the frequent grams alone, small enough to be broadcast; there only rare
+words meet their counts in a join.
 
 Defined results: null text is empty (an end alone); repeated rows are scored one by one; without training tokens every score is 0.
 Input columns named like a result column are replaced by it.
@@ -25,14 +30,19 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsflow.llm.common import Batches, bytes_of, held_out, prepare, query, rows_to_batch, stage, table, without
 
-WORD_SHARE = 1e-6
-GRAM_SHARE = 4e-6
+#: Times that a bigram or trigram with an arc was seen.
+LEAST = 2
+#: Share of the training tokens from which a gram is looked up in the task.
+HOT_SHARE = 1e-5
+#: The filter has about 16 bits a gram, and at most so many.
+FILTER_BITS = 1 << 28
 FOLDS = 7
 END = b""
 #: Distinct entries that a counting task gathers before it passes them on.
@@ -240,8 +250,139 @@ class Model:
         return self.tokens + self.types + 1
 
 
-def train(docs: DataFrame, text: str = "text", word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> Model:
-    """Learn from all texts of ``docs``."""
+def grams_of(text: bytes | None) -> Counter:
+    """A text's words, bigrams and trigrams; words are joined by a space and the ends of the text are empty words."""
+    if text and not text.isascii():
+        text = text.decode("utf-8", "replace").encode()
+    own = tokens_of(text)
+    before = [END, *own]
+    found = Counter(own)
+    found.update(map(b" ".join, zip(before, own)))
+    found.update(map(b" ".join, zip(before, own, own[1:])))
+    return found
+
+
+def count_grams(train: DataFrame, text: str = "text") -> DataFrame:
+    """``(gram, size, c, n)``, stored: all words, the bigrams and trigrams seen ``LEAST`` times, and per size a null gram for the ``n`` others."""
+
+    def count(batches: Batches) -> Batches:
+        held: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([strings(list(held)), pa.array(held.values(), pa.int64())], names=["gram", "n"])
+
+        for batch in batches:
+            for body in bytes_of(batch.column(0)):
+                held.update(grams_of(body))
+                if len(held) > GATHER:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    found = train.select(F.col(text).alias("text")).mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("c"))
+    sized = found.withColumn("size", F.length("gram") - F.length(F.translate("gram", " ", "")) + 1)
+    kept = F.when((F.col("size") == 1) | (F.col("c") >= LEAST), F.col("gram"))
+    return stage(sized.groupBy(kept.alias("gram"), "size").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")), "grams")
+
+
+def _weights(grams: DataFrame, total: int, discounts: dict[int, float]) -> DataFrame:
+    """``(gram, c, known, logs, more)``, stored: what a gram adds to the known words, to the unigram score and to the rest of the score."""
+
+    def part(k: int) -> Column:
+        return F.substring_index("gram", " ", k)
+
+    def backoff(arcs: DataFrame, context: str) -> DataFrame:
+        """Base-10 logarithms of the backoff weights of the contexts with arcs."""
+        left = F.greatest(1 - F.sum("p"), F.lit(1e-12)) / F.greatest(1 - F.sum("lower"), F.lit(1e-12))
+        return arcs.groupBy(context).agg(F.log10(left).alias("back"))
+
+    of = {k: grams.filter(F.col("gram").isNotNull() & (F.col("size") == k)).select("gram", "c") for k in (1, 2, 3)}
+    words = of[1]
+    two = of[2].withColumns({"before": part(1), "word": part(-1)})
+    two = two.join(words.select(F.col("gram").alias("before"), F.col("c").alias("c_before")), "before")
+    two = two.join(words.select(F.col("gram").alias("word"), F.col("c").alias("c_word")), "word").select(
+        "gram", "c", "before", ((F.col("c") - discounts[2]) / F.col("c_before")).alias("p"), ((F.col("c_word") + 1) / total).alias("lower")
+    )
+    two = stage(two, "bigrams")
+    three = of[3].withColumns({"before": part(2), "shorter": part(-2)})
+    three = three.join(two.select(F.col("gram").alias("before"), F.col("c").alias("c_before")), "before")
+    three = three.join(two.select(F.col("gram").alias("shorter"), F.col("p").alias("lower")), "shorter").select(
+        "gram", "c", "before", ((F.col("c") - discounts[3]) / F.col("c_before")).alias("p"), "lower"
+    )
+    three = stage(three, "trigrams")
+    back1, back2 = stage(backoff(two, "before"), "backoff"), stage(backoff(three, "before"), "backoff")
+
+    def own(back: DataFrame) -> DataFrame:
+        return back.select(F.col("before").alias("gram"), F.col("back").alias("own"))
+
+    arc, spared = F.log10(F.col("p") / F.col("lower")) - F.col("back"), F.coalesce("own", F.lit(0.0))
+    one_rows = words.join(own(back1), "gram", "left").select("gram", "c", F.lit(1).alias("known"), F.log10(F.col("c") + 1).alias("logs"), spared.alias("more"))
+    none = (F.lit(0).alias("known"), F.lit(0.0).alias("logs"))
+    two_rows = two.join(back1, "before").join(own(back2), "gram", "left").select("gram", "c", *none, (arc + spared).alias("more"))
+    three_rows = three.join(back2, "before").select("gram", "c", *none, arc.alias("more"))
+    return stage(one_rows.unionByName(two_rows).unionByName(three_rows), "weights")
+
+
+class Filter:
+    """Bits of the grams that have a weight; each sets two of them."""
+
+    def __init__(self, weights: DataFrame, n: int):
+        self.places = min(FILTER_BITS, 1 << max(6, (16 * n).bit_length()))
+        places, h = self.places, F.xxhash64("gram")
+        at = weights.select(F.explode(F.array(h.bitwiseAND(places - 1), F.shiftrightunsigned(h, 32).bitwiseAND(places - 1))).alias("at"))
+        bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+        found = at.groupBy(F.shiftright("at", 6).alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        self.bits = np.zeros(places >> 6, np.uint64)
+        self.bits[found["place"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+
+    def may_have(self, grams: list[bytes]) -> list[bool]:
+        h = np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], np.uint64)
+        fits = np.ones(len(h), bool)
+        for at in (h & np.uint64(self.places - 1), h >> np.uint64(32) & np.uint64(self.places - 1)):
+            fits &= (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return fits.tolist()
+
+
+class GramTable:
+    """What training gives: the weights of all grams as a table; the hottest of them and the filter in the tasks."""
+
+    def __init__(self, weights: DataFrame, tokens: int, types: int, hot, sieve):
+        self.weights, self.tokens, self.types, self.hot, self.sieve = weights, tokens, types, hot, sieve
+
+    @property
+    def total(self) -> int:
+        """Denominator of the unigram probabilities."""
+        return self.tokens + self.types + 1
+
+
+def train(docs: DataFrame, text: str = "text", word_share: float | None = None, gram_share: float | None = None) -> GramTable | Model:
+    """Learn from all texts of ``docs``; with shares, the automaton of the frequent grams."""
+    if word_share is not None and gram_share is not None:
+        return train_frequent(docs, text, word_share, gram_share)
+    if word_share is not None or gram_share is not None:
+        raise ValueError("give both shares or none")
+    spark = docs.sparkSession
+    prepare(spark)
+    grams = count_grams(docs, text)
+    once, twice = (F.sum(F.when((F.col("c") / F.col("n")) == k, F.col("n"))) for k in (1, 2))
+    of = {r["size"]: r for r in grams.groupBy("size").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), once.alias("once"), twice.alias("twice")).collect()}
+    tokens, types = (of[1]["c"], of[1]["n"]) if 1 in of else (0, 0)
+    discounts = {}
+    for k in (2, 3):
+        seen = [(of[k][x] or 0) if k in of else 0 for x in ("once", "twice")]
+        found = seen[0] / (seen[0] + 2 * seen[1]) if seen[0] else DISCOUNT[0]
+        discounts[k] = min(DISCOUNT[1], max(DISCOUNT[0], found))
+    weights = _weights(grams, tokens + types + 1, discounts)
+    # At most one over the share of each size.
+    hot = weights.filter(F.col("c") >= max(1, math.ceil(HOT_SHARE * tokens))).select("gram", "known", "logs", "more").toArrow()
+    columns = [hot[c].to_pylist() for c in ("known", "logs", "more")]
+    known = dict(zip((g.encode() for g in hot["gram"].to_pylist()), zip(*columns)))
+    return GramTable(weights, tokens, types, spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(Filter(weights, weights.count())))
+
+
+def train_frequent(docs: DataFrame, text: str, word_share: float, gram_share: float) -> Model:
+    """Learn the automaton of the words and grams that make up these shares of the training tokens."""
     spark = docs.sparkSession
     prepare(spark)
     if word_share < 1 / _MASK or gram_share <= 0:
@@ -264,30 +405,62 @@ def train(docs: DataFrame, text: str = "text", word_share: float = WORD_SHARE, g
 _COLD = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def _lookup(model: GramTable):
+    """Per text ``(n_tokens, seen, logs, more)`` of its hot grams, and the other grams that may have weights, with their numbers."""
+
+    def run(bodies: list[bytes | None]):
+        get, sieve = model_hot.value.get, model_sieve.value
+        for body in bodies:
+            grams = grams_of(body)
+            n_tokens, hot, rest = 0, [], []
+            for gram, n in grams.items():
+                if (found := get(gram)) is not None:
+                    hot.append((n * found[0], n * found[1], n * found[2]))
+                else:
+                    rest.append(gram)
+                n_tokens += n if b" " not in gram else 0
+            cold = {g: grams[g] for g, fits in zip(rest, sieve.may_have(rest)) if fits}
+            yield (n_tokens, sum(h[0] for h in hot), math.fsum(h[1] for h in hot), math.fsum(h[2] for h in hot)), cold
+
+    model_hot, model_sieve = model.hot, model.sieve
+    return run
+
+
+def _walk(model: Model):
+    """The same by a traversal of the automaton of the frequent grams; the others are the rare words."""
+
+    def run(bodies: list[bytes | None]):
+        words, states = frequent.value, automaton.value
+        get, logs = words.number.get, states.logs
+        start = get(END, -1)
+        for body in bodies:
+            own = tokens_of(body)
+            ids = [get(w, -1) for w in own]
+            seen = [i for i in ids if i >= 0]
+            yield (len(own), len(seen), math.fsum([logs[i] for i in seen]), states.adjustment(ids, start)), Counter([w for w, i in zip(own, ids) if i < 0])
+
+    frequent, automaton = model.frequent, model.automaton
+    return run
+
+
+def score(docs: DataFrame, model: GramTable | Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (all, if None) with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     prepare(docs.sparkSession)
     columns = without(docs.select(keep) if keep is not None else docs, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     inner = [f"c{i}" for i in range(len(columns))]
     df = docs.select(*[F.col(c).alias(i) for c, i in zip(columns, inner)], F.col(text).alias("text"))
-    frequent, automaton = model.frequent, model.automaton
+    whole = isinstance(model, GramTable)
+    found_in = _lookup(model) if whole else _walk(model)
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("seen", T.LongType()), T.StructField("logs", T.DoubleType()), T.StructField("more", T.DoubleType()), T.StructField("cold", _COLD)]
 
     def run(batches: Batches) -> Batches:
-        words, states = frequent.value, automaton.value
-        get, logs = words.number.get, states.logs
-        start = get(END, -1)
         for batch in batches:
             rows, rare_words, rare_counts, offsets = [], [], [], [0]
-            for body in bytes_of(batch.column(batch.schema.get_field_index("text"))):
-                own = tokens_of(body)
-                ids = [get(w, -1) for w in own]
-                rare = Counter([w for w, i in zip(own, ids) if i < 0])
+            for row, rare in found_in(bytes_of(batch.column(batch.schema.get_field_index("text")))):
                 rare_words += rare
                 rare_counts += rare.values()
                 offsets.append(len(rare_words))
-                seen = [i for i in ids if i >= 0]
-                rows.append((len(own), len(seen), math.fsum([logs[i] for i in seen]), states.adjustment(ids, start)))
+                rows.append(row)
             cold = pa.StructArray.from_arrays([strings(rare_words), pa.array(rare_counts, pa.int64())], names=["word", "n"])
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             parts = {f.name: pa.array([r[k] for r in rows], kind) for k, (f, kind) in enumerate(zip(fields, kinds))}
@@ -298,12 +471,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     walked = stage(df.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "walked")
     rare = walked.select("row", F.explode("cold").alias("cold")).select("row", "cold.word", "cold.n")
     # Words that training never saw add nothing, as log10(0 + 1) is 0: they need no partner.
-    counts = model.words.filter(F.col("c") < model.least)
-    sums = rare.join(counts, "word").groupBy("row").agg(F.sum("n").alias("rare_seen"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_logs"))
+    if whole:
+        weights = model.weights.select(F.col("gram").alias("word"), "known", F.col("logs").alias("log"), F.col("more").alias("rest"))
+    else:
+        weights = model.words.filter(F.col("c") < model.least).select("word", F.lit(1).alias("known"), F.log10(F.col("c") + 1).alias("log"), F.lit(0.0).alias("rest"))
+    sums = rare.join(weights, "word").groupBy("row").agg(
+        F.sum(F.col("n") * F.col("known")).alias("rare_seen"), F.sum(F.col("n") * F.col("log")).alias("rare_logs"), F.sum(F.col("n") * F.col("rest")).alias("rare_more")
+    )
     base = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(model.total))
     return walked.drop("cold").join(sums, "row", "left").select(
         *[F.col(i).alias(c) for c, i in zip(columns, inner)], "n_tokens", (F.col("seen") + F.coalesce("rare_seen", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more")).alias("score"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more") + F.coalesce("rare_more", F.lit(0.0))).alias("score"),
     )
 
 

@@ -168,6 +168,47 @@ def test_automaton_is_a_distribution_and_walks_right(spark):
     assert max(states.fail) > 0 and len(states.back) > len(unigram) + 1
 
 
+@pytest.mark.parametrize("share,bits", [(1e-5, 1 << 28), (0.01, 1 << 28), (2.0, 64)])
+def test_weights_add_up_to_the_walk(spark, monkeypatch, share, bits):
+    """The table of all grams gives what the automaton with all of them gives, however many are looked up in the task or pass the filter."""
+    monkeypatch.setattr(lm, "HOT_SHARE", share)
+    monkeypatch.setattr(lm, "FILTER_BITS", bits)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["a", "b", "Cé", "d", "d", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 50)))) for i in range(60)] + [(500, None)]
+    learned = [r for r in rows if r[0] % 3]
+    counts = collections.Counter()
+    for _, text in learned:
+        own = [b"", *lm.tokens_of(text.encode() if text else None)]
+        counts.update([(w,) for w in own[1:]] + list(zip(own, own[1:])) + list(zip(own, own[1:], own[2:])))
+    words = sorted(g[0] for g in counts if len(g) == 1)
+    number = {w: i for i, w in enumerate(words)}
+    tokens = sum(counts[w,] for w in words)
+
+    def arcs(k):
+        times = collections.Counter(c for g, c in counts.items() if len(g) == k)
+        kept = sorted((sum(number[w] << 20 * (k - 1 - i) for i, w in enumerate(g)), c) for g, c in counts.items() if len(g) == k and c >= 2)
+        return *(np.array(x, np.int64) for x in zip(*kept)), times[1] / (times[1] + 2 * times[2])
+
+    states = lm.Automaton(np.array([counts[w,] for w in words]), tokens + len(words) + 1, arcs(2), arcs(3))
+    model = lm.train(docs(spark, learned))
+    got = {r["doc_id"]: r for r in lm.score(docs(spark, rows), model).collect()}
+    for i, text in rows:
+        own = lm.tokens_of(text.encode() if text else None)
+        base = sum(math.log10((counts[w,] + 1) / (tokens + len(words) + 1)) for w in own)
+        more = states.adjustment([number.get(w, -1) for w in own], number[b""])
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(own), sum(w in number for w in own), tokens)
+        assert got[i]["base_score"] == pytest.approx(base) and got[i]["score"] == pytest.approx(base + more)
+
+
+def test_arcs_do_not_go_as_the_corpus_grows(spark):
+    """A passage seen twice keeps its arcs in a corpus of 900,000 tokens, where 4e-6 of them is 4."""
+    rows = [(0, PROSE), (1, PROSE)] + [(k + 2, f"filler{k % 7} " * 4500) for k in range(200)]
+    model = lm.train(docs(spark, rows))
+    grams = {r["gram"] for r in model.weights.collect()}
+    words = PROSE.split()
+    assert model.tokens > 900_000 and {" ".join(words[i:i + k]) for k in (2, 3) for i in range(len(words) - k + 1)} <= grams
+
+
 def test_language_model_awkward(spark):
     source = docs(spark, awkward())
     assert lm.score(source, lm.train(source)).count() == len(awkward())
