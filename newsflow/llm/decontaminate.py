@@ -11,8 +11,9 @@ Words that no benchmark item holds end every match, so they get no entry in the
 array.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text,
-one after the other, so what is broadcast at once has a fixed bound however
-large the benchmark table is.
+one after the other. With more than one block, the documents are stored with row numbers, each block's
+result is stored, and its broadcast is destroyed before the next block is fetched, so what is
+broadcast at once has a fixed bound however large the benchmark table is.
 
 Defined results: null text has no words; an item without words is never found; a
 null ``item_id`` is an item named by the empty string; rows that repeat are
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsflow.llm.common import Batches, bytes_of, prepare, query, rows_to_batch, schema_with, table, without
+from newsflow.llm.common import Batches, bytes_of, prepare, query, rows_to_batch, schema_with, stage, table, without
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
@@ -224,7 +225,7 @@ LEAK_ARROW = pa.struct([
 
 
 def item_blocks(spark: SparkSession, items: DataFrame, item_id: str, text: str, block_bytes: int, window: int):
-    """The items as broadcast suffixes, in blocks of bounded text; at least one block.
+    """The items as broadcast suffixes, in blocks of bounded text; at least one block. Each comes with the number of blocks.
 
     Blocks are hash classes of the text, as many as the measured bytes ask for; each is
     fetched alone. A single longer item makes a longer block.
@@ -235,7 +236,7 @@ def item_blocks(spark: SparkSession, items: DataFrame, item_id: str, text: str,
     for k in range(n):
         part = named if n == 1 else named.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
         rows = [(r[0], None if r[1] is None else r[1].encode("utf-8", "surrogatepass")) for r in part.collect()]
-        yield spark.sparkContext.broadcast(Suffixes(sorted(rows, key=lambda r: (r[0], r[1] or b"")), window))
+        yield spark.sparkContext.broadcast(Suffixes(sorted(rows, key=lambda r: (r[0], r[1] or b"")), window)), n
 
 
 def find_leaks(
@@ -249,21 +250,27 @@ def find_leaks(
     prepare(spark)
     columns = without(docs.select(keep) if keep is not None else docs, into)
     df = docs.select(*columns, *([] if text in columns else [text]))
-    earlier = None
-    for known in item_blocks(spark, items, item_id, item_text, block_bytes, window):
-        new = into if earlier is None else f"{into}_{len(earlier)}_new"
-        old = earlier or []
-        carried = [*columns, *([] if text in columns else [text]), *old]
-        df = df.mapInArrow(_scan(known, carried, text, new, shard_words), schema_with(df, carried, T.StructField(new, LEAK)))
-        earlier = [*old, new]
-    return df.select(*columns, _merged([F.col(c) for c in earlier]).alias(into))
-
-
-def _merged(leaks):
-    """One result from those of several blocks: spans united, items united, the longest of all."""
-    if len(leaks) == 1:
-        return leaks[0]
-    spans = F.array_sort(F.flatten(F.array(*[x["spans"] for x in leaks])))
+    found, stored = None, None
+    for known, n in item_blocks(spark, items, item_id, item_text, block_bytes, window):
+        if n == 1:
+            return df.mapInArrow(_scan(known, columns, text, into, shard_words), schema_with(df, columns, T.StructField(into, LEAK)))
+        if stored is None:
+            inner = [f"c{i}" for i in range(len(columns))]
+            own = df.select(*[F.col(c).alias(i) for c, i in zip(columns, inner)], F.col(text).alias("text"))
+            stored = stage(own.withColumn("row", F.monotonically_increasing_id()), "documents")
+        rows = stored.select("row", "text")
+        part = rows.mapInArrow(_scan(known, ["row"], "text", "leak", shard_words), schema_with(rows, ["row"], T.StructField("leak", LEAK)))
+        # The first block keeps every row, for its words.
+        part = stage(part if found is None else part.filter(F.col("leak")["n_hit"] > 0), "leaks")
+        known.destroy()
+        found = part if found is None else found.unionByName(part)
+    leaks = found.groupBy("row").agg(F.collect_list("leak").alias("leaks")).select("row", _merged().alias("leak"))
+    return stored.join(leaks, "row").select(*[F.col(i).alias(c) for c, i in zip(columns, inner)], F.col("leak").alias(into))
+
+
+def _merged():
+    """One result from those of several blocks in ``leaks``: spans united, items united, the longest of all."""
+    spans = F.array_sort(F.flatten(F.col("leaks.spans")))
     # Sorted spans: each either starts a new run or stretches the last one.
     last = lambda acc: F.element_at(acc, -1)
     stop = lambda s: s["start"] + s["words"]
@@ -277,13 +284,13 @@ def _merged(leaks):
             )),
         )).otherwise(F.concat(acc, F.array(s))),
     )
-    best = F.array_max(F.array(*[
-        F.struct(x["longest"].alias("longest"), (-x["longest_start"]).alias("back"), x["longest_item"].alias("item")) for x in leaks
-    ]))
+    best = F.array_max(F.transform("leaks", lambda x: F.struct(
+        x["longest"].alias("longest"), (-x["longest_start"]).alias("back"), x["longest_item"].alias("item")
+    )))
     return F.struct(
-        leaks[0]["n_words"].alias("n_words"),
+        F.array_max("leaks.n_words").alias("n_words"),
         F.aggregate(joined, F.lit(0).cast("long"), lambda n, s: n + s["words"]).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*[x["items"] for x in leaks])))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten("leaks.items"))).alias("items"),
         joined.alias("spans"), best["longest"].alias("longest"), (-best["back"]).alias("longest_start"), best["item"].alias("longest_item"),
     )
 
@@ -318,8 +325,11 @@ def longest_matches(
         return run
 
     found = None
-    for known in item_blocks(spark, items, item_id, item_text, block_bytes, window):
+    for known, n in item_blocks(spark, items, item_id, item_text, block_bytes, window):
         part = slim.mapInArrow(task(known), MATCH)
+        if n > 1:
+            part = stage(part, "matches")
+            known.destroy()
         found = part if found is None else found.unionByName(part)
     best = found.groupBy("item_id", "item_start").agg(F.max("words").alias("words"))
     return (

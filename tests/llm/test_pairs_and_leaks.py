@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
+from pyspark.broadcast import Broadcast
 from pyspark.sql import functions as F
 
 from newsflow.llm import decontaminate as D
@@ -146,6 +148,34 @@ def test_leaks_against_brute_force(spark, shard_words, block_bytes):
         assert sum(s["words"] for s in rows[i]["spans"]) == hit
 
 
+def test_one_block_at_a_time(spark, monkeypatch):
+    """A block's broadcast is gone before the next one is made."""
+    live, counts = set(), []
+    make, end = SparkContext.broadcast, Broadcast.destroy
+
+    def broadcast(self, value):
+        made = make(self, value)
+        if isinstance(value, D.Suffixes):
+            live.add(id(made))
+            counts.append(len(live))
+        return made
+
+    def destroy(self, *a, **b):
+        live.discard(id(self))
+        return end(self, *a, **b)
+
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    items, texts = random_case(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = D.find_leaks(docs(spark, list(enumerate(texts)), ["row", "c0"]), bench, block_bytes=120)
+    rows = {r["doc_id"]: r["leak"] for r in found.collect()}
+    assert {i: (x["n_words"], x["n_hit"], x["items"]) for i, x in rows.items()} == {i: brute_leaks(t, items) for i, t in enumerate(texts)}
+    cut = {tuple(r) for r in D.longest_matches(docs(spark, list(enumerate(texts))), bench, block_bytes=120).collect()}
+    assert len(counts) > 4 and max(counts) == 1
+    assert {tuple(r)[:4] for r in D.longest_matches(docs(spark, list(enumerate(texts))), bench).collect()} == {r[:4] for r in cut}
+
+
 def test_longest_match(spark):
     item = " ".join(f"w{i}" for i in range(40))
     texts = ["x y " + " ".join(f"w{i}" for i in range(5, 20)), " ".join(f"w{i}" for i in range(3, 30)) + " z", "nothing"]
