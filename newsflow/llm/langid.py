@@ -168,11 +168,19 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: lis
 
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """``docs`` without texts that have no letter or share no gram with any language learned from them."""
+    """``docs`` without texts that have no letter or share no gram with any language learned from them; if none was, all texts with a letter."""
     own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     lower = [c.lower() for c in docs.columns]
     profiles = stage(learn(docs, text, lang, key, train_docs=train_docs), "profiles")
-    found = identify(own, profiles, f"c{lower.index(text.lower())}").filter(f"lang_pred <> '{UNKNOWN}' AND score > 0")
+    body = f"c{lower.index(text.lower())}"
+    if profiles.isEmpty():
+        def lettered(batches: Batches) -> Batches:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(body)).to_pylist()
+                yield batch.filter(pa.array([bool(x) and len(gram_counts(x)[0]) > 0 for x in texts], pa.bool_()))
+
+        return own.mapInArrow(lettered, own.schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    found = identify(own, profiles, body).filter(f"lang_pred <> '{UNKNOWN}' AND score > 0")
     return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

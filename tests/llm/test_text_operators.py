@@ -80,6 +80,13 @@ def test_language_awkward(spark):
     assert langid.keep_known(docs(spark, [])).count() == 0
 
 
+def test_nothing_learned_keeps_texts_with_letters(spark):
+    source = docs(spark, [(*r[:2], None, *r[3:]) for r in awkward()], ["lang_pred", "c0"])
+    kept = langid.keep_known(source)
+    assert kept.columns == source.columns
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 1, 2, 6, 7]
+
+
 # --- token counts ---------------------------------------------------------
 
 
