@@ -116,19 +116,14 @@ def _raise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From a subtree's nodes and the path above its top to one path per node."""
+    """From a subtree's nodes and the path above its top to one path per node, subtree by subtree."""
     for batch in batches:
         for i in range(batch.num_rows):
-            n, block, nodes, above = (batch[c][i].as_py() for c in ("n", "block", "nodes", "path"))
+            own = batch.slice(i, 1)
+            n, nodes, above = (own[c][0].as_py() for c in ("n", "nodes", "path"))
             levels = _levels(nodes, min(STRIDE, _height(n)))
-            size, first = len(nodes), block * FANOUT**STRIDE
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([batch["tree"][i].as_py()] * size, pa.string()), pa.array(range(first, first + size), pa.int64()),
-                    pa.array([batch["top"][i].as_py()] * size, pa.string()), pa.array([_path(levels, k) + above for k in range(size)], _ARROW_PATH),
-                ],
-                names=["tree", "pos", "top", "path"],
-            )
+            paths = pa.array([[_path(levels, k) + above for k in range(len(nodes))]], pa.list_(_ARROW_PATH))
+            yield pa.RecordBatch.from_arrays([own["tree"], own["top"], own["rows"], paths], names=["tree", "top", "rows", "paths"])
 
 
 # --- trees -------------------------------------------------------------------
@@ -155,21 +150,20 @@ def place(rows: DataFrame, order: list[str]) -> DataFrame:
     return lookup_join(counted, shifts, "_span").withColumn("pos", F.col("_mark") + F.col("_shift")).drop("_mark", "_span", "_shift")
 
 
-def _subtrees(level: DataFrame) -> DataFrame:
-    """(tree, n, block, nodes): the aligned subtrees over a stored level."""
-    own = level.select("tree", "n", "pos", "node", F.expr(f"pos div {FANOUT**STRIDE}").alias("block"))
-    nodes = F.sort_array(F.collect_list(F.struct("pos", "node")))["node"]
-    return own.groupBy("tree", "n", "block").agg(nodes.alias("nodes"))
+def _subtrees(level: DataFrame, extra: list[str]) -> DataFrame:
+    """(tree, n, block, rows, nodes): the aligned subtrees over a stored level; ``rows`` are (pos, node, extra) in order."""
+    own = level.select("tree", "n", F.expr(f"pos div {FANOUT**STRIDE}").alias("block"), F.struct("pos", "node", *extra).alias("row"))
+    grouped = own.groupBy("tree", "n", "block").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    return grouped.withColumn("nodes", F.col("rows.node"))
 
 
 class Trees:
     """Stored levels of all trees, lowest first; a tree is part of a level as long as it has more than one node there."""
 
-    def __init__(self, leaves: DataFrame):
-        """``leaves``: stored (tree, pos, n, node)."""
-        self.levels, self.tops = [], None
-        level = leaves.select("tree", "pos", "n", "node")
-        self.lone = level.filter("n = 1").select("tree")
+    def __init__(self, leaves: DataFrame, extra: list[str]):
+        """``leaves``: stored (tree, pos, n, node) and the ``extra`` columns that stay beside a leaf."""
+        self.levels, self.tops, self.leaves, self.extra = [], None, leaves, extra
+        level = leaves
         largest = level.agg(F.max("n")).first()[0] or 0
         while True:
             done = level.filter("n = 1").select("tree", "node")
@@ -178,13 +172,14 @@ class Trees:
                 break
             level = level.filter("n > 1")
             self.levels.append(level)
-            level = stage(_subtrees(level).mapInArrow(_raise, "tree string, pos long, n long, node string"), "merkle-level")
+            level = stage(_subtrees(level, []).drop("rows").mapInArrow(_raise, "tree string, pos long, n long, node string"), "merkle-level")
             largest = -(-largest // FANOUT**STRIDE)
 
     def paths(self, above: DataFrame) -> DataFrame:
-        """(tree, pos, top, path) of every leaf; ``above`` is the (tree, top, path) that leads on from each tree's top.
+        """(tree, top, pos, node, extra, path) of every leaf; ``above`` is the (tree, top, path) that leads on from each tree's top.
 
-        Level by level downwards: a subtree meets the path of its top, and gives its stored nodes theirs.
+        Level by level downwards: a subtree meets the path of its top, and gives its stored nodes theirs. The paths of the
+        leaves are made beside the leaves and never move.
         """
         upper = above.select("tree", F.lit(0).cast("long").alias("block"), F.lit(True).alias("last"), "top", "path")
         found = None
@@ -193,14 +188,14 @@ class Trees:
                 found.select("tree", F.col("pos").alias("block"), F.lit(False).alias("last"), "top", "path")
             )
             # A tree's top is above the one subtree of its last level, other subtrees are below nodes of the next level.
-            below = _subtrees(level).withColumn("last", F.col("n") <= FANOUT**STRIDE).join(parents, ["tree", "block", "last"])
-            found = below.mapInArrow(_lower, T.StructType([
-                T.StructField("tree", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("top", T.StringType()), T.StructField("path", PATH),
-            ]))
+            below = _subtrees(level, [] if k else self.extra).withColumn("last", F.col("n") <= FANOUT**STRIDE).join(parents, ["tree", "block", "last"])
+            kinds = [below.schema[c] for c in ("tree", "top", "rows")]
+            made = below.mapInArrow(_lower, T.StructType([*kinds, T.StructField("paths", T.ArrayType(PATH))]))
+            found = made.select("tree", "top", F.inline(F.arrays_zip("rows", "paths"))).select("tree", "top", "rows.*", F.col("paths").alias("path"))
             if k:
-                found = stage(found, "merkle-paths")
+                found = stage(found.drop("node"), "merkle-paths")
         # The leaf of a tree of one leaf is its top.
-        lone = upper.join(self.lone, "tree", "left_semi").select("tree", F.col("block").alias("pos"), "top", "path")
+        lone = self.leaves.filter("n = 1").join(upper, "tree").select("tree", "top", "pos", "node", *self.extra, "path")
         return lone if found is None else found.unionByName(lone)
 
 
@@ -215,19 +210,17 @@ def manifest(docs: DataFrame, leaf: Column, group: str = "source", order: str =
         tree_of(F.col(group)).alias("tree"), F.col(order).alias("_order"), leaf.alias("node"), *[c.alias(k) for k, c in named.items()]
     ), "merkle-leaves")
     leaves = stage(place(rows, ["_order"]), "merkle-placed")
-    trees = Trees(leaves)
+    trees = Trees(leaves, ["_order", *named])
     # The tops of the sources are the leaves of one more tree.
     tops = stage(trees.tops.select(F.lit("").alias("tree"), F.col("tree").alias("_order"), "node"), "merkle-tops")
     sources = stage(place(tops, ["_order"]), "merkle-sources")
-    crown = Trees(sources)
+    crown = Trees(sources, ["_order"])
     root = crown.tops.first()
     root = None if root is None else root["node"]
     no_steps = F.array().cast(PATH)
     start = crown.tops.select("tree", F.col("node").alias("top"), no_steps.alias("path"))
-    over = crown.paths(start).join(sources, ["tree", "pos"]).select(F.col("_order").alias("tree"), F.col("node").alias("top"), "path")
-    paths = trees.paths(stage(over, "merkle-crown"))
-    found = leaves.join(paths, ["tree", "pos"])
-    return found.select(
+    over = crown.paths(start).select(F.col("_order").alias("tree"), F.col("node").alias("top"), "path")
+    return trees.paths(stage(over, "merkle-crown")).select(
         F.col("_order").alias(order), *[F.col(k).alias(name) for k, name in zip(named, keep or {})],
         F.col("node").alias("leaf"), F.col("top").alias("subroot"), F.lit(root).cast("string").alias("root"), "path",
     )
