@@ -1,27 +1,50 @@
-"""Linear text models as joins and sums over a ``(term, coefs)`` table.
+"""Linear text models, trained to convergence as joins and sums over tables.
 
-Full-batch gradient steps on unit-norm TF-IDF vectors: margins per document, errors per document, gradient per term.
-Coefficients live in a stored table with a row per term, without a limit on terms; only one bias per output is on
-the driver. Each step's coefficients are rounded, so a result does not depend on the order of sums.
+``reg / 2 * |w|^2 + mean loss`` over unit-norm TF-IDF vectors is minimised by a limited-memory quasi-Newton method. Everything that
+grows is a table: weights ``(id, term, weight)``, a row per document with its margins, a row per term with its coefficients, its
+gradient and the last ``MEMORY`` steps. The driver holds dot products only: they give the direction as a combination of the stored
+columns, so no vector is ever gathered. A step is one pass over the weights for the margins of the direction, one over the (small) margins for the
+step length, one over the weights for the gradient. Joins and sums are Spark's; the arithmetic within a row runs in Arrow batches, because the numbers change with every step
+and compiled expressions would be compiled anew each time.
+
+The weights are placed once, by document, as a bucketed table in the shared folder; each pass moves partial sums and the small side,
+never the weights. A direction of up to ``MAX_BROADCAST_BYTES`` is broadcast to them. Beyond that they are placed by term as well, once; terms that fill more than
+one in ``HOT_TERMS`` of the rows are counted then and set apart, and meet their part of the direction map-side.
+
+The ridge makes the objective strongly convex, so ``|g|^2 / (2 reg)`` bounds what is left to gain: training ends when that is
+below ``GAP`` of the objective.
 """
 
 from __future__ import annotations
 
+import logging
+import math
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.operators.features import term_counts, tfidf_fit, weigh_terms
+from newsflow.operators import lookup
 from newsflow.operators.lookup import lookup_join
-from newsflow.session import stage
+from newsflow.session import stage, staging_path
 
 DIGITS = 9
 SCORE_DIGITS = 6
-# Steps and step sizes: the bias is a feature of value 1 among many small ones, so its step is shorter.
-STEPS = 12
-HINGE_RATE, HINGE_BIAS_RATE = 4.0, 0.4
-SOFTMAX_RATE, SOFTMAX_BIAS_RATE = 10.0, 1.0
+MEMORY = 5
+HOT_TERMS = 1_000
+# What the objective may be above its minimum, and steps after which training gives up.
+GAP = 1e-3
+MAX_STEPS = 200
+# Step lengths that are tried in one pass: a quarter more from one to the next.
+LENGTHS = tuple(1.25**i for i in range(-16, 13))
+
+# Margins (rows, outputs) and labels to the loss of each row and its slope by each margin.
+Loss = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 @dataclass
@@ -30,6 +53,9 @@ class LinearModel:
 
     terms: DataFrame
     bias: list[float]
+    objective: float
+    gap: float
+    steps: int
 
     def scores(self, df: DataFrame, tokens: Column, id_col: str = "id") -> DataFrame:
         """``(id, scores)`` of every row: one lookup and one sum per document; unseen terms are ignored."""
@@ -45,64 +71,275 @@ class LinearModel:
         return df.select(id_col).join(sums, id_col, "left").select(id_col, F.array(*values).alias("scores"))
 
 
-def hinge_errors(margins: list[Column], label: Column) -> list[Column]:
-    """One output; labels 0 and 1. Slope of the squared hinge."""
-    sign = F.when(label == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return [sign * 2.0 * F.greatest(F.lit(0.0), 1.0 - sign * margins[0])]
+# --- losses ----------------------------------------------------------------------
+
+
+def squared_hinge(margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One output; labels 0 and 1."""
+    sign = np.where(label == 1, 1.0, -1.0)
+    short = np.maximum(0.0, 1.0 - sign * margins[:, 0])
+    return short * short, (-2.0 * sign * short)[:, None]
+
+
+def softmax(margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One output per class; labels are 0 .. classes - 1."""
+    rows = np.arange(len(label))
+    shifted = margins - margins.max(1, keepdims=True)
+    raised = np.exp(shifted)
+    total = raised.sum(1)
+    slope = raised / total[:, None]
+    slope[rows, label] -= 1.0
+    return np.log(total) - shifted[rows, label], slope
+
+
+# --- placed weights ----------------------------------------------------------------
+
+
+class Weights:
+    """The ``(id, term, weight)`` rows, placed by document and, for large models, by term."""
+
+    def __init__(self, rows: DataFrame, id_col: str):
+        self.id_col, self.spark, self.tables = id_col, rows.sparkSession, []
+        self.by_doc = self._placed(rows, "weights_by_doc", id_col)
+        self.hot_terms = self.hot = self.cold = None
+
+    def _place_by_term(self) -> None:
+        uses = stage(self.by_doc.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term-uses")
+        total = uses.agg(F.sum("n")).first()[0] or 0
+        self.hot_terms = stage(uses.filter(F.col("n") > F.lit(total / HOT_TERMS)).select("term"), "hot-terms")
+        hot = F.broadcast(self.hot_terms)
+        self.hot = stage(self.by_doc.join(hot, "term"), "weights-hot")
+        self.cold = self._placed(self.by_doc.join(hot, "term", "left_anti"), "weights_by_term", "term")
+
+    def _placed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Write ``df`` once into the shared folder, bucketed by ``key``, so that joins and sums on it find it in place."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables.append(f"{name}_{uuid.uuid4().hex}")
+        df.repartition(n, key).write.bucketBy(n, key).option("path", staging_path(self.spark, name)).saveAsTable(self.tables[-1])
+        return self.spark.table(self.tables[-1])
+
+    def forget(self) -> None:
+        """Take the names out of the catalogue."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def margins(self, values: DataFrame, outputs: int, size: int) -> DataFrame:
+        """``(id, along)``: sums over a document's terms of weight times ``values`` (term, v), a table of about ``size`` bytes."""
+        if size <= lookup.MAX_BROADCAST_BYTES:
+            met = self.by_doc.join(F.broadcast(values), "term")
+        else:
+            if self.cold is None:
+                self._place_by_term()
+            near = self.hot.join(F.broadcast(values.join(F.broadcast(self.hot_terms), "term")), "term")
+            met = near.select(self.id_col, "weight", "v").unionByName(self.cold.join(values, "term").select(self.id_col, "weight", "v"))
+        sums = [F.sum(F.col("weight") * F.get("v", F.lit(k))) for k in range(outputs)]
+        return met.groupBy(self.id_col).agg(F.array(*sums).alias("along"))
+
+    def sums(self, slopes: DataFrame, outputs: int) -> DataFrame:
+        """``(term, sums)``: sums over a term's documents of weight times ``slopes`` (id, e)."""
+        met = self.by_doc.join(slopes, self.id_col)
+        return met.groupBy("term").agg(F.array(*[F.sum(F.col("weight") * F.get("e", F.lit(k))) for k in range(outputs)]).alias("sums"))
+
+
+# --- the solver ----------------------------------------------------------------------
+
+
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    """A list column as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """A matrix as a list column."""
+    ends = np.arange(0, values.size + 1, max(1, values.shape[1]), dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(values).ravel()))
+
 
+def _per_task(df: DataFrame, total: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Sum of ``total`` over all batches: a row of numbers per task is added up."""
 
-def softmax_errors(margins: list[Column], label: Column) -> list[Column]:
-    raised = [F.exp(m) for m in margins]
-    total = raised[0]
-    for r in raised[1:]:
-        total = total + r
-    return [F.when(label == k, F.lit(1.0)).otherwise(F.lit(0.0)) - r / total for k, r in enumerate(raised)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
+        for batch in batches:
+            own = total(batch)
+            found = own if found is None else found + own
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array(found)], names=["i", "v"])
+
+    sums = df.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    return np.array([r["v"] for r in sorted(sums, key=lambda r: r["i"])])
+
+
+def _direction(gram: list[list[float]], pairs: int) -> list[float]:
+    """Two-loop recursion on dot products of ``s_1 .. s_m, y_1 .. y_m, g``; gives the direction's coefficients of the same vectors."""
+    m, size = pairs, 2 * pairs + 1
+    d = [0.0] * size
+    d[-1] = -1.0
+    dot = lambda i: sum(d[j] * gram[i][j] for j in range(size))
+    alpha = [0.0] * m
+    for i in reversed(range(m)):
+        alpha[i] = dot(i) / gram[i][m + i]
+        d[m + i] -= alpha[i]
+    if m:
+        scale = gram[m - 1][2 * m - 1] / gram[2 * m - 1][2 * m - 1]
+        d = [x * scale for x in d]
+    for i in range(m):
+        d[i] += alpha[i] - dot(m + i) / gram[i][m + i]
+    return d
+
+
+class _Fit:
+    """One training run: tables of terms and documents, and the driver's numbers."""
+
+    def __init__(self, weights: Weights, targets: DataFrame, loss: Loss, outputs: int, reg: float):
+        self.weights, self.loss, self.outputs, self.reg, self.id = weights, loss, outputs, reg, weights.id_col
+        self.n = max(targets.count(), 1)
+        self.bias = np.zeros(outputs)
+        # Bias parts of the stored vectors, oldest first: steps, changes of the gradient.
+        self.s_bias: list[np.ndarray] = []
+        self.y_bias: list[np.ndarray] = []
+        nothing = F.array(*[F.lit(0.0)] * outputs)
+        self.ids = targets.schema[self.id].dataType.simpleString()
+        moved = targets.select(self.id, "_label", nothing.alias("m"), nothing.alias("along"))
+        self._settle(moved, np.zeros(outputs), 0.0)
+        empty = F.array().cast("array<double>")
+        found = weights.sums(self.docs.select(self.id, "e"), outputs)
+        self.terms = stage(found.select("term", nothing.alias("w"), F.transform("sums", lambda x: x / self.n).alias("g"), empty.alias("s"), empty.alias("y")), "terms")
+        self._measure()
+
+    def _settle(self, moved: DataFrame, p_bias: np.ndarray, length: float) -> None:
+        """Store the margins after a step with the slopes there; take the mean loss and the gradient of the bias."""
+        loss, outputs, id_col = self.loss, self.outputs, self.id
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m = _rows(batch["m"], outputs) + length * (_rows(batch["along"], outputs) + p_bias)
+                value, slope = loss(m, batch["_label"].to_numpy())
+                yield pa.RecordBatch.from_arrays([batch[id_col], batch["_label"], _lists(m), pa.array(value), _lists(slope)], names=[id_col, "_label", "m", "loss", "e"])
+
+        self.docs = stage(moved.mapInArrow(run, f"`{id_col}` {self.ids}, _label int, m array<double>, loss double, e array<double>"), "margins")
+        first, *rest = self.docs.agg(F.sum("loss"), *[F.sum(F.get("e", F.lit(k))) for k in range(outputs)]).first()
+        self.mean_loss, self.g_bias = (first or 0.0) / self.n, np.array([(x or 0.0) / self.n for x in rest])
+
+    def _measure(self) -> None:
+        """Dot products of the coefficients and all stored vectors with each other."""
+        outputs, m = self.outputs, len(self.s_bias)
+
+        def products(batch: pa.RecordBatch) -> np.ndarray:
+            n = batch.num_rows
+            s, y = (_rows(batch[c], m * outputs).reshape(n, m, outputs) for c in ("s", "y"))
+            w, g = (_rows(batch[c], outputs)[:, None, :] for c in ("w", "g"))
+            all_ = np.concatenate([s, y, g, w], axis=1).transpose(1, 0, 2).reshape(2 * m + 2, n * outputs)
+            return (all_ @ all_.T).ravel()
+
+        size = 2 * m + 2
+        found = _per_task(self.terms, products)
+        table = found.reshape(size, size) if len(found) else np.zeros((size, size))
+        biases = np.array([*self.s_bias, *self.y_bias, self.g_bias])
+        self.table_gram, self.w_dot, self.w_norm = table[:-1, :-1], table[-1, :-1], table[-1, -1]
+        self.gram = self.table_gram + biases @ biases.T
+
+    @property
+    def objective(self) -> float:
+        return float(self.mean_loss + self.reg / 2 * self.w_norm)
+
+    @property
+    def gap(self) -> float:
+        """What is left to gain at most, as a part of the objective."""
+        return float(self.gram[-1, -1] / (2 * self.reg) / max(self.objective, 1e-300))
+
+    def step(self) -> bool:
+        """One step; false if no length along the direction gains anything."""
+        m, outputs = len(self.s_bias), self.outputs
+        d = np.array(_direction(self.gram.tolist(), m))
+        p_bias = d @ np.array([*self.s_bias, *self.y_bias, self.g_bias])
+
+        def direction(batch: pa.RecordBatch) -> np.ndarray:
+            n = batch.num_rows
+            s, y = (_rows(batch[c], m * outputs).reshape(n, m, outputs) for c in ("s", "y"))
+            return np.einsum("j,njk->nk", d, np.concatenate([s, y, _rows(batch["g"], outputs)[:, None, :]], axis=1))
+
+        def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch["term"], _lists(direction(batch))], names=["term", "v"])
+
+        along = self.weights.margins(self.terms.mapInArrow(directions, "term string, v array<double>"), outputs, lookup.stored_bytes(self.terms))
+        nothing = F.array(*[F.lit(0.0)] * outputs)
+        moved = stage(self.docs.select(self.id, "_label", "m").join(along, self.id, "left").select(
+            self.id, "_label", "m", F.coalesce("along", nothing).alias("along")
+        ), "moved")
+        length, value = self._best_length(moved, p_bias, float(d @ self.w_dot), float(d @ self.table_gram @ d), m == 0)
+        if not value < self.objective:
+            return False
+        old = self.g_bias
+        self._settle(moved, p_bias, length)
+        self.bias = self.bias + length * p_bias
+        n_docs, reg, keep = self.n, self.reg, (MEMORY - 1) * outputs
+
+        def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p, w, g = direction(batch) * length, _rows(batch["w"], outputs), _rows(batch["g"], outputs)
+                new = _rows(batch["sums"], outputs) / n_docs + reg * (w + p)
+                past = [_rows(batch[c], m * outputs)[:, max(0, m * outputs - keep) :] for c in ("s", "y")]
+                yield pa.RecordBatch.from_arrays(
+                    [batch["term"], _lists(w + p), _lists(new), _lists(np.hstack([past[0], p])), _lists(np.hstack([past[1], new - g]))], names=["term", "w", "g", "s", "y"]
+                )
+
+        sums = self.weights.sums(self.docs.select(self.id, "e"), outputs)
+        self.terms = stage(self.terms.join(sums, "term").mapInArrow(
+            change, "term string, w array<double>, g array<double>, s array<double>, y array<double>"
+        ), "terms")
+        self.s_bias = [*self.s_bias, length * p_bias][-MEMORY:]
+        self.y_bias = [*self.y_bias, self.g_bias - old][-MEMORY:]
+        self._measure()
+        return True
+
+    def _best_length(self, moved: DataFrame, p_bias: np.ndarray, w_p: float, p_norm: float, first: bool) -> tuple[float, float]:
+        """The tried length with the lowest objective, and that objective."""
+        loss, outputs = self.loss, self.outputs
+        # The first direction has the gradient's length, which says nothing about the step.
+        unit = 1.0 / max(math.sqrt(self.gram[-1, -1]), 1e-300) if first else 1.0
+        lengths = [unit * t for t in LENGTHS]
+
+        def losses(batch: pa.RecordBatch) -> np.ndarray:
+            m, p, label = _rows(batch["m"], outputs), _rows(batch["along"], outputs) + p_bias, batch["_label"].to_numpy()
+            return np.array([loss(m + t * p, label)[0].sum() for t in lengths])
+
+        totals = _per_task(moved, losses)
+        found = {float(x / self.n + self.reg / 2 * (self.w_norm + 2 * t * w_p + t * t * p_norm)): t for t, x in zip(lengths, totals)}
+        return (found[min(found)], min(found)) if found else (0.0, math.inf)
 
 
 def fit_linear(
-    train: DataFrame, tokens: Column, outputs: int, errors, rate: float, bias_rate: float, reg: float, label: str = "label",
-    id_col: str = "id", steps: int = STEPS, idf_rows: DataFrame | None = None,
+    train: DataFrame, tokens: Column, outputs: int, loss: Loss, reg: float, label: str = "label", id_col: str = "id",
+    idf_rows: DataFrame | None = None, gap: float = GAP, max_steps: int = MAX_STEPS,
 ) -> LinearModel:
     """Fit on ``(id, label, ...)``; idf from ``idf_rows`` (default: the training rows)."""
     idf = stage(tfidf_fit(train if idf_rows is None else idf_rows, tokens), "idf")
-    weights = stage(weigh_terms(term_counts(train, tokens, id_col), idf, id_col).select(id_col, "term", "weight"), "weights")
-    targets = stage(train.select(id_col, F.col(label).cast("int").alias("_label")), "targets")
-    n = max(targets.count(), 1)
-    each = range(outputs)
-    coefs, bias = None, [0.0] * outputs
-    for _ in range(steps):
-        if coefs is None:
-            margins = targets.select(id_col, "_label", *[F.lit(b).alias(f"_m{k}") for k, b in enumerate(bias)])
-        else:
-            used = lookup_join(weights, coefs, "term")
-            sums = used.groupBy(id_col).agg(*[F.sum(F.col("weight") * F.get("coefs", F.lit(k))).alias(f"_s{k}") for k in each])
-            margins = targets.join(sums, id_col, "left").select(
-                id_col, "_label", *[(F.coalesce(F.col(f"_s{k}"), F.lit(0.0)) + F.lit(bias[k])).alias(f"_m{k}") for k in each]
-            )
-        slopes = stage(margins.select(id_col, *[
-            e.alias(f"_e{k}") for k, e in enumerate(errors([F.col(f"_m{k}") for k in each], F.col("_label")))
-        ]), "slopes")
-        moves = weights.join(slopes, id_col).groupBy("term").agg(F.array(*[F.sum(F.col("weight") * F.col(f"_e{k}")) for k in each]).alias("_g"))
-        old = moves.select("term", "_g", F.array(*[F.lit(0.0)] * outputs).alias("coefs")) if coefs is None else moves.join(coefs, "term")
-        coefs = stage(old.select("term", F.array(*[
-            F.round(F.get("coefs", F.lit(k)) * (1.0 - rate * reg) + F.get("_g", F.lit(k)) * (rate / n), DIGITS) for k in each
-        ]).alias("coefs")), "coefs")
-        total = slopes.agg(*[F.round(F.sum(f"_e{k}") * (bias_rate / n), DIGITS) for k in each]).first()
-        bias = [round(b + (t or 0.0), DIGITS) for b, t in zip(bias, total)]
+    weights = Weights(weigh_terms(term_counts(train, tokens, id_col), idf, id_col).select(id_col, "term", "weight"), id_col)
+    targets = train.select(id_col, F.col(label).cast("int").alias("_label"))
+    fit, steps = _Fit(weights, targets, loss, outputs, reg), 0
+    while fit.gap > gap and steps < max_steps and fit.step():
+        steps += 1
+    if fit.gap > gap:
+        logging.getLogger(__name__).warning("stopped after %d steps with a gap of at most %.3g of the objective", steps, fit.gap)
     # Terms outside the training rows (idf of other rows) have no coefficient.
     nothing = F.array(*[F.lit(0.0)] * outputs)
-    terms = idf.select("term", "idf").join(coefs, "term", "left").select("term", "idf", F.coalesce("coefs", nothing).alias("coefs"))
-    return LinearModel(stage(terms, "linear-terms"), bias)
+    rounded = F.transform("w", lambda x: F.round(x, DIGITS))
+    terms = idf.select("term", "idf").join(fit.terms.select("term", rounded.alias("coefs")), "term", "left")
+    stored = stage(terms.select("term", "idf", F.coalesce("coefs", nothing).alias("coefs")), "linear-terms")
+    weights.forget()
+    return LinearModel(stored, [round(float(b), DIGITS) for b in fit.bias], fit.objective, fit.gap, steps)
 
 
 def fit_svm(train: DataFrame, tokens: Column, c: float = 1.0, **options) -> LinearModel:
-    """Binary linear SVM with squared hinge; the penalty ``C`` becomes a ridge of ``1 / (C n)``."""
-    return fit_linear(train, tokens, 1, hinge_errors, HINGE_RATE, HINGE_BIAS_RATE, 1.0 / (c * max(train.count(), 1)), **options)
+    """Binary linear SVM with squared hinge; the penalty ``C`` becomes a ridge of ``1 / (C n)``. The bias is free."""
+    return fit_linear(train, tokens, 1, squared_hinge, 1.0 / (c * max(train.count(), 1)), **options)
 
 
 def fit_logistic(train: DataFrame, tokens: Column, classes: int, reg: float = 1e-4, **options) -> LinearModel:
     """Multinomial logistic regression; labels are 0 .. classes - 1."""
-    return fit_linear(train, tokens, classes, softmax_errors, SOFTMAX_RATE, SOFTMAX_BIAS_RATE, reg, **options)
+    return fit_linear(train, tokens, classes, softmax, reg, **options)
 
 
 def best_output(scores: Column) -> Column:

@@ -29,6 +29,10 @@ RUNS = (
 )
 
 
+def recursive(*parts: str) -> str:
+    return "WITH RECURSIVE" + with_(*parts)[4:]
+
+
 def stopped_tokens(column="maintext"):
     return features.svm_tokens(F.col(column), STOPWORDS)
 
@@ -142,35 +146,54 @@ def classifier_evaluate(spark, sf):
     return metrics.long_metrics(row, ["accuracy", "f1", "eval_samples"])
 
 
-def linear_sql(kind: str, train: str, classes: str, n_out: int, reg: str) -> tuple[str, ...]:
-    """The steps of a linear model on ``ltok(id, label, ts)``: ``cf`` (term, k, c) and ``bs`` (k, b) after the last one.
+# Accelerated gradient steps of the check; enough for the tables it runs on.
+CHECK_STEPS = 800
+
 
-    ``train`` selects rows; ``classes`` lists the outputs.
+def linear_sql(kind: str, train: str, classes: str, reg: str) -> tuple[str, ...]:
+    """A linear model on ``ltok(id, label, ts)``: ``cf`` (term, k, c) and ``bs`` (k, b).
+
+    Another way to the same minimum: coefficients as a combination of the training rows, whose weights ``a`` take accelerated gradient steps
+    over the matrix of inner products. ``train`` selects rows; ``classes`` lists the outputs; ``reg`` is the ridge.
     """
-    rate, bias_rate = (linear.HINGE_RATE, linear.HINGE_BIAS_RATE) if kind == "hinge" else (linear.SOFTMAX_RATE, linear.SOFTMAX_BIAS_RATE)
     if kind == "hinge":
-        slope = "SELECT id, k, CASE WHEN label = 1 THEN 1.0 ELSE -1.0 END::DOUBLE * 2.0::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - CASE WHEN label = 1 THEN 1.0 ELSE -1.0 END::DOUBLE * m) AS e FROM {m}"
+        curve, target = 2.0, "CASE WHEN label = 1 THEN 1.0 ELSE -1.0 END"
+        slopes = "list_transform(list_zip(m, y), lambda z: list_transform(list_zip(z[1], z[2]), lambda q: -2.0 * q[2] * greatest(0.0, 1.0 - q[2] * q[1])))"
     else:
-        slope = "SELECT id, k, CASE WHEN label = k THEN 1.0 ELSE 0.0 END::DOUBLE - exp(m) / sum(exp(m)) OVER (PARTITION BY id) AS e FROM {m}"
-    parts = [
-        f"ltr AS MATERIALIZED (SELECT id, label, ts FROM ltok WHERE {train})", "ln_ AS (SELECT count(*)::DOUBLE AS n FROM ltr)",
+        curve, target = 0.5, "CASE WHEN label = k THEN 1.0 ELSE 0.0 END"
+        raised = "list_transform(m, lambda r: list_transform(r, lambda x: exp(x)))"
+        total = f"list_reduce({raised}, lambda x, w: list_transform(list_zip(x, w), lambda z: z[1] + z[2]))"
+        slopes = (
+            "list_transform(list_zip(ex, y), lambda z: list_transform(list_zip(z[1], z[2], tot), lambda q: q[1] / q[3] - q[2])) "
+            f"FROM (SELECT *, {raised} AS ex, {total} AS tot FROM mg)"
+        )
+    mix = lambda x, w, f: f"list_transform(list_zip({x}, {w}), lambda z: list_transform(list_zip(z[1], z[2]), lambda q: {f}))"
+    flat = lambda x, w, f: f"list_transform(list_zip({x}, {w}), lambda q: {f})"
+    step = f"(1.0 / (2.0 * {curve} + reg))"
+    pull = "((1.0 - sqrt(reg * " + step + ")) / (1.0 + sqrt(reg * " + step + ")))"
+    return (
+        f"ltr AS MATERIALIZED (SELECT id, label, ts, row_number() OVER (ORDER BY id) AS i FROM ltok WHERE {train})", f"ln_ AS (SELECT count(*)::DOUBLE AS n, {reg} AS reg FROM ltr)",
         "ltf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ts) AS term FROM ltr) GROUP BY ALL)",
         "lidf AS MATERIALIZED (SELECT term, ln((1.0::DOUBLE + (SELECT n FROM ln_)) / (count(*) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM ltf GROUP BY term)",
         "lw AS MATERIALIZED (SELECT id, term, tf * idf / sqrt(sum(tf * idf * (tf * idf)) OVER (PARTITION BY id)) AS w FROM ltf JOIN lidf USING (term))",
+        "lx_ AS MATERIALIZED (SELECT i, term, w FROM lw JOIN ltr USING (id))",
+        "dots AS (SELECT p.i, q.i AS j, sum(p.w * q.w) AS v FROM lx_ p JOIN lx_ q USING (term) GROUP BY ALL)",
+        "km AS MATERIALIZED (SELECT list(r ORDER BY i) AS kk FROM (SELECT p.i, list(coalesce(v, 0.0) ORDER BY q.i) AS r FROM ltr p CROSS JOIN ltr q LEFT JOIN dots d ON d.i = p.i AND d.j = q.i GROUP BY p.i))",
         f"outs AS (SELECT unnest({classes}) AS k)",
-        "cf0 AS (SELECT term, k, 0.0::DOUBLE AS c FROM (SELECT DISTINCT term FROM lw), outs)", "bs0 AS (SELECT k, 0.0::DOUBLE AS b FROM outs)",
-    ]
-    for s in range(linear.STEPS):
-        parts += [
-            f"mg{s} AS MATERIALIZED (SELECT l.id, l.label, o.k, coalesce(x.m, 0.0) + o.b AS m FROM ltr l CROSS JOIN bs{s} o LEFT JOIN "
-            f"(SELECT id, k, sum(w * c) AS m FROM lw JOIN cf{s} USING (term) GROUP BY ALL) x ON x.id = l.id AND x.k = o.k)",
-            f"er{s} AS MATERIALIZED ({slope.format(m=f'mg{s}')})",
-            f"cf{s + 1} AS MATERIALIZED (SELECT term, k, round(c * (1.0::DOUBLE - {rate}::DOUBLE * ({reg})) + g * ({rate}::DOUBLE / (SELECT n FROM ln_)), {linear.DIGITS}) AS c "
-            f"FROM cf{s} JOIN (SELECT term, k, sum(w * e) AS g FROM lw JOIN er{s} USING (id) GROUP BY ALL) USING (term, k))",
-            f"bs{s + 1} AS MATERIALIZED (SELECT k, round(b + round(t * ({bias_rate}::DOUBLE / (SELECT n FROM ln_)), {linear.DIGITS}), {linear.DIGITS}) AS b "
-            f"FROM bs{s} JOIN (SELECT k, sum(e) AS t FROM er{s} GROUP BY k) USING (k))",
-        ]
-    return (*parts, f"cf AS (SELECT * FROM cf{linear.STEPS})", f"bs AS (SELECT * FROM bs{linear.STEPS})")
+        f"ys AS MATERIALIZED (SELECT list(r ORDER BY k) AS y FROM (SELECT k, list({target}::DOUBLE ORDER BY i) AS r FROM ltr CROSS JOIN outs GROUP BY k))",
+        "start AS (SELECT list_transform(y, lambda r: list_transform(r, lambda x: 0.0::DOUBLE)) AS a, list_transform(y, lambda r: 0.0::DOUBLE) AS b FROM ys)",
+        # a, b: the point; v, u: the point that momentum leads to.
+        "descent AS (SELECT 0 AS s, a, b, a AS v, b AS u FROM start UNION ALL "
+        f"SELECT s + 1, na, nb, {mix('na', 'a', f'q[1] + {pull} * (q[1] - q[2])')}, {flat('nb', 'b', f'q[1] + {pull} * (q[1] - q[2])')} FROM ("
+        f"SELECT s, a, b, reg, {mix('v', 'e', f'q[1] - {step} * (reg * q[1] + q[2] / n)')} AS na, {flat('u', 'e', f'q[1] - {step} * list_sum(q[2]) / n')} AS nb FROM ("
+        + ("SELECT *, " + slopes.replace(" FROM (", " AS e FROM (", 1) if " FROM (" in slopes else "SELECT *, " + slopes + " AS e FROM mg").replace(
+            "FROM mg", "FROM (SELECT f.*, y, reg, n, list_transform(list_zip(v, u), lambda o: list_transform(kk, lambda r: list_inner_product(r, o[1]) + o[2])) AS m "
+            f"FROM descent f, km, ys, ln_ WHERE s < {CHECK_STEPS})", 1)
+        + ")))",
+        f"done AS MATERIALIZED (SELECT a, b FROM descent WHERE s = {CHECK_STEPS})",
+        "pos AS (SELECT k, row_number() OVER (ORDER BY k) AS o FROM outs)",
+        "cf AS MATERIALIZED (SELECT term, k, sum(w * a[o][i]) AS c FROM lx_, pos, done GROUP BY term, k)", "bs AS (SELECT k, b[o] AS b FROM pos, done)",
+    )
 
 
 def linear_scores_sql(source: str) -> tuple[str, ...]:
@@ -188,13 +211,13 @@ def linear_scores_sql(source: str) -> tuple[str, ...]:
 LR_SQL = (
     ART, *STRATIFIED_SQL, "lx AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT lang FROM art))",
     f"ltok AS MATERIALIZED (SELECT s.id, lx.code AS label, s.split, {sql_tokens('maintext', stop=True)} AS ts FROM strat s JOIN lx USING (lang))",
-    *linear_sql("softmax", "split = 'train'", "(SELECT list(code) FROM lx)", 0, "0.0001::DOUBLE"),
+    *linear_sql("softmax", "split = 'train'", "(SELECT list(code) FROM lx)", "0.0001::DOUBLE"),
     "held AS (SELECT id, label, ts FROM ltok WHERE split = 'valid')", *linear_scores_sql("held"),
     "bst AS (SELECT id, k AS pred FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, k) AS r FROM sco) WHERE r = 1)",
 )
 
 
-@query("domain_classifier_train_lr", with_(*LR_SQL,
+@query("domain_classifier_train_lr", recursive(*LR_SQL,
        "SELECT id, label, pred, lx.lang AS pred_label FROM held JOIN bst USING (id) JOIN lx ON lx.code = bst.pred"))
 def domain_classifier_train_lr(spark, sf):
     """Multinomial logistic regression on the same features; predictions of the held-out part."""
@@ -212,11 +235,11 @@ SVM_SQL = (
     "lab0 AS (SELECT d.doc_id AS id, d.text, l.quality AS label FROM documents d JOIN labels l USING (doc_id))",
     f"ltok AS MATERIALIZED (SELECT id, label, {sql_tokens('text', stop=True)} AS ts, CASE WHEN row_number() OVER (ORDER BY md5('0:' || id)) "
     "<= ceil(count(*) OVER () * 0.1) THEN 'valid' ELSE 'train' END AS split FROM lab0)",
-    *linear_sql("hinge", "split = 'train'", "[0]", 1, "1.0::DOUBLE / (SELECT n FROM ln_)"),
+    *linear_sql("hinge", "split = 'train'", "[0]", "1.0::DOUBLE / count(*)"),
 )
 
 
-@query("sentiment_svm_train", with_(*SVM_SQL, "held AS (SELECT id, label, ts FROM ltok WHERE split = 'valid')", *linear_scores_sql("held"),
+@query("sentiment_svm_train", recursive(*SVM_SQL, "held AS (SELECT id, label, ts FROM ltok WHERE split = 'valid')", *linear_scores_sql("held"),
        "SELECT id, label, CAST(score >= 0 AS INTEGER) AS pred FROM held JOIN sco USING (id)"))
 def sentiment_svm_train(spark, sf):
     """A linear SVM on the labelled texts: held-out labels and predictions; idf and model see the train part only."""
@@ -233,7 +256,7 @@ SOCIAL_SQL = (
 )
 
 
-@query("sentiment_svm_predict", with_(*SVM_SQL, *SOCIAL_SQL, *linear_scores_sql("new"),
+@query("sentiment_svm_predict", recursive(*SVM_SQL, *SOCIAL_SQL, *linear_scores_sql("new"),
        "SELECT conv_id, turn, CAST(score >= 0 AS INTEGER) AS pred FROM new JOIN sco USING (id)"))
 def sentiment_svm_predict(spark, sf):
     """New texts (conversation turns): social clean-up, negation gluing, vectors, SVM."""

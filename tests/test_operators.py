@@ -318,3 +318,94 @@ def test_batches(spark):
         return lambda b: b.assign(y=b["id"] % 2)
 
     assert batch.batch_inference(df, load, "id bigint, y bigint").filter("y = 1").count() == 5
+
+
+def planted_texts(spark, n=120, seed=5):
+    """Rows of two classes that share most words; a third of the rows has one word in common."""
+    import random
+
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(n):
+        label = int(rng.random() < 0.8)
+        own = rng.sample(words, 8) + (["good"] if label else ["bad"]) * rng.randint(1, 2)
+        rng.shuffle(own)
+        rows.append((i, " ".join(own), label))
+    return rows, spark.createDataFrame(rows, "id bigint, text string, label int").withColumn("tokens", F.split("text", " "))
+
+
+def dense(rows):
+    """Unit TF-IDF vectors of the rows, and their terms."""
+    import collections
+    import math
+
+    import numpy as np
+
+    counts = [collections.Counter(t.split()) for _, t, _ in rows]
+    df = collections.Counter(w for c in counts for w in c)
+    terms = sorted(df)
+    x = np.array([[c[w] * (math.log((1 + len(rows)) / (1 + df[w])) + 1) for w in terms] for c in counts])
+    return x / np.sqrt((x**2).sum(1, keepdims=True)), terms
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_svm_converges(spark, monkeypatch, limit):
+    """The objective of a long run of plain descent is met, classes that can be told apart are, in both ways of meeting the terms."""
+    import numpy as np
+
+    from newsflow.operators import linear, lookup
+
+    if limit is not None:
+        monkeypatch.setattr(lookup, "MAX_BROADCAST_BYTES", limit)
+    rows, df = planted_texts(spark)
+    model = linear.fit_svm(df, F.col("tokens"))
+    x, terms = dense(rows)
+    sign = np.array([1.0 if r[2] else -1.0 for r in rows])
+    reg, w, b = 1 / len(rows), np.zeros(len(terms)), 0.0
+    value = lambda w, b: reg / 2 * w @ w + np.mean(np.maximum(0, 1 - sign * (x @ w + b)) ** 2)
+    for _ in range(20_000):
+        e = -2 * sign * np.maximum(0, 1 - sign * (x @ w + b)) / len(rows)
+        w, b = w - 0.24 * (reg * w + x.T @ e), b - 0.24 * e.sum()
+    found = {r["term"]: r["coefs"][0] for r in model.terms.collect()}
+    ours = value(np.array([found[t] for t in terms]), model.bias[0])
+    assert abs(ours - model.objective) < 1e-6
+    assert value(w, b) <= ours * (1 + 1e-9) and ours <= value(w, b) * 1.01
+    assert model.gap <= linear.GAP and model.steps < linear.MAX_STEPS
+    scored = df.join(model.scores(df, F.col("tokens")), "id").select("label", (F.col("scores")[0] >= 0).cast("int").alias("pred")).collect()
+    assert all(r["label"] == r["pred"] for r in scored)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("weights_by")]
+
+
+def test_logistic_regression_converges(spark):
+    import numpy as np
+
+    from newsflow.operators import linear
+
+    rows, df = planted_texts(spark, 90, seed=8)
+    rows = [(i, t, i % 3 if i % 5 else 0) for i, t, _ in rows]
+    df = spark.createDataFrame(rows, "id bigint, text string, label int").withColumn("tokens", F.split("text", " "))
+    model = linear.fit_logistic(df, F.col("tokens"), 3, reg=1e-2)
+    x, terms = dense(rows)
+    y = np.eye(3)[[r[2] for r in rows]]
+    w, b = np.zeros((len(terms), 3)), np.zeros(3)
+
+    def loss(w, b):
+        m = x @ w + b
+        m -= m.max(1, keepdims=True)
+        return np.mean(np.log(np.exp(m).sum(1)) - (m * y).sum(1)) + 5e-3 * (w**2).sum()
+
+    for _ in range(5_000):
+        m = np.exp(x @ w + b)
+        e = (m / m.sum(1, keepdims=True) - y) / len(rows)
+        w, b = w - 0.9 * (1e-2 * w + x.T @ e), b - 0.9 * e.sum(0)
+    assert loss(w, b) <= model.objective * (1 + 1e-9) and model.objective <= loss(w, b) * 1.01
+
+
+@pytest.mark.parametrize("rows", [[], [(1, ["a"], 1)], [(1, ["a"], 1), (2, [], 0)], [(1, None, 1), (2, ["b", "b"], 0), (2, ["b"], 1)]])
+def test_svm_of_few_rows(spark, rows):
+    from newsflow.operators import linear
+
+    df = spark.createDataFrame(rows, "id bigint, tokens array<string>, label int")
+    model = linear.fit_svm(df, F.col("tokens"))
+    assert model.scores(df.dropDuplicates(["id"]), F.col("tokens")).count() == len({r[0] for r in rows})
