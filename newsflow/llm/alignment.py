@@ -17,6 +17,7 @@ counts; repeated rows are counted as often as they occur; an empty table gives n
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -40,6 +41,8 @@ PART_BYTES = 1 << 20
 REMEMBERED = 1 << 18
 
 _CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
+# Fixed value: the word rule of byte-level vocabularies.
+_WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _RESULT = [
     T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("n_groups", T.LongType()),
     T.StructField("n_links", T.LongType()), T.StructField("groups", T.StringType()),
@@ -61,6 +64,7 @@ class Tokenizers:
 
     def __init__(self, byte_level: bytes, pieces: bytes):
         import sentencepiece
+        import tiktoken
         import tokenizers
 
         self.a = tokenizers.Tokenizer.from_buffer(byte_level)
@@ -72,6 +76,14 @@ class Tokenizers:
         for word, i in words.items():
             self.a_bytes[i] = bytes(alphabet[c] for c in word) if all(c in alphabet for c in word) else word.encode()
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        # Where ids follow the order of the merges, ASCII text is encoded by rank, which gives the same ids in less time.
+        rules = json.loads(byte_level)
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in rules["model"]["merges"]]
+        ranks = {self.a_bytes[i]: i for i in range(256 + len(merged))}
+        cut = rules["pre_tokenizer"] or {}
+        plain = rules["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        ordered = plain and len(ranks) == 256 + len(merged) and all(words.get(w) == 256 + k for k, w in enumerate(merged))
+        self.ranked = tiktoken.Encoding("ranked", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}) if ordered else None
         # Segments may be encoded alone if no piece goes on over a space.
         self.cuts = not any(b" " in p.lstrip(b" ") for p in self.b_bytes)
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
@@ -92,19 +104,41 @@ class Tokenizers:
     def encode(self, found: Iterable[str]) -> None:
         """Give every new segment a number, and its tokens a place."""
         new = [s for s in dict.fromkeys(found) if s not in self.number]
-        if not new:
-            return
-        of_a = self.a.encode_batch([" " + s for s in new], add_special_tokens=False)
-        of_b = self.b.encode(new, num_threads=1)
-        for s, x, b in zip(new, of_a, of_b):
-            a, number, text = x.ids, len(self.number), (" " + s).encode()
-            if b"".join([self.a_bytes[i] for i in a]) != text or b"".join([self.b_bytes[i] for i in b]) != text:
-                self.misspelt.add(number)
-                a, b = [], []
-            self.number[s] = number
-            for side, ids in enumerate((a, b)):
-                self.tokens[side].extend(ids)
-                self.ends[side].append(len(self.tokens[side]))
+        for group in ([s for s in new if s.isascii()], [s for s in new if not s.isascii()]):
+            if group and not self._encode_joined(group):
+                for s in group:
+                    if not self._encode_joined([s]):
+                        self.misspelt.add(len(self.number))
+                        self._add([s], [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2)
+
+    def _byte_ids(self, text: str) -> list[int]:
+        if self.ranked and text.isascii():
+            return self.ranked.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def _encode_joined(self, new: list[str]) -> bool:
+        """Encode segments as one text and cut it where they end; false, and nothing done, if its tokens don't spell it or don't end there."""
+        text = " ".join(new)
+        spelt = (" " + text).encode()
+        stops = np.cumsum(np.fromiter((len(s) for s in new), np.int64, len(new)) if text.isascii() else [len(s.encode()) for s in new]) + np.arange(1, len(new) + 1)
+        tokens, cuts = [], []
+        for side, ids in enumerate((self._byte_ids(" " + text), self.b.encode(text))):
+            own = np.array(ids, np.int32)
+            ends = np.cumsum((self.a_size, self.b_size)[side][own])
+            cut = np.searchsorted(ends, stops)
+            if b"".join(map((self.a_bytes, self.b_bytes)[side].__getitem__, ids)) != spelt or not (ends[cut] == stops).all():
+                return False
+            tokens.append(own)
+            cuts.append(cut + 1)
+        self._add(new, tokens, cuts)
+        return True
+
+    def _add(self, new: list[str], tokens: list[np.ndarray], cuts: list[np.ndarray]) -> None:
+        first = len(self.number)
+        self.number.update(zip(new, range(first, first + len(new))))
+        for side in (0, 1):
+            self.ends[side].frombytes((cuts[side] + len(self.tokens[side])).astype(np.int64).tobytes())
+            self.tokens[side].frombytes(tokens[side].tobytes())
 
     def joined(self, numbers: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the segments in their order, and how many each segment has."""
