@@ -43,13 +43,17 @@ def chunked_frontier(
     )
 
 
-def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``(page_id, url, pos, href)``: first link of every list row but the header row."""
+def extract_links(pages: DataFrame, html: str = "html", element: str = "li") -> DataFrame:
+    """``(page_id, url, pos, href, first_cell)``: first link of every row but the header row.
+
+    ``element`` is ``li`` for lists and ``tr`` for tables, whose first cell, such as a date, comes along; lists have none.
+    """
     return (
-        pages.select("page_id", "url", F.posexplode(H.list_rows(F.col(html))).alias("pos", "_row"))
+        pages.select("page_id", "url", F.posexplode(H.list_rows(F.col(html), element)).alias("pos", "_row"))
         .filter(F.col("pos") > 0)
         .withColumn("href", H.first_href(F.col("_row")))
         .filter(F.col("href").isNotNull())
+        .withColumn("first_cell", F.get(H.cells(F.col("_row")), F.lit(0)))
         .drop("_row")
     )
 
@@ -104,7 +108,7 @@ def mark_bad_pages(pages: DataFrame) -> DataFrame:
     reason = (
         F.when(html.isNull() | (X.strip(html) == ""), "empty page")
         .when(~html.rlike(H.TITLE), "no title")
-        .when(~html.rlike(H.ARTICLE), "no article")
+        .when(~H.has_element(html, "article"), "no article")
         .when(F.size(H.paragraphs(H.article_node(html))) == 0, "no paragraph")
     )
     return pages.withColumn("reason", reason)

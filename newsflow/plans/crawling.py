@@ -10,7 +10,7 @@ from newsflow.operators import crawl
 from newsflow.plans import jobs
 from newsflow.plans.registry import query
 from newsflow.plans.tables import (
-    ACCENTED, FOLDED, SQL_ARTICLE, SQL_MAINTEXT, SQL_PARAGRAPHS, SQL_ROWS, SQL_TITLE, quote, sql_strip, sql_url_key,
+    ACCENTED, FOLDED, SQL_MAINTEXT, SQL_N_PARAGRAPHS, SQL_ROWS, SQL_TITLE, quote, sql_strip, sql_url_key,
     table, texts, with_,
 )
 from newsflow.schemas import ARTICLE
@@ -87,6 +87,17 @@ def extract_links(spark, sf):
     return crawl.extract_links(texts(spark, sf, "pages", "page_id")).select("page_id", "pos", "href")
 
 
+@query("extract_table_links", with_(*LINKS_SQL, "SELECT page_id, pos, href, 'day ' || page_id AS first_cell FROM links"))
+def extract_table_links(spark, sf):
+    """The same links from tables: every list becomes a table with a date cell, whose row and cell ends are left out."""
+    table_of = F.col("html")
+    for old, new in (("<ul>", "<table><tbody>"), ("</ul>", "</tbody></table>"), ("</li>", "")):
+        table_of = F.replace(table_of, F.lit(old), F.lit(new))
+    row = F.concat(F.lit('<tr class="a>b"><td>day '), F.col("page_id").cast("string"), F.lit("<td>"))
+    pages = texts(spark, sf, "pages", "page_id").withColumn("html", F.replace(table_of, F.lit("<li>"), row))
+    return crawl.extract_links(pages, element="tr").select("page_id", "pos", "href", "first_cell")
+
+
 @query("resolve_urls", with_(*LINKS_SQL, "SELECT page_id, pos, link, link_key FROM keyed"))
 def resolve_urls(spark, sf):
     return site_links(spark, sf).select("page_id", "pos", "link", "link_key")
@@ -107,12 +118,49 @@ def extract_title(spark, sf):
     return texts(spark, sf, "pages", "page_id").select("page_id", H.title(F.col("html")).alias("title"))
 
 
-@query("extract_maintext", f"SELECT page_id, CAST(len({SQL_PARAGRAPHS}) AS INTEGER) AS paragraphs, {SQL_MAINTEXT} AS maintext FROM pages")
+@query("extract_maintext", f"SELECT page_id, {SQL_N_PARAGRAPHS} AS paragraphs, {SQL_MAINTEXT} AS maintext FROM pages")
 def extract_maintext(spark, sf):
+    found = texts(spark, sf, "pages", "page_id").select("page_id", H.paragraphs(H.article_node(F.col("html"))).alias("found"))
+    return found.select("page_id", F.size("found").alias("paragraphs"), F.array_join("found", "").alias("maintext"))
+
+
+def page_variants() -> dict:
+    """Other ways to write a page that say the same, by name."""
     html = F.col("html")
-    return texts(spark, sf, "pages", "page_id").select(
-        "page_id", F.size(H.paragraphs(H.article_node(html))).alias("paragraphs"), H.maintext(html).alias("maintext")
-    )
+    swap = lambda *pairs: _swapped(html, pairs)
+    return {
+        "whole": html,
+        "open paragraphs": swap(("</p>", "")),
+        "capitals": swap(("<p>", "<P >"), ("</p>", "</P\n>"), ("<article>", "<ARTICLE\n>"), ("</article>", "</Article>")),
+        "comments": swap(("<p>", "<p><!-- <p>no</p> </article> -->"), ("<article>", "<!-- <article><p>no</article> --><article>")),
+        "quotes": swap(("<p>", "<p title=\"a > b </p>\" data-x='<p>'>")),
+        "nested": swap(("<article>", "<article><div><section>"), ("</article>", "</section></div></article>")),
+        "inner article": swap(("</article>", "<article><h2>no</h2></article></article><p>no")),
+        "stray ends": swap(("<p>", "<p></div></section></article2>")),
+        "scripts": swap(("<p>", "<p><script>if (a</p>b) '<p>'</script><style>p > a {}</style>")),
+    }
+
+
+def _swapped(text, pairs):
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def varied(pages, variants: dict):
+    return pages.select("page_id", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("variant"), html.alias("html")) for name, html in variants.items()
+    ])).alias("v")).select("page_id", "v.*")
+
+
+@query("extract_maintext_variants", with_(
+       "names AS (SELECT unnest(['whole', 'open paragraphs', 'capitals', 'comments', 'quotes', 'nested', 'inner article', 'stray ends', 'scripts']) AS variant)",
+       f"SELECT page_id, variant, {SQL_N_PARAGRAPHS} AS paragraphs, {SQL_MAINTEXT} AS maintext FROM pages, names"))
+def extract_maintext_variants(spark, sf):
+    """Pages written in nine ways, with optional end tags left out among others, all give the text of the page as it is."""
+    pages = varied(texts(spark, sf, "pages", "page_id").select("page_id", "html"), page_variants())
+    found = pages.select("page_id", "variant", H.paragraphs(H.article_node(F.col("html"))).alias("found"))
+    return found.select("page_id", "variant", F.size("found").alias("paragraphs"), F.array_join("found", "").alias("maintext"))
 
 
 @query(
@@ -153,31 +201,24 @@ def assemble_articles(spark, sf):
 
 
 @query("quarantine_bad_records", with_(
-       "variants AS (SELECT page_id, 'whole' AS variant, html FROM pages "
-       "UNION ALL SELECT page_id, 'no title', replace(html, '<title', '<h6') FROM pages "
-       "UNION ALL SELECT page_id, 'no article', replace(html, '<article', '<div') FROM pages "
-       "UNION ALL SELECT page_id, 'no paragraph', replace(html, '</p>', '') FROM pages "
-       "UNION ALL SELECT page_id, 'attributes', replace(html, '<p>', '<p class=\"lead\">') FROM pages "
-       "UNION ALL SELECT page_id, 'empty', ' ' FROM pages)",
-       f"SELECT page_id, variant, CASE WHEN {sql_strip('html')} = '' THEN 'empty page' "
-       "WHEN NOT regexp_matches(html, '(?is)<title[^>]*>(.*?)</title>') THEN 'no title' "
-       "WHEN NOT regexp_matches(html, '(?is)<article[^>]*>(.*?)</article>') THEN 'no article' "
-       f"WHEN len(regexp_extract_all({SQL_ARTICLE}, '(?is)<p(?:[[:space:]][^>]*)?>(.*?)</p>', 1)) = 0 THEN 'no paragraph' END AS reason FROM variants"))
+       "variants(variant, reason) AS (VALUES ('whole', NULL), ('no title', 'no title'), ('no article', 'no article'), ('hidden article', 'no article'), "
+       "('no paragraph', 'no paragraph'), ('open paragraphs', NULL), ('attributes', NULL), ('open article', NULL), ('empty', 'empty page'))",
+       "SELECT page_id, variant, reason FROM pages, variants"))
 def quarantine_bad_records(spark, sf):
-    """Every stored page, whole, with attributes, and damaged in four ways."""
-    pages = texts(spark, sf, "pages", "page_id").select("page_id", "html")
+    """Every stored page, whole, written in other legal ways, and damaged in five ways."""
+    html = F.col("html")
     damage = {
-        "whole": F.col("html"),
-        "no title": F.replace(F.col("html"), F.lit("<title"), F.lit("<h6")),
-        "no article": F.replace(F.col("html"), F.lit("<article"), F.lit("<div")),
-        "no paragraph": F.replace(F.col("html"), F.lit("</p>"), F.lit("")),
-        "attributes": F.replace(F.col("html"), F.lit("<p>"), F.lit('<p class="lead">')),
+        "whole": html,
+        "no title": F.replace(html, F.lit("<title"), F.lit("<h6")),
+        "no article": F.replace(html, F.lit("<article"), F.lit("<div")),
+        "hidden article": F.replace(F.replace(html, F.lit("<article"), F.lit("<!-- <article")), F.lit("</article>"), F.lit("</article> -->")),
+        "no paragraph": F.replace(F.replace(html, F.lit("<p>"), F.lit("<pre>")), F.lit("</p>"), F.lit("</pre>")),
+        "open paragraphs": F.replace(html, F.lit("</p>"), F.lit("")),
+        "attributes": F.replace(html, F.lit("<p>"), F.lit('<p class="lead">')),
+        "open article": F.replace(html, F.lit("</article>"), F.lit("")),
         "empty": F.lit(" "),
     }
-    variants = pages.select("page_id", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("variant"), html.alias("html")) for name, html in damage.items()
-    ])).alias("v")).select("page_id", "v.*")
-    return crawl.mark_bad_pages(variants).drop("html")
+    return crawl.mark_bad_pages(varied(texts(spark, sf, "pages", "page_id").select("page_id", "html"), damage)).drop("html")
 
 
 @query("assign_category", "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS segment, "
@@ -194,7 +235,7 @@ def assign_category(spark, sf):
        f"SELECT '' AS date_publish, '' AS id, {SQL_MAINTEXT} AS maintext, "
        f"regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS source_domain, url, {SQL_TITLE} AS title "
        f"FROM pages JOIN reached ON page_id = target_id WHERE {sql_strip('html')} <> '' AND regexp_matches(html, '(?is)<title[^>]*>(.*?)</title>') "
-       f"AND regexp_matches(html, '(?is)<article[^>]*>(.*?)</article>') AND len({SQL_PARAGRAPHS}) > 0"))
+       f"AND regexp_matches(html, '(?is)<article[^>]*>(.*?)</article>') AND {SQL_N_PARAGRAPHS} > 0"))
 def crawl_job(spark, sf):
     """From stored pages and their links to one folder of articles per category, read back."""
     out = staging_path(spark, "crawl")

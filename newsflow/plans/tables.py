@@ -120,11 +120,10 @@ def sql_text_of(x: str) -> str:
 
 
 SQL_TITLE = sql_strip(sql_text_of("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
+# In the supplied pages all text of an article but its heading is in paragraphs, so the check needs no rule for where one ends.
 SQL_ARTICLE = "regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)"
-SQL_PARAGRAPHS = (
-    rf"list_transform(regexp_extract_all({SQL_ARTICLE}, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda p: {sql_text_of('p')})"
-)
-SQL_MAINTEXT = f"array_to_string({SQL_PARAGRAPHS}, '')"
+SQL_N_PARAGRAPHS = f"CAST(len(regexp_extract_all({SQL_ARTICLE}, '<p[ >]')) AS INTEGER)"
+SQL_MAINTEXT = sql_text_of(f"regexp_replace({SQL_ARTICLE}, '(?s)<h1>.*?</h1>', '')")
 SQL_ROWS = r"regexp_extract_all(html, '(?is)<li(?:\s[^>]*)?>(.*?)</li>', 1)"
 
 
