@@ -35,7 +35,7 @@ def load_articles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Article files in the listed order, numbered over all rows in file then row order."""
     union = None
     for number, path in enumerate(paths):
-        part = readers.file_positions(readers.scan_json_array(spark, path), number)
+        part = readers.scan_json_array(spark, path, positions=True).withColumn("_file_no", F.lit(number))
         union = part if union is None else union.unionByName(part)
     if union is None:
         raise ValueError("no article files")

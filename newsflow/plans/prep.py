@@ -14,11 +14,9 @@ from newsflow.plans.tables import (
 )
 from newsflow.schemas import ARTICLE
 from newsflow.session import stage, staging_path
-from newsflow.sources import readers, writers
+from newsflow.sources import json_arrays, readers, writers
 from newsflow.streaming import ingest
 
-RECORDS_PER_FILE = 1_000
-
 
 def six_fields(spark, sf):
     """Articles with exactly the fields of a crawl record."""
@@ -54,13 +52,7 @@ STRATIFIED_SQL = (
 @query("scan_json_array", with_(ART, SIX_SQL, "SELECT * FROM six"))
 def scan_json_array(spark, sf):
     path = staging_path(spark, "json-arrays")
-    # Arrays of a bounded number of records, one file each.
-    chunk = F.expr(f"cast(id as bigint) div {RECORDS_PER_FILE}").alias("chunk")
-    (
-        six_fields(spark, sf).groupBy(chunk)
-        .agg(F.to_json(F.collect_list(F.struct(*ARTICLE.fieldNames()))).alias("value"))
-        .write.partitionBy("chunk").text(path)
-    )
+    json_arrays.write_json_array(six_fields(spark, sf), path)
     return readers.scan_json_array(spark, path).select(*ARTICLE.fieldNames())
 
 

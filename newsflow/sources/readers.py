@@ -10,17 +10,16 @@ from pyspark.sql import types as T
 
 from newsflow.functions import text as X
 from newsflow.schemas import ARTICLE, LABELLED_TEXT
+from newsflow.sources import json_arrays
 
 EXTENSIONS = {"json": "json", "jsonl": "json", "csv": "csv", "parquet": "parquet"}
 
 
-def scan_json_array(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = ARTICLE) -> DataFrame:
-    """Files that each hold one JSON array of records.
-
-    An array file is read by one task, so keep the files moderate or land them as
-    Parquet once; files are read in parallel.
-    """
-    return spark.read.schema(schema).option("multiLine", True).json(paths)
+def scan_json_array(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = ARTICLE, positions: bool = False
+) -> DataFrame:
+    """Files that each hold one JSON array of records; a large file is read by many tasks."""
+    return json_arrays.scan_json_array(spark, paths, schema, positions)
 
 
 def file_positions(df: DataFrame, file_no: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsflow.operators.cleaning import clean_for_domain
 from newsflow.schemas import ARTICLE, LABELLED_TEXT
 from newsflow.session import shared_dir, stage
-from newsflow.sources import readers, writers
+from newsflow.sources import json_arrays, readers, writers
 from newsflow.streaming.ingest import stream_ingest_articles
 
 RECORDS = [
@@ -26,6 +26,64 @@ def test_json_arrays(spark, tmp_path):
     assert df.filter("maintext = '一\n二'").count() == 2
 
 
+ODD_VALUES = [
+    "plain", 'a "quoted" word', "brace } in { text", "}{][\\\"", "back\\slash\\", '\\"}', "", "é日本👍", "line\nbreak\ttab", ", {", '"},{"a": "', "x" * 90, "[1, 2]", "\u2028",
+]
+
+
+def odd_records(n=60):
+    return [{"n": i, "a": ODD_VALUES[i % len(ODD_VALUES)], "b": [{"c": ODD_VALUES[(i * 5 + 1) % len(ODD_VALUES)]}] * (i % 3)} for i in range(n)]
+
+
+@pytest.fixture
+def splits_of(spark):
+    """Set the size of a split; back to the default afterwards."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(k) for k in keys]
+    yield lambda n: [spark.conf.set(k, str(n)) for k in keys]
+    for k, v in zip(keys, old):
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("split", [83, 1 << 20])
+def test_json_arrays_of_any_split(spark, tmp_path, splits_of, split):
+    """Every layout gives the records in file order, wherever the splits fall."""
+    schema = "n long, a string, b array<struct<c:string>>"
+    records = odd_records(17)
+    layouts = {
+        "compact.json": json.dumps(records, ensure_ascii=False), "escaped.json": json.dumps(records, indent=4), "spaced.json": "\ufeff \n" + json.dumps(records, indent=1, ensure_ascii=False) + "\n\n",
+        "mixed.json": json.dumps([x for r in records for x in (r, 5, "no } {", None, True)]), "lines.json": "\n".join(json.dumps(r) for r in records), "one.json": json.dumps(records[7], indent=2),
+        "empty.json": "[]", "nothing.json": "",
+    }
+    for name, text in layouts.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    splits_of(split)
+    got = json_arrays.scan_json_array(spark, str(tmp_path), spark.createDataFrame([], schema).schema, positions=True)
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r["_file"], r["_block"], r["_row"])):
+        found.setdefault(r["_file"].rsplit("/", 1)[1], []).append({"n": r["n"], "a": r["a"], "b": [{"c": x["c"]} for x in r["b"]]})
+    assert sorted(found) == ["compact.json", "escaped.json", "lines.json", "mixed.json", "one.json", "spaced.json"]
+    for name, rows in found.items():
+        assert rows == (records[7:8] if name == "one.json" else records), name
+
+
+def test_json_array_round_trip(spark, tmp_path, splits_of):
+    rows = [(r["n"], r["a"], None if r["n"] % 4 else "x") for r in odd_records(60)]
+    df = spark.createDataFrame(rows, "n long, a string, c string").repartition(5, "n")
+    json_arrays.write_json_array(df, str(tmp_path / "out"))
+    files = [json.loads(f.read_text(encoding="utf-8")) for f in (tmp_path / "out").glob("part-*")]
+    assert sorted((r["n"], r["a"], r["c"]) for f in files for r in f) == sorted(rows, key=lambda r: r[0])
+    splits_of(400)
+    assert sorted(tuple(r) for r in json_arrays.scan_json_array(spark, str(tmp_path / "out"), df.schema).collect()) == sorted(rows, key=lambda r: r[0])
+
+
+def test_a_broken_record_gives_nulls(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"n": 1}, {"n": oops}, {"n": "text"}, {}, {"n": 4}]')
+    schema = spark.createDataFrame([], "n long").schema
+    got = [r["n"] for r in json_arrays.scan_json_array(spark, str(tmp_path), schema).collect()]
+    assert sorted(got, key=lambda n: n or 0) == [None, None, None, 1, 4]
+
+
 def test_csv_quotes_and_breaks(spark, tmp_path):
     texts = ['plain', 'a "quoted" word', "two\nlines, comma", " padded ", '"']
     df = spark.createDataFrame([("1", t) for t in texts], LABELLED_TEXT)
