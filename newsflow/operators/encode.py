@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from newsflow.functions import arrays as A
-from newsflow.operators.lookup import sized
 from newsflow.operators.ordering import assign_batches
 from newsflow.session import stage
 
@@ -53,39 +59,54 @@ def _cut_off(groups: DataFrame, order: Column, key: str, size: int):
     return (None, size) if row is None else (row[0], size - row[1])
 
 
+def _shipped(vocab: DataFrame) -> Broadcast:
+    """The vocabulary on every worker: words and their ids, two Arrow arrays of at most ``MAX_VOCABULARY`` entries."""
+    found = vocab.select("token", F.col("token_id").cast("int").alias("token_id")).limit(MAX_VOCABULARY + 1).toArrow()
+    if found.num_rows > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MAX_VOCABULARY} words")
+    words, ids = (found[c].combine_chunks() for c in ("token", "token_id"))
+    return vocab.sparkSession.sparkContext.broadcast((words, ids))
+
+
+def _looked_up(lists: pa.Array, keys: pa.Array, values: pa.Array, default: int | None) -> pa.ListArray:
+    """Every element of a list column replaced by its value; without one by the default, or left out. A null list is empty."""
+    lists = lists.fill_null(pa.scalar([], lists.type))
+    flat = lists.flatten()
+    found = pc.take(values, pc.index_in(flat, value_set=keys, skip_nulls=True))
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int32)
+    if default is not None:
+        return pa.ListArray.from_arrays(ends, pc.fill_null(found, default))
+    known = pc.is_valid(found)
+    kept = np.concatenate(([0], np.cumsum(known.to_numpy(zero_copy_only=False)))).astype(np.int32)
+    return pa.ListArray.from_arrays(kept[ends], found.filter(known))
+
+
+def _row_local(df: DataFrame, id_col: str, columns: dict[str, Column], kind: T.DataType, convert: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``id_col`` and the converted columns, batch by batch; documents stay where they are."""
+    names = list(columns)
+    sent = df.select(id_col, *[c.alias(n) for n, c in columns.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch[id_col], *[convert(batch[n]) for n in names]], names=[id_col, *names])
+
+    made = [T.StructField(n, kind) for n in names]
+    return sent.mapInArrow(run, T.StructType([sent.schema[id_col], *made]))
+
+
 def encode_tokens(df: DataFrame, tokens: Column, vocab: DataFrame, id_col: str = "id", out: str = "ids") -> DataFrame:
-    """Ids of every token in text order; words outside the vocabulary get the unknown id.
+    """Ids of every token in text order; words outside the vocabulary get the unknown id, no tokens an empty array.
 
-    The (staged) vocabulary is broadcast after its size is checked. Positions of a document
-    stay in one task, so the map side already collects them and one array per
-    document is shuffled.
+    The vocabulary, whose size is checked, is sent to the workers and its words are looked up inside the row, so nothing is shuffled.
     """
-    exploded = df.select(id_col, F.posexplode_outer(tokens).alias("_pos", "token"))
-    words = exploded.join(sized(vocab.select("token", "token_id"), MAX_VOCABULARY), "token", "left")
-    entry = F.struct(F.col("_pos"), F.coalesce(F.col("token_id"), F.lit(UNKNOWN_ID)).alias("token_id"))
-    return words.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), entry)))["token_id"].alias(out)
-    )
+    shipped = _shipped(vocab)
+    return _row_local(df, id_col, {out: tokens}, T.ArrayType(T.IntegerType()), lambda x: _looked_up(x, *shipped.value, UNKNOWN_ID))
 
 
 def encode_pairs(df: DataFrame, first: Column, second: Column, vocab: DataFrame, id_col: str = "id") -> DataFrame:
     """Ids of a sentence pair in one pass over both texts."""
-    both = df.select(
-        id_col,
-        F.explode(F.array(
-            F.struct(F.lit(1).alias("side"), first.alias("tokens")),
-            F.struct(F.lit(2).alias("side"), second.alias("tokens")),
-        )).alias("s"),
-    )
-    exploded = both.select(id_col, "s.side", F.posexplode_outer("s.tokens").alias("_pos", "token"))
-    words = exploded.join(sized(vocab.select("token", "token_id"), MAX_VOCABULARY), "token", "left")
-    entry = F.struct(F.col("_pos"), F.coalesce(F.col("token_id"), F.lit(UNKNOWN_ID)).alias("token_id"))
-
-    def side(n: int) -> Column:
-        present = (F.col("side") == n) & F.col("_pos").isNotNull()
-        return F.sort_array(F.collect_list(F.when(present, entry)))["token_id"]
-
-    return words.groupBy(id_col).agg(side(1).alias("ids1"), side(2).alias("ids2"))
+    shipped = _shipped(vocab)
+    return _row_local(df, id_col, {"ids1": first, "ids2": second}, T.ArrayType(T.IntegerType()), lambda x: _looked_up(x, *shipped.value, UNKNOWN_ID))
 
 
 def truncate_pair(df: DataFrame, max_length: int) -> DataFrame:
@@ -124,8 +145,11 @@ def pad_fixed(df: DataFrame, length: int, ids: str = "ids") -> DataFrame:
 
 
 def decode_ids(df: DataFrame, vocab: DataFrame, ids: str = "ids", id_col: str = "id", out: str = "text") -> DataFrame:
-    """Ids to space-joined words, skipping padding and unknown ids."""
-    exploded = df.select(id_col, F.posexplode_outer(ids).alias("_pos", "token_id"))
-    words = exploded.join(sized(vocab.select("token", "token_id"), MAX_VOCABULARY), "token_id", "left")
-    entry = F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))
-    return words.groupBy(id_col).agg(F.array_join(F.sort_array(F.collect_list(entry))["token"], " ").alias(out))
+    """Ids to space-joined words, skipping padding and unknown ids; row-local as the encoding is."""
+    shipped = _shipped(vocab)
+
+    def words(column: pa.Array) -> pa.Array:
+        known, numbers = shipped.value
+        return pc.binary_join(_looked_up(column, numbers, known, None), " ")
+
+    return _row_local(df, id_col, {out: F.col(ids).cast("array<int>")}, T.StringType(), words)

@@ -509,20 +509,25 @@ RUN_SQL = (
 )
 
 
-@query("compare_runs", with_(ART, *CAND, *RUN_SQL,
-       f"ctok AS (SELECT c.run, c.id, {sql_tokens('sentence')} AS p1, {sql_tokens('title')} AS r1 FROM chosen c JOIN art USING (id))",
+@query("compare_runs", recursive(ART, *CAND, *RUN_SQL,
+       f"ctok AS MATERIALIZED (SELECT c.run, c.id, {sql_tokens('sentence')} AS p1, {sql_tokens('title')} AS r1 FROM chosen c JOIN art USING (id))",
        "ct AS (SELECT run, id, list_distinct(p1) AS p1, list_distinct(r1) AS r1, "
        "list_distinct(list_transform(range(1, len(p1)), lambda i: p1[i] || ' ' || p1[i + 1])) AS p2, "
        "list_distinct(list_transform(range(1, len(r1)), lambda i: r1[i] || ' ' || r1[i + 1])) AS r2 FROM ctok)",
        "cs AS (SELECT run, " + ", ".join(
            f"CASE WHEN len(p{n}) = 0 THEN 0.0 ELSE len(list_intersect(p{n}, r{n})) / len(p{n}) END AS a{n}, "
            f"CASE WHEN len(r{n}) = 0 THEN 0.0 ELSE len(list_intersect(p{n}, r{n})) / len(r{n}) END AS b{n}" for n in (1, 2)) + " FROM ct)",
+       "ptok AS MATERIALIZED (SELECT run || ':' || id AS id, p1 AS p, r1 AS r FROM ctok)",
+       "po AS (SELECT id, generate_subscripts(p, 1) AS i, unnest(p) AS t FROM ptok)", "ro AS (SELECT id, generate_subscripts(r, 1) AS i, unnest(r) AS t FROM ptok)",
+       *LCS_SQL,
+       "ll AS (SELECT split_part(id, ':', 1) AS run, round(avg(f) * 100, 4) AS rougel_f FROM lf GROUP BY 1)",
        "cm AS (SELECT run, " + ", ".join(f"round(avg(2.0 * a{n} * b{n} / (a{n} + b{n} + 1e-8)) * 100, 4) AS rouge{n}_f" for n in (1, 2))
        + ", count(*) AS n FROM cs GROUP BY run)",
-       "SELECT run, rouge1_f, rouge2_f, n, CAST(row_number() OVER (ORDER BY rouge1_f DESC, run) AS INTEGER) AS rank FROM cm"))
+       "SELECT run, rouge1_f, rouge2_f, rougel_f, n, CAST(row_number() OVER (ORDER BY rouge1_f DESC, run) AS INTEGER) AS rank FROM cm JOIN ll USING (run)"))
 def compare_runs(spark, sf):
-    """ROUGE-1 and ROUGE-2 of one sentence per article under every decoding setting, against the title."""
+    """ROUGE-1, ROUGE-2 and ROUGE-L of one sentence per article under every decoding setting, against the title."""
     chosen = summarize.decoding_runs(candidates(spark, sf), RUNS)
     titles = articles(spark, sf).select("id", X.pattern_tokens(F.col("title")).alias("ref_tokens"))
     pairs = chosen.select("id", "run", X.pattern_tokens(F.col("sentence")).alias("pred_tokens")).join(titles, "id")
-    return metrics.compare_runs(rouge.rouge_n(rouge.rouge_n(pairs, 1), 2), "run", ["rouge1_f", "rouge2_f"])
+    scored = rouge.rouge_l(rouge.rouge_n(rouge.rouge_n(pairs, 1), 2))
+    return metrics.compare_runs(scored, "run", ["rouge1_f", "rouge2_f", "rougel_f"])

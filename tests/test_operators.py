@@ -409,3 +409,66 @@ def test_svm_of_few_rows(spark, rows):
     df = spark.createDataFrame(rows, "id bigint, tokens array<string>, label int")
     model = linear.fit_svm(df, F.col("tokens"))
     assert model.scores(df.dropDuplicates(["id"]), F.col("tokens")).count() == len({r[0] for r in rows})
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_encoding_moves_no_document(spark):
+    from newsflow.operators import encode
+
+    df = spark.createDataFrame([(1, ["b", "a", "zz"]), (2, None), (3, []), (3, ["a", None])], "id bigint, t array<string>")
+    vocab = stage(encode.build_vocab(df.filter("id <> 3"), F.col("t"), 2), "v")
+    ids = encode.encode_tokens(df, F.col("t"), vocab)
+    texts = encode.decode_ids(ids, vocab)
+    assert exchanges(ids) == 0 and exchanges(texts) == 0
+    assert [tuple(r) for r in ids.orderBy("id", F.size("ids")).collect()] == [(1, [3, 2, 1]), (2, []), (3, []), (3, [2, 1])]
+    assert sorted(r["text"] for r in texts.collect()) == ["", "", "a", "b a"]
+    pairs = encode.encode_pairs(df, F.col("t"), F.reverse("t"), vocab)
+    assert exchanges(pairs) == 0 and pairs.filter("id = 1").first()["ids2"] == [1, 2, 3]
+
+
+def test_sentence_scores_move_no_text(spark):
+    from newsflow.operators import features, summarize
+
+    df = spark.createDataFrame([(1, "Gold rises. Gold falls again! New words only."), (2, None), (3, ""), (4, "Gold.")], "id bigint, maintext string")
+    model = stage(features.tfidf_fit(df.filter("id <> 4 OR id = 4"), features.svm_tokens(F.regexp_replace("maintext", "New words only", ""))), "m")
+    near = summarize.score_sentences(df, model)
+    far = summarize._score_by_join(df, model, (), "maintext", "id")
+    assert exchanges(near) == 0
+    rows = sorted(tuple(r) for r in near.collect())
+    assert rows == sorted(tuple(r) for r in far.collect()) and len(rows) == 4 and rows[2][3] == 0.0
+
+
+def test_blocking_is_linear(spark):
+    """An article of 20,000 sentences, most of them repeats."""
+    from newsflow.operators import summarize
+
+    rows = [(1, i, f"a{i % 5000} b{i % 5000} c{i % 5000}", 1.0 - i * 1e-6) for i in range(20_000)] + [(2, 0, "x y x y", 0.5), (2, 1, "x y", 0.4), (2, 2, "", 0.3)]
+    df = spark.createDataFrame(rows, "id bigint, pos int, sentence string, score double")
+    kept = summarize.block_repeat_ngrams(df.withColumn("sentence", F.translate("sentence", "0123456789", "qrstuvwxyz")), 2)
+    assert kept.filter("id = 1").agg(F.count(F.lit(1)), F.max("pos"), F.max("rank")).first() == (5000, 4999, 5000)
+    assert sorted((r["pos"], r["rank"]) for r in kept.filter("id = 2").collect()) == [(1, 2), (2, 3)]
+
+
+def test_runs_agree_with_windows(spark):
+    """Each run alone, by the window operators, takes the same sentence."""
+    from newsflow.operators import summarize
+
+    rng = random.Random(4)
+    rows = [(i, p, f"s{p}", round(rng.random(), 2)) for i in range(40) for p in range(1 + i % 9)]
+    df = spark.createDataFrame(rows, "id bigint, pos int, sentence string, score double")
+    runs = (("greedy", 1.0, 1, None), ("cool", 0.1, None, None), ("some", 1.0, 3, None), ("mass", 0.5, None, 0.6))
+    got = {(r["id"], r["run"]): r["pos"] for r in summarize.decoding_runs(df, runs).collect()}
+    assert len(got) == 160
+    best = {r["id"]: r["pos"] for r in summarize.select_greedy(df).collect()}
+    assert all(got[i, "greedy"] == p for i, p in best.items())
+    for name, t, k, p in runs[1:]:
+        kept = summarize.select_top_k(df, k) if k else summarize.select_top_p(df, p, t) if p else summarize.rank_candidates(df)
+        weighted = summarize.temperature_weights(kept.drop("rank", "weight"), t)
+        upto = {}
+        for r in summarize.rank_candidates(weighted).select("id", "pos", "rank", "weight", summarize.uniform_draw(42, F.concat_ws(":", F.lit(name), F.col("id").cast("string"))).alias("u")).orderBy("id", "rank").collect():
+            before, done = upto.get(r["id"], (0.0, None))
+            upto[r["id"]] = (before + r["weight"], r["pos"] if done is None and before + r["weight"] >= r["u"] else done)
+        assert {i: x[1] for i, x in upto.items()} == {i: got[i, name] for i in upto}
