@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsflow.functions import html as H
 from newsflow.functions import text as X
@@ -123,13 +128,46 @@ def assign_category(pages: DataFrame, categories: DataFrame) -> DataFrame:
     return pages.withColumn("segment", segment).join(sized(categories), "segment", "left")
 
 
-def convert_phrases(text: Column, phrases: dict[str, str]) -> Column:
-    """Replace phrases of a small user table, longer ones first."""
-    for phrase in sorted(phrases, key=lambda p: (-len(p), p)):
-        text = F.replace(text, F.lit(phrase), F.lit(phrases[phrase]))
-    return text
-
+def convert_phrases(text: Column, phrases: Mapping[str, str]) -> Column:
+    """Replace phrases in one walk over the text: at each place the longest phrase that begins there, and nothing inside a replaced phrase again.
 
-def convert_script(text: Column, source: str, target: str, phrases: dict[str, str] | None = None) -> Column:
-    """Script conversion by table: phrases first, then single characters."""
-    return X.fold_characters(convert_phrases(text, phrases or {}), source, target)
+    The table may be of any size that fits a worker: it is cut by first character, and only lengths that begin with it are tried.
+    """
+    table = {p: r for p, r in phrases.items() if p}
+    if not table:
+        return text
+    lengths: dict[str, list[int]] = {}
+    for phrase in table:
+        own = lengths.setdefault(phrase[0], [])
+        if len(phrase) not in own:
+            own.append(len(phrase))
+    for own in lengths.values():
+        own.sort(reverse=True)
+    first = "[" + "".join(re.escape(c) for c in lengths) + "]"
+
+    def convert(texts: pa.Array) -> pa.Array:
+        begin = re.compile(first)
+        done = []
+        for value in texts.to_pylist():
+            if value is None:
+                done.append(None)
+                continue
+            parts, at, hit = [], 0, begin.search(value)
+            while hit:
+                start = hit.start()
+                size = next((n for n in lengths[value[start]] if value[start : start + n] in table), 0)
+                if size:
+                    parts += (value[at:start], table[value[start : start + size]])
+                    at = start + size
+                hit = begin.search(value, start + max(size, 1))
+            done.append("".join(parts) + value[at:])
+        return pa.array(done, pa.string())
+
+    return F.arrow_udf(convert, T.StringType())(text)
+
+
+def convert_script(text: Column, source: str, target: str, phrases: Mapping[str, str] | None = None) -> Column:
+    """Script conversion by table in one walk: the longest phrase at each place, else its single character."""
+    if not phrases:
+        return X.fold_characters(text, source, target)
+    return convert_phrases(text, dict(zip(source, target)) | dict(phrases))

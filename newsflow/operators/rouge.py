@@ -1,14 +1,18 @@
 """ROUGE scores per (prediction, reference) row.
 
-ROUGE-N and the clipped variant are Spark expressions. The longest common
-subsequence of ROUGE-L runs in a small Arrow batch helper that packs one
+ROUGE-N is a Spark expression; the clipped variant and the union over sentences count in Arrow batches. The longest common
+subsequence of ROUGE-L over whole texts runs in a small Arrow batch helper that packs one
 dynamic-programming row into one Python integer, so whole texts of thousands of
 tokens are scored in milliseconds (bit-parallel LCS, Hyyro 2004).
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,25 +75,74 @@ def rouge_l(df: DataFrame, pred: str = "pred_tokens", ref: str = "ref_tokens") -
     return _add(scored, "rougel", F.col("_lcs"), F.size(pred), F.size(ref)).drop("_lcs")
 
 
+def _clipped_overlap(a: Column, b: Column) -> Column:
+    """Elements that two arrays share, each as often as in both."""
+
+    def both(x: pa.Array, y: pa.Array) -> pa.Array:
+        shared = []
+        for p, q in zip(x.to_pylist(), y.to_pylist()):
+            left = Counter(p)
+            shared.append(sum(min(n, left[g]) for g, n in Counter(q).items()))
+        return pa.array(shared, pa.int32())
+
+    return F.arrow_udf(both, T.IntegerType())(a, b)
+
+
 def rouge_clipped(
     df: DataFrame, n: int, id_col: str = "id", pred: str = "pred_tokens", ref: str = "ref_tokens"
 ) -> DataFrame:
-    """Count-clipped ROUGE-N per pair: ``(id, clipped<n>_{p,r,f})``.
+    """Count-clipped ROUGE-N per pair: ``(id, clipped<n>_{p,r,f})``, counted in the row."""
+    empty = F.array().cast("array<string>")
+    grams = df.select(id_col, *[F.coalesce(X.ngrams(F.col(c), n), empty).alias(s) for c, s in ((pred, "_p"), (ref, "_r"))])
+    scored = grams.withColumn("_both", _clipped_overlap(F.col("_p"), F.col("_r")))
+    return _add(scored, f"clipped{n}", F.col("_both"), F.size("_p"), F.size("_r")).drop("_both", "_p", "_r")
+
 
-    Both sides are exploded together, so one aggregation by (pair, n-gram) counts
-    them and no join is needed.
+def _shared_words(ref: list[str], pred: list[str]) -> set[str]:
+    """Words of one longest common subsequence.
+
+    Where two are equally long, the walk back from the ends gives up the last word of ``pred`` first.
+    """
+    codes = {w: i for i, w in enumerate(dict.fromkeys(pred))}
+    other = np.array([codes[w] for w in pred], np.int64)
+    lengths = np.zeros((len(ref) + 1, len(pred) + 1), np.int32)
+    for i, word in enumerate(ref):
+        above = lengths[i]
+        # Lengths grow by one at most from left to right, so a running maximum fills the row.
+        lengths[i + 1, 1:] = np.maximum.accumulate(np.maximum(above[1:], above[:-1] + (other == codes.get(word, -1))))
+    found, i, j = set(), len(ref), len(pred)
+    while i and j:
+        if ref[i - 1] == pred[j - 1]:
+            found.add(ref[i - 1])
+            i, j = i - 1, j - 1
+        elif lengths[i - 1, j] > lengths[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return found
+
+
+def _united(a: Column, b: Column) -> Column:
+    """Distinct words in the common subsequences of all sentence pairs, of the prediction, and of the reference."""
+
+    def count(preds: pa.Array, refs: pa.Array) -> pa.Array:
+        rows = []
+        for p, r in zip(preds.to_pylist(), refs.to_pylist()):
+            p, r = [s or [] for s in p or []], [s or [] for s in r or []]
+            pairs = ((x, y) for x in r for y in p if not set(x).isdisjoint(y))
+            rows.append([len(set().union(*(_shared_words(x, y) for x, y in pairs))), len(set().union(*p)), len(set().union(*r))])
+        return pa.array(rows, pa.list_(pa.int32()))
+
+    return F.arrow_udf(count, T.ArrayType(T.IntegerType()))(a, b)
+
+
+def rouge_l_union(df: DataFrame, pred: str = "pred_sentences", ref: str = "ref_sentences") -> DataFrame:
+    """``rougelu_{p,r,f}`` from sentences as token arrays: the words of the common subsequences of all sentence pairs, united.
+
+    Each distinct word counts once, in the union and in both texts.
     """
-    side = lambda column, p, r: F.transform(
-        X.ngrams(F.col(column), n), lambda g: F.struct(g.alias("gram"), F.lit(p).alias("p"), F.lit(r).alias("r"))
-    )
-    exploded = df.select(id_col, F.explode_outer(F.concat(side(pred, 1, 0), side(ref, 0, 1))).alias("g"))
-    counts = exploded.groupBy(id_col, "g.gram").agg(
-        F.coalesce(F.sum("g.p"), F.lit(0)).alias("p"), F.coalesce(F.sum("g.r"), F.lit(0)).alias("r")
-    )
-    sums = counts.groupBy(id_col).agg(
-        F.sum(F.least("p", "r")).alias("both"), F.sum("p").alias("p"), F.sum("r").alias("r")
-    )
-    return _add(sums, f"clipped{n}", F.col("both"), F.col("p"), F.col("r")).drop("both", "p", "r")
+    scored = df.withColumn("_n", _united(F.col(pred), F.col(ref)))
+    return _add(scored, "rougelu", *[F.get("_n", F.lit(i)) for i in range(3)]).drop("_n")
 
 
 def corpus_means(metrics: dict[str, str], keep: Column | None = None) -> list[Column]:

@@ -184,10 +184,12 @@ def normalize_publish_time(spark, sf):
     )
 
 
-PHRASES = {"tion": "tion|", "ement": "ement|"}
+# Phrases that overlap and hold each other; each is put in brackets.
+PHRASES = {p: f"[{p}]" for p in ("tion", "ement", "ti", "io", "onat", "me", "em")}
 
 
-@query("convert_script", f"SELECT doc_id AS id, translate(replace(replace(text, 'ement', 'ement|'), 'tion', 'tion|'), {quote(ACCENTED)}, {quote(FOLDED)}) AS text FROM documents")
+@query("convert_script", "SELECT doc_id AS id, translate(regexp_replace(text, "
+       f"{quote('|'.join(sorted(PHRASES, key=len, reverse=True)))}, '[\\0]', 'g'), {quote(ACCENTED)}, {quote(FOLDED)}) AS text FROM documents")
 def convert_script(spark, sf):
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), crawl.convert_script(F.col("text"), ACCENTED, FOLDED, PHRASES).alias("text")

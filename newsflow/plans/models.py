@@ -494,6 +494,14 @@ def rouge_l(spark, sf):
     return rounded(scored.drop("pred_tokens", "ref_tokens"), "id")
 
 
+@query("rouge_l_union")
+def rouge_l_union(spark, sf):
+    """Summaries against titles, sentence by sentence; the words of all common subsequences are united."""
+    words = lambda c: F.transform(X.sentences(F.col(c)), lambda s: X.pattern_tokens(s))
+    pairs = summary_pairs(spark, sf).select("id", words("predictions").alias("pred_sentences"), words("references").alias("ref_sentences"))
+    return rounded(rouge.rouge_l_union(pairs).drop("pred_sentences", "ref_sentences"), "id")
+
+
 RUN_SQL = (
     "runs(run, t, k, p) AS (VALUES " + ", ".join(
         f"('{n}', {t}, {k if k is not None else 'NULL'}, {p if p is not None else 'NULL'})" for n, t, k, p in RUNS) + ")",

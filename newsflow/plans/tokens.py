@@ -112,10 +112,10 @@ def postprocess_summary(spark, sf):
     ),
 )
 def ngrams(spark, sf):
-    """Bigram and document counts of the corpus; repeats inside a text are counted in one pass."""
-    grams = documents(spark, sf).select("id", tokens().alias("t")).select("id", F.explode(X.ngrams(F.col("t"), 2)).alias("gram"))
-    per_text = grams.groupBy("gram", "id").agg(F.count(F.lit(1)).alias("n"))
-    return per_text.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
+    """Bigram and document counts of the corpus; repeats inside a text are counted in its row, so one row per text and bigram is summed map-side."""
+    texts_ = documents(spark, sf).select("id", tokens().alias("t")).select("id", X.ngrams(F.col("t"), 2).alias("grams"))
+    counts = features.term_counts(texts_, F.col("grams")).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("documents"))
+    return counts.withColumnRenamed("term", "gram")
 
 
 @query("split_sentences", with_(*SENT, "SELECT id, pos, sentence FROM sent"))

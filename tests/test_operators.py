@@ -472,3 +472,61 @@ def test_runs_agree_with_windows(spark):
             before, done = upto.get(r["id"], (0.0, None))
             upto[r["id"]] = (before + r["weight"], r["pos"] if done is None and before + r["weight"] >= r["u"] else done)
         assert {i: x[1] for i, x in upto.items()} == {i: got[i, name] for i in upto}
+
+
+def common_words(ref, pred):
+    """One longest common subsequence by plain recursion over prefixes."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def size(i, j):
+        if not i or not j:
+            return 0
+        return size(i - 1, j - 1) + 1 if ref[i - 1] == pred[j - 1] else max(size(i - 1, j), size(i, j - 1))
+
+    def back(i, j):
+        if not i or not j:
+            return []
+        if ref[i - 1] == pred[j - 1]:
+            return back(i - 1, j - 1) + [ref[i - 1]]
+        return back(i - 1, j) if size(i - 1, j) > size(i, j - 1) else back(i, j - 1)
+
+    found = back(len(ref), len(pred))
+    assert len(found) == size(len(ref), len(pred))
+    return set(found)
+
+
+def test_rouge_l_union(spark):
+    from newsflow.operators import rouge
+
+    rng = random.Random(6)
+    text = lambda: [[rng.choice("abcdef") for _ in range(rng.randrange(7))] for _ in range(rng.randrange(4))]
+    rows = [(i, text(), text()) for i in range(60)] + [(90, None, [["a"]]), (91, [], []), (92, [["a", "b"]], [["a", "b"]])]
+    df = spark.createDataFrame(rows, "id int, pred_sentences array<array<string>>, ref_sentences array<array<string>>")
+    for r in rouge.rouge_l_union(df).collect():
+        p, q = r["pred_sentences"] or [], r["ref_sentences"]
+        both = len(set().union(*(common_words(tuple(y), tuple(x)) for x in p for y in q)))
+        n_p, n_q = len(set().union(*p)), len(set().union(*q))
+        precision, recall = both / n_p if n_p else 0.0, both / n_q if n_q else 0.0
+        assert (r["rougelu_p"], r["rougelu_r"]) == pytest.approx((precision, recall))
+        assert r["rougelu_f"] == pytest.approx(2 * precision * recall / (precision + recall + 1e-8))
+
+
+def test_phrases_leftmost_longest(spark):
+    """Against a plain walk, with phrases inside and across each other and replacements that look like phrases."""
+    from newsflow.operators import crawl
+
+    phrases = {"ab": "<x>", "abc": "ab", "b": "cc", "ca": "b", "[": "]", "漢字": "汉字", "": "never"}
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abc[漢字 ") for _ in range(rng.randrange(30))) for _ in range(200)] + ["", None, "x" * 100_000 + "abc"]
+
+    def plain(t):
+        out, i = "", 0
+        while i < len(t):
+            own = max((p for p in phrases if p and t.startswith(p, i)), key=len, default=None)
+            out, i = (out + phrases[own], i + len(own)) if own else (out + t[i], i + 1)
+        return out
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r["id"]: r["t"] for r in df.select("id", crawl.convert_phrases(F.col("t"), phrases).alias("t")).collect()}
+    assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
