@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from newsflow.functions import text as X
 from newsflow.operators import classify, cleaning, crawl, features, labels, metrics, ordering, rouge, summarize
 from newsflow.schemas import DOMAIN_LABELS, NEGATORS, ROUTING_KEYWORDS
-from newsflow.session import stage
+from newsflow.session import job, stage
 from newsflow.sources import readers, writers
 
 
+@job
 def crawl_articles(pages: DataFrame, links: DataFrame, category: Column, out: str) -> None:
     """From stored pages ``(page_id, url, html)`` and resolved links to article files.
 
@@ -42,6 +43,7 @@ def load_articles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return ordering.number_in_file_order(stage(union.drop("id"), "articles"))
 
 
+@job
 def prepare_summary_data(
     spark: SparkSession,
     paths: Sequence[str],
@@ -61,6 +63,7 @@ def prepare_summary_data(
     return _write_parts(parts, out, ("train", "valid", "test", "no_title"))
 
 
+@job
 def prepare_domain_data(
     spark: SparkSession,
     paths: Sequence[str],
@@ -81,6 +84,7 @@ def prepare_domain_data(
     return _write_parts(stage(encoded, "domain-encoded"), out, ("train", "valid"))
 
 
+@job
 def prepare_sentiment_data(
     spark: SparkSession, raw: str, out: str, seed: int = 42, test_size: float = 0.1
 ) -> DataFrame:
@@ -103,6 +107,7 @@ def run_sentiment_baseline(
     return model, metrics.classification_report(scored, classes=[0, 1])
 
 
+@job
 def run_domain_classifier(
     train: DataFrame,
     valid: DataFrame,
@@ -128,6 +133,7 @@ def run_domain_classifier(
     )
 
 
+@job
 def summarize_articles(
     articles: DataFrame,
     out: str,

@@ -8,8 +8,13 @@ choose join strategies from.
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,9 +75,16 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+# Folders staged in the open scopes, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/newsflow/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; it belongs to the innermost open scope, if any."""
+    path = f"{shared_dir(spark)}/newsflow/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -81,3 +93,45 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Folders staged inside are removed at the end, also after an error. What reads them must be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def job(run: Callable) -> Callable:
+    """A job that writes its results: staged folders go when it ends. A frame it returns is a report of a few rows and is kept as rows."""
+
+    @functools.wraps(run)
+    def wrapped(*args, **options):
+        spark = next(x if isinstance(x, SparkSession) else x.sparkSession for x in (*args, *options.values()) if isinstance(x, (SparkSession, DataFrame)))
+        with staging_scope(spark):
+            report = run(*args, **options)
+            return None if report is None else spark.createDataFrame(report.collect(), report.schema)
+
+    return wrapped
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers, once per context, so that they need no copy of it on their path."""
+    context = spark.sparkContext
+    if not getattr(context, "_newsflow_shipped", False):
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="newsflow-package-"), "newsflow-package.zip")
+        with zipfile.ZipFile(archive, "w") as packed:
+            for folder, _, files in os.walk(root):
+                for name in sorted(files):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        packed.write(full, os.path.relpath(full, os.path.dirname(root)))
+        context.addPyFile(archive)
+        context._newsflow_shipped = True
+    return spark

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsflow.plans import jobs
@@ -80,3 +81,61 @@ def test_summary_prediction_job(spark, tmp_path):
     assert set(scores.asDict()) == {"rouge-1", "rouge-2", "rouge-l"} and scores["rouge-1"] > 0
     titles = spark.read.schema("title string, id bigint").json(str(tmp_path / "o" / "titles")).collect()
     assert {r["id"] for r in titles} == {1, 2, 3} and {r["id"]: r["title"] for r in titles}[2] == ""
+
+
+def staged(spark):
+    import os
+
+    from newsflow.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:") + "/newsflow"
+    return sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+
+
+def test_jobs_leave_nothing_staged(spark, tmp_path):
+    before = staged(spark)
+    raw = tmp_path / "raw.txt"
+    raw.write_text("".join(f"{i % 2},text number {i}\n" for i in range(40)), encoding="utf-8")
+    counts = jobs.prepare_sentiment_data(spark, str(raw), str(tmp_path / "out"))
+    assert staged(spark) == before
+    assert sum(r[1] for r in counts.select(counts.columns[0], counts.columns[1]).collect()) == 40
+    articles = spark.createDataFrame([(1, "Gold rises. Silver falls.", "Gold"), (2, None, "none")], "id bigint, maintext string, title string")
+    jobs.summarize_articles(articles, str(tmp_path / "summaries")).collect()
+    assert staged(spark) == before
+
+
+def test_a_failed_job_leaves_nothing_staged(spark, tmp_path):
+    from newsflow.session import job, stage
+
+    before = staged(spark)
+
+    @job
+    def broken(session):
+        stage(session.range(3), "a")
+        assert len(staged(session)) == len(before) + 1
+        raise RuntimeError("stop")
+
+    with pytest.raises(RuntimeError):
+        broken(spark)
+    assert staged(spark) == before
+
+
+def test_workers_need_no_package_on_their_path(tmp_path):
+    """From another folder, the workers have only what is sent to them."""
+    import os
+    import subprocess
+    import sys
+
+    import newsflow
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(newsflow.__file__)))
+    code = (
+        f"import importlib.util\nspec = importlib.util.spec_from_file_location('entry', r'{root}/__spark_entry__.py')\n"
+        "entry = importlib.util.module_from_spec(spec)\nspec.loader.exec_module(entry)\n"
+        "from pyspark.sql import SparkSession\nspark = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', 2).getOrCreate()\n"
+        "queries = entry.queries()\nnames = [n for n in queries if n in ('encode_tokens', 'score_sentences') or n.split('_')[0] in ('op2', 'op11', 'op13')]\n"
+        "print('rows', [queries[n](spark, '/root/testdata/sf0.001').count() > 0 for n in names])"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=280)
+    assert "rows [True" in done.stdout and "False" not in done.stdout, done.stderr[-2000:]
