@@ -223,13 +223,16 @@ def quarantine_bad_records(spark, sf):
     return crawl.mark_bad_pages(varied(texts(spark, sf, "pages", "page_id").select("page_id", "html"), damage)).drop("html")
 
 
-@query("assign_category", "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS segment, "
-       "'domain-' || regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS source_domain FROM pages")
+@query("assign_category", with_(*CATEGORY_SQL,
+       "dim AS (SELECT DISTINCT split_part(template, '/', 4) AS segment, 'domain-' || source_domain AS source_domain FROM tpl)",
+       "SELECT page_id, split_part(url, '/', 4) AS segment, dim.source_domain FROM pages LEFT JOIN dim ON dim.segment = split_part(url, '/', 4)"))
 def assign_category(spark, sf):
-    pages = table(spark, sf, "pages")
-    sections = pages.select(F.regexp_extract("url", SEGMENT, 1).alias("segment")).distinct()
-    categories = sections.withColumn("source_domain", F.concat(F.lit("domain-"), "segment"))
-    return crawl.assign_category(pages, categories).select("page_id", "segment", "source_domain")
+    """Category of every page from the table of list templates: a dimension of its own that the pages are joined to."""
+    templates = site_categories(spark, sf).select("source_domain", F.explode("link").alias("template"))
+    categories = templates.select(
+        F.regexp_extract("template", SEGMENT, 1).alias("segment"), F.concat(F.lit("domain-"), "source_domain").alias("source_domain")
+    ).distinct()
+    return crawl.assign_category(table(spark, sf, "pages"), categories).select("page_id", "segment", "source_domain")
 
 
 @query("crawl_job", with_(*SELF_SQL,

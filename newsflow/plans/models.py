@@ -12,7 +12,7 @@ from newsflow.plans.scoring import DOMAIN_SQL
 from newsflow.plans.tables import (
     ART, CAND, LATIN_NEGATORS, STOPWORDS, TF, articles, documents, labelled, sql_sentences, sql_tokens, sql_words, table, texts, with_,
 )
-from newsflow.schemas import DOMAIN_LABELS
+from newsflow.schemas import DOMAIN_LABELS, SENTIMENT_LABELS
 from newsflow.session import stage, staging_path
 from newsflow.sources import writers
 
@@ -265,14 +265,19 @@ def sentiment_svm_predict(spark, sf):
     return model.predict(turns).select("conv_id", "turn", "pred")
 
 
-@query("sentiment_linear_score", with_(*TF,
-       "lw AS (SELECT w.*, l.quality AS label FROM w JOIN labels l ON w.id = l.doc_id)",
-       "nl AS (SELECT count(*) FILTER (WHERE quality = 1) AS pos, count(*) FILTER (WHERE quality = 0) AS neg FROM labels)",
-       "coef AS (SELECT term, sum(CASE WHEN label = 1 THEN weight ELSE 0 END) / any_value(pos) "
-       "- sum(CASE WHEN label = 0 THEN weight ELSE 0 END) / any_value(neg) AS c FROM lw, nl GROUP BY term)",
-       "s AS (SELECT w.id, sum(w.weight * coalesce(coef.c, 0)) AS s FROM w LEFT JOIN coef USING (term) GROUP BY w.id)",
-       "SELECT d.doc_id AS id, round(coalesce(s, 0.0), 6) AS score, CAST(round(coalesce(s, 0.0), 6) >= 0 AS INTEGER) AS pred "
-       "FROM documents d LEFT JOIN s ON s.id = d.doc_id"))
+MEANS_SQL = (
+    *TF,
+    "lw AS (SELECT w.*, l.quality AS label FROM w JOIN labels l ON w.id = l.doc_id)",
+    "nl AS (SELECT count(*) FILTER (WHERE quality = 1) AS pos, count(*) FILTER (WHERE quality = 0) AS neg FROM labels)",
+    "coef AS (SELECT term, sum(CASE WHEN label = 1 THEN weight ELSE 0 END) / any_value(pos) "
+    "- sum(CASE WHEN label = 0 THEN weight ELSE 0 END) / any_value(neg) AS c FROM lw, nl GROUP BY term)",
+    "s AS (SELECT w.id, sum(w.weight * coalesce(coef.c, 0)) AS s FROM w LEFT JOIN coef USING (term) GROUP BY w.id)",
+    "lin AS (SELECT d.doc_id AS id, round(coalesce(s, 0.0), 6) AS score, CAST(round(coalesce(s, 0.0), 6) >= 0 AS INTEGER) AS pred "
+    "FROM documents d LEFT JOIN s ON s.id = d.doc_id)",
+)
+
+
+@query("sentiment_linear_score", with_(*MEANS_SQL, "SELECT id, score, pred FROM lin"))
 def sentiment_linear_score(spark, sf):
     """A linear model as a coefficient table: difference of the mean vectors of both classes."""
     model = features.tfidf_model(docs(spark, sf), stopped_tokens())
@@ -286,6 +291,18 @@ def sentiment_linear_score(spark, sf):
     return classify.linear_scores(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), weights, coefficients)
 
 
+@query("write_sentiment_predictions", with_(*MEANS_SQL,
+       "names(pred, name) AS (VALUES " + ", ".join(f"({i}, '{n}')" for n, i in SENTIMENT_LABELS.items()) + ")",
+       "SELECT 'test-' || (row_number() OVER (ORDER BY id) - 1) AS id, name AS source_domain FROM lin JOIN names USING (pred)"))
+def write_sentiment_predictions(spark, sf):
+    """Sentiment of every document as the label's text, in the file format of predictions, read back."""
+    scored = stage(sentiment_linear_score(spark, sf), "sentiment-scores")
+    named = labels.decode_label(scored, labels.label_table(spark, SENTIMENT_LABELS), "pred", "sentiment")
+    path = staging_path(spark, "sentiment-predictions")
+    writers.write_domain_predictions(named, "sentiment", path)
+    return spark.read.schema("id string, source_domain string").option("header", True).csv(path)
+
+
 # --- summaries ---------------------------------------------------------------
 
 
