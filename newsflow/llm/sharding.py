@@ -2,16 +2,17 @@
 
 Records are ordered by the 64-bit hash of their text, so equal texts are neighbours. A sample in
 which a record's chance grows with its size gives quantile boundaries; ranges that turn out
-overfull are sampled and cut again. A text that is heavier than half a range is taken
-out of the ranges and subdivided by a hash of the id into pieces.
+overfull are sampled and cut again. A text that is heavier than half a range, by exact sums per text, is taken
+out of the ranges and subdivided by a hash of the id and the record's place in the stored table into pieces, so that rows that repeat in every column are
+drawn and dealt one by one as well.
 
 Shards are then filled: groups of heavy texts first, whole where they fit into a shard's even share,
 else piece by piece, each to the emptiest shard; the ranges, in order, fill what is left, and are cut
 exactly between the two texts nearest to each shard's end. So equal texts share a shard unless they alone
 exceed the room of one, and shards differ by less than the largest text group that is not heavy.
 
-The driver holds boundaries and totals of ranges only, about ``total bytes / range_bytes`` numbers. Records move once, by
-range, to be numbered. Reruns give the same shards and slots.
+The driver holds boundaries and totals of ranges only, about ``total bytes / range_bytes`` numbers. Keys and kept columns are
+stored once, read by plan and placement alike; records then move once, by range, to be numbered. Reruns over the same files give the same shards and slots.
 
 Defined results: a null text weighs 1 byte and its checksum is null, and it is a text like any other; repeated rows get slots of
 their own; an empty table gives no rows. Input columns named like a result column are replaced by it.
@@ -42,7 +43,8 @@ def size_of(text: Column) -> Column:
 
 def _keyed(df: DataFrame, doc_id: str, text: str) -> list[Column]:
     return [
-        F.xxhash64(F.col(text)).alias("key"), F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("tie")).alias("tie"),
+        F.xxhash64(F.col(text)).alias("key"),
+        F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.monotonically_increasing_id(), F.lit("tie")).alias("tie"),
         size_of(F.col(text)).alias("size"),
     ]
 
@@ -118,9 +120,8 @@ def plan(rows: DataFrame, shards: int, ranges: int = RANGES, range_bytes: int =
     total = total or 0
     limit = max(1, min(-(-total // (ranges * shards)), range_bytes))
     drawn = stage(_sample(rows, limit), "sample")
-    # Keys with half the draws that a range has may be heavy; their exact weight decides.
-    often = drawn.groupBy("key").count().filter(F.col("count") >= DRAWS // 4).select("key")
-    heavy = [tuple(r) for r in rows.join(often, "key").groupBy("key").agg(F.sum("size").alias("w")).filter(F.col("w") * 2 >= limit).collect()]
+    # Sums combine map-side; at most two heavy texts per range exist.
+    heavy = [tuple(r) for r in rows.groupBy("key").agg(F.sum("size").alias("w")).filter(F.col("w") * 2 >= limit).collect()]
     pieces = max(1, -(-total // limit))
     first = min(pieces, 512)
     light = drawn
@@ -199,9 +200,9 @@ def shard(
     """The ``keep`` columns (all, if None) with ``size``, ``shard`` and ``slot``."""
     prepare(docs.sparkSession)
     columns = without(docs.select(keep) if keep is not None else docs, "size", "shard", "slot")
-    layout = plan(stage(docs.select(*_keyed(docs, doc_id, text)), "keys"), shards, ranges, range_bytes)
+    own = stage(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col(doc_id).alias("own_id"), *_keyed(docs, doc_id, text)), "keys")
+    layout = plan(own.select("key", "tie", "size"), shards, ranges, range_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(layout)
-    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col(doc_id).alias("own_id"), *_keyed(docs, doc_id, text))
     placed = own.withColumn("at", _leaf(shared))
     number = F.row_number().over(Window.partitionBy("leaf").orderBy("key", "own_id", "tie"))
     placed = placed.select("*", F.col("at.leaf").alias("leaf"), F.col("at.shard").alias("shard"), F.col("at.offset").alias("offset"))

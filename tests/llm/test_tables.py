@@ -133,6 +133,15 @@ def test_a_third_of_equal_texts_is_subdivided(spark):
     assert len(got) == 8 and max(loads) < 1.1 * min(loads) and all((r[3], r[4]) == (0, r[2] - 1) for r in got)
 
 
+def test_rows_that_repeat_in_every_column_are_dealt_one_by_one(spark):
+    """Two fifths of all rows are one text under null ids, and some more rows repeat text and id; default settings."""
+    rows = [(None, "the same short text")] * 6000 + [(7, "another text that repeats")] * 1500 + [(9000 + i, f"other {i} " * 3) for i in range(7500)]
+    got = sharding.shard(docs(spark, rows)).groupBy("shard").agg(F.sum("size"), F.count("*"), F.min("slot"), F.max("slot"), F.count_distinct("slot")).collect()
+    loads = [r[1] for r in got]
+    assert len(got) == 8 and max(loads) < 1.1 * min(loads)
+    assert all((r[3], r[4], r[5]) == (0, r[2] - 1, r[2]) for r in got)
+
+
 def test_overfull_ranges_are_cut(spark, monkeypatch):
     """A poor sample leaves ranges that are too full; they are cut until none is."""
     monkeypatch.setattr(sharding, "_quantiles", lambda drawn, n: sharding.np.zeros(0, sharding.np.int64))
