@@ -1,8 +1,9 @@
 """Secret scans that see through encodings.
 
 The given text is the first layer of a worklist. Every layer is scanned for the kinds of ``KINDS`` and unwrapped:
-percent escapes and Unicode escapes (``\\uXXXX``, ``\\xXX``, ``&#N;``) are decoded in place, base64 runs, also such over several lines, become
-layers of their own, and decoded bytes that are gzip, zlib, bzip2, xz or zstandard data are decompressed first, all members of it.
+percent escapes and Unicode escapes (``\\uXXXX``, ``\\xXX``, ``&#N;``) are decoded in place, those in a run that are no character stay; base64 runs, also such over
+several lines or with a few characters glued to them, become layers of their own, and decoded bytes that are gzip, zlib, bzip2, xz or zstandard data
+or a bare deflate stream are decompressed first, all members of it.
 Decoded bytes are text if they are UTF-8 or UTF-16, control characters or not. New layers join the list until
 nothing new appears; a text is unwrapped once, which ends cycles, but keeps every place that yields it. A match
 in a layer is mapped back to the characters of the given text that it came from, at each of these places.
@@ -172,35 +173,78 @@ def _readable(data: bytes, room: int) -> tuple[str, str] | None:
     try:
         text = data.decode("utf-8", errors)
     except UnicodeDecodeError:
-        return None
+        # A deflate stream without a header has no mark; it counts if it ends where the data ends and holds text.
+        if packed or (inner := _bare(data, room)) is None:
+            return None
+        return inner, "/unpack"
     return (text, packed) if text else None
 
 
-def _widths(text: str, encoding: str, per_byte: float) -> list[int]:
-    return [int(len(c.encode(encoding)) * per_byte) for c in text]
+def _bare(data: bytes, room: int) -> str | None:
+    one = zlib.decompressobj(-15)
+    try:
+        found = one.decompress(data, room + 1)
+        if not found or one.unused_data or not (one.eof or len(found) > room):
+            return None
+        return found.decode("utf-8", "ignore" if len(found) > room else "strict")
+    except (zlib.error, UnicodeDecodeError):
+        return None
+
+
+def _valid(data: bytes, run: str, width: int) -> tuple[str, str, list[int]] | None:
+    """UTF-8 bytes of a run of escapes of ``width`` characters each; bytes that are no part of a character stay escaped. None if all do."""
+    parts, widths, at = [], [], 0
+    for c in data.decode("utf-8", "surrogateescape"):
+        if "\udc80" <= c <= "\udcff":
+            parts.append(run[at : at + width])
+            widths += [1] * width
+            at += width
+        else:
+            parts.append(c)
+            widths.append(len(c.encode()) * width)
+            at += widths[-1]
+    return None if len(widths) == len(run) else ("".join(parts), "", widths)
+
+
+def _units(run: str) -> tuple[str, str, list[int]] | None:
+    """UTF-16 units of a run of escapes; halves of a pair that stand alone stay escaped."""
+    parts, widths, at = [], [], 0
+    for c in bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "surrogatepass"):
+        if "\ud800" <= c <= "\udfff":
+            parts.append(run[at : at + 6])
+            widths += [1] * 6
+            at += 6
+        else:
+            parts.append(c)
+            widths.append(len(c.encode("utf-16-be")) * 3)
+            at += widths[-1]
+    return None if len(widths) == len(run) else ("".join(parts), "", widths)
 
 
 def _unescaped(run: str) -> tuple[str, str, list[int]] | None:
     try:
         if run[:2] == "\\x":
-            text = bytes.fromhex(run.replace("\\x", "")).decode("utf-8")
-            return text, "", _widths(text, "utf-8", 4)
+            return _valid(bytes.fromhex(run.replace("\\x", "")), run, 4)
         if run[:3] == "\\u{":
-            return chr(int(run[3:-1], 16)), "", []
-        if run[:2] == "\\u":
-            text = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be")
-            return text, "", _widths(text, "utf-16-be", 3)
-        if run[:2] == "\\U":
-            return chr(int(run[2:], 16)), "", []
-        return chr(int(run[3:-1], 16)) if run[2] in "xX" else chr(int(run[2:-1])), "", []
+            code = int(run[3:-1], 16)
+        elif run[:2] == "\\u":
+            return _units(run)
+        elif run[:2] == "\\U":
+            code = int(run[2:], 16)
+        else:
+            code = int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1])
+        # Half of a pair is no character.
+        return None if 0xD800 <= code <= 0xDFFF else (chr(code), "", [])
     except (ValueError, OverflowError):
         return None
 
 
 def _percent(run: str, room: int) -> tuple[str, str, list[int]] | None:
-    if (got := _readable(bytes.fromhex(run.replace("%", "")), room)) is None:
-        return None
-    return *got, [] if got[1] else _widths(got[0], "utf-8", 3)
+    data = bytes.fromhex(run.replace("%", ""))
+    got = _readable(data, room)
+    if got and got[1]:
+        return *got, []
+    return _valid(data, run, 3)
 
 
 #: Text, way of decoding and pieces of a layer inside another one.
@@ -247,6 +291,18 @@ def _decoded64(run: str, room: int) -> tuple[str, str] | None:
         return None
 
 
+def _glued64(run: str, room: int) -> Iterator[tuple[str, str, int, int]]:
+    """Readable contents of a run as it is or, if it has none, with up to three characters glued before it or one after it, and where they stand."""
+    stop = len(run)
+    for start in range(4):
+        body = len(run[start:].rstrip("="))
+        end = stop if body % 4 != 1 else start + body - 1
+        if end - start >= 16 and (got := _decoded64(run[start:end], room)):
+            yield *got, start, end
+            if not start:
+                return
+
+
 def _blocks(lines: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
     """The spans that wrapped data may have, likeliest first, per block of lines: lines of equal length and a shorter last one, also after
     a first line of another length; and all lines."""
@@ -279,8 +335,9 @@ def unwrapped(text: str, room: int) -> Iterator[Found]:
                 if (n.start(), n.end()) in tried:
                     continue
                 tried.add((n.start(), n.end()))
-                if got := _decoded64(n[0], room):
-                    yield got[0], f"base64{got[1]}", [(0, m.start() + n.start(), m.start() + n.end(), False)]
+                first = m.start() + n.start()
+                for text_, packed, a, b in _glued64(n[0], room):
+                    yield text_, f"base64{packed}", [(0, first + a, first + b, False)]
     if "\n" in text:
         for m in _WRAPPED.finditer(text):
             for choices in _blocks([x.span() for x in _LINE.finditer(text, m.start(), m.end())]):

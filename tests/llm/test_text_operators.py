@@ -270,6 +270,42 @@ def test_bombs_and_cycles():
     assert secrets.scan("clean text of ordinary words, 100% sure") == ([], True)
 
 
+@pytest.mark.parametrize("escape,width", [("%{:02X}", 3), ("\\x{:02x}", 4)])
+@pytest.mark.parametrize("bad", [b"\xff", b"\xc3", b"\xe2\x82", b"\x80\xff"])
+def test_invalid_bytes_stay_escaped(escape, width, bad):
+    """A run of escapes loses only what is no character."""
+    secret = "token=abcdefghijklmnop"
+    write = lambda data: "".join(escape.format(b) for b in data)
+    for head, tail in ((b"", bad), (bad, b""), (bad, bad)):
+        text = "see " + write(head) + write(secret.encode()) + write(tail) + "!"
+        spans = [(s["kind"], s["start"], s["end"]) for s in secrets.scan(text)[0] if not s["base"]]
+        start = 4 + width * len(head)
+        assert spans == [("assign", start, start + width * len(secret))]
+    assert [s for s in secrets.scan("x" + write(bad) + "y")[0] if not s["base"]] == []
+
+
+def test_lone_halves_stay_escaped():
+    text = "\\ud83d" + "".join(f"\\u{ord(c):04x}" for c in "secret=abcdefghijklm") + "\\udc4d"
+    assert [(s["kind"], s["start"], s["end"]) for s in secrets.scan(text)[0] if not s["base"]] == [("assign", 6, len(text) - 6)]
+    assert secrets.scan("&#55357; &#xD83D; \\U0000D83D \\u{d83d}")[1] is True
+
+
+@pytest.mark.parametrize("before", ["", "x", "ab", "abc"])
+@pytest.mark.parametrize("after", ["", "y"])
+def test_characters_glued_to_base64(before, after):
+    coded = base64.b64encode(b"password: abcdefghijklmnopqr").decode().rstrip("=")
+    text = f"see {before}{coded}{after} there"
+    found = [s for s in secrets.scan(text)[0] if s["kind"] == "assign"]
+    assert found and all(s["start"] <= 4 + len(before) and s["end"] >= 4 + len(before) + len(coded) - 3 for s in found)
+
+
+def test_bare_deflate():
+    packer = zlib.compressobj(9, zlib.DEFLATED, -15)
+    coded = base64.b64encode(packer.compress(b"secret = abcdefghijklmnop, once more abcdefghijklmnop") + packer.flush()).decode()
+    assert "assign" in {s["kind"] for s in secrets.scan(f"x {coded} y")[0]}
+    assert secrets._bare(b"plain bytes", 100) is None and secrets._bare(b"", 100) is None
+
+
 def test_one_secret_at_many_places():
     inner = b"note token=abcdefghijkl0123 end"
     plain, packed = base64.b64encode(inner).decode(), base64.b64encode(gzip.compress(inner)).decode()
