@@ -7,8 +7,9 @@ Of records with equal payloads of at least ``MIN_REVISIT`` bytes, the one with t
 page moves, with partial minima in every task, so a payload that many pages share is no hot spot.
 
 The reader streams an archive: gzip members are decompressed piece by piece, a record ends where its
-``Content-Length`` says, and the block and payload digests are verified. It holds one record at a time. A damaged member, a short
-block, wrong framing or a wrong digest make a row with ``problem`` set, and reading goes on with the next member.
+``Content-Length`` says, and the block and payload digests are verified, whether SHA or MD5, hexadecimal or base32. It holds one record at a time. A damaged member, a short
+block, wrong framing or a wrong digest make a row with ``problem`` set, and reading goes on with the next member. A digest of an unknown kind is
+named in ``problem`` too, beside the payload.
 
 Archives are opened with ``pyarrow.fs``, so the folder may be any that it can open (local or mounted
 folders, HDFS, S3, GCS).
@@ -19,6 +20,7 @@ that share the smallest id of equal payloads are all responses; a null url gives
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -237,9 +239,24 @@ def _page(urn: str | None) -> str | None:
     return inner[len(PAGE_URN):] if inner.startswith(PAGE_URN) else None
 
 
-def _digest_fails(given: str | None, data: bytes) -> bool:
-    kind, _, value = (given or "").partition(":")
-    return kind.lower() == "sha256" and value.lower() != sha256(data)
+#: Kinds of digests that are verified, in hexadecimal or base32.
+DIGESTS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
+
+
+def _digest_problem(given: str | None, data: bytes, what: str) -> str | None:
+    """Why a ``kind:value`` digest says nothing about the data, if its kind is unknown; an error if it is another one."""
+    if not given:
+        return None
+    kind, _, value = given.partition(":")
+    name = kind.strip().lower().replace("-", "")
+    if name not in DIGESTS:
+        return f"unknown kind of {what} digest: {kind}"
+    found = hashlib.new(name, data).digest()
+    written = value.strip().rstrip("=")
+    right = written.lower() == found.hex() or written.upper() == base64.b32encode(found).decode().rstrip("=")
+    if not right:
+        raise ValueError(f"wrong {what} digest")
+    return None
 
 
 def read_archive(stream) -> Iterator[dict]:
@@ -259,16 +276,14 @@ def read_archive(stream) -> Iterator[dict]:
             block = members.take(int(head["content-length"]))
             if members.finish() != b"\r\n\r\n":
                 raise ValueError("the record doesn't end after its block")
-            if _digest_fails(head.get("warc-block-digest"), block):
-                raise ValueError("wrong block digest")
+            row["problem"] = _digest_problem(head.get("warc-block-digest"), block, "block")
             digest = head.get("warc-payload-digest")
             http, _, payload = block.partition(b"\r\n\r\n") if head.get("content-type", "").startswith("application/http") else (b"", b"", block)
             if row["record_type"] == "revisit":
                 sizes = re.findall(rb"(?im)^content-length:\s*(\d+)", http)
                 row |= {"payload_bytes": int(sizes[0]) if sizes else None, "payload_digest": (digest or "").partition(":")[2] or None}
             else:
-                if _digest_fails(digest, payload):
-                    raise ValueError("wrong payload digest")
+                row["problem"] = row["problem"] or _digest_problem(digest, payload, "payload")
                 row |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": sha256(payload)}
         except zlib.error as error:
             row["problem"] = f"damaged member: {error}"

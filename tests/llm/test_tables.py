@@ -1,7 +1,9 @@
 """Mixing, sharding, WARC archives, the registered queries and the pipeline."""
 
+import base64
 import collections
 import gzip
+import hashlib
 import io
 import zlib
 
@@ -265,3 +267,23 @@ def test_pipeline_stages(spark):
     for r in rows:
         loads[r["shard"]] += r["size"]
     assert len(loads) == 8 and max(loads.values()) < 1.1 * min(loads.values())
+
+
+@pytest.mark.parametrize("kind", ["md5", "sha1", "SHA-1", "sha256", "sha512"])
+@pytest.mark.parametrize("form", ["hex", "HEX", "base32"])
+def test_digests_of_public_archives(kind, form):
+    """Archives carry SHA-1 in base32, most of all; right ones pass, wrong ones don't, and what can't be verified is said."""
+    def archive(data_of_digest, kind=kind):
+        name = kind.lower().replace("-", "")
+        raw = hashlib.new(name if name in warc.DIGESTS else "sha1", data_of_digest).digest()
+        value = {"hex": raw.hex(), "HEX": raw.hex().upper(), "base32": base64.b32encode(raw).decode()}[form]
+        block = b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\nbody"
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: {kind}:{value}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+        return next(warc.read_archive(io.BytesIO(gzip.compress(head.encode() + block + b"\r\n\r\n"))))
+
+    sound = archive(b"body")
+    assert sound["problem"] is None and sound["payload"] == b"body"
+    wrong = archive(b"Body")
+    assert wrong["problem"] == "wrong payload digest" and "payload" not in wrong
+    unknown = archive(b"body", "crc9")
+    assert unknown["problem"] == "unknown kind of payload digest: crc9" and unknown["payload"] == b"body"
