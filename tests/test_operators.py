@@ -530,3 +530,32 @@ def test_phrases_leftmost_longest(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     got = {r["id"]: r["t"] for r in df.select("id", crawl.convert_phrases(F.col("t"), phrases).alias("t")).collect()}
     assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+
+
+def test_training_takes_few_jobs(spark):
+    """A step is one pass over the rows, two at most, and rare terms don't make it take many steps."""
+    from newsflow.operators import linear
+
+    rows = [(i, int(i % 3 == 0), [f"w{i % 7}", f"w{i * i % 11}", f"rare{i}", "yes" if i % 3 == 0 and i % 5 else "no"]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, label int, tokens array<string>")
+    context = spark.sparkContext
+    context.setJobGroup("few-jobs", "training")
+    model = linear.fit_svm(df, F.col("tokens"))
+    jobs = len(context.statusTracker().getJobIdsForGroup("few-jobs"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert model.gap <= linear.GAP
+    assert jobs <= 40 + 4 * model.steps and model.steps <= 60
+
+
+def test_rows_that_share_an_id_train_alike_on_both_paths(spark, monkeypatch):
+    """Repeated and null ids, a row without terms: broadcast coefficients and tables of terms reach the same objective."""
+    from newsflow.operators import linear
+
+    rows = [(i % 40 if i % 9 else None, i % 2, [f"w{i % 5}", f"x{i % 2}"] if i % 13 else []) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, label int, tokens array<string>")
+    found = []
+    for limit in (lookup.MAX_BROADCAST_BYTES, 0):
+        monkeypatch.setattr(lookup, "MAX_BROADCAST_BYTES", limit)
+        found.append(linear.fit_svm(df, F.col("tokens"), gap=1e-5))
+    assert all(m.gap <= 1e-5 for m in found)
+    assert abs(found[0].objective - found[1].objective) <= 2e-5 * found[1].objective
