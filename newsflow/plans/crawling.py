@@ -11,7 +11,7 @@ from newsflow.plans import jobs
 from newsflow.plans.registry import query
 from newsflow.plans.tables import (
     ACCENTED, FOLDED, SQL_MAINTEXT, SQL_N_PARAGRAPHS, SQL_ROWS, SQL_TITLE, quote, sql_strip, sql_url_key,
-    table, texts, with_,
+    documents, table, texts, with_,
 )
 from newsflow.schemas import ARTICLE
 from newsflow.session import staging_path
@@ -191,8 +191,8 @@ PHRASES = {p: f"[{p}]" for p in ("tion", "ement", "ti", "io", "onat", "me", "em"
 @query("convert_script", "SELECT doc_id AS id, translate(regexp_replace(text, "
        f"{quote('|'.join(sorted(PHRASES, key=len, reverse=True)))}, '[\\0]', 'g'), {quote(ACCENTED)}, {quote(FOLDED)}) AS text FROM documents")
 def convert_script(spark, sf):
-    return table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), crawl.convert_script(F.col("text"), ACCENTED, FOLDED, PHRASES).alias("text")
+    return documents(spark, sf).select(
+        "id", crawl.convert_script(F.col("text"), ACCENTED, FOLDED, PHRASES).alias("text")
     )
 
 

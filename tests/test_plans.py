@@ -1,0 +1,32 @@
+"""Tables of texts are dealt by what they hold, whatever their files look like."""
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+from newsflow.plans import tables
+
+
+def test_texts_are_dealt_by_their_length(spark, tmp_path, monkeypatch):
+    """One row group of equal texts, so a small file, still becomes as many tasks as its texts need."""
+    monkeypatch.setattr(tables, "TASK_CHARS", 10_000)
+    rows = 2_000
+    pq.write_table(pa.table({"doc_id": list(range(rows)), "text": ["word " * 100] * rows}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"page_id": list(range(rows)), "html": ["<p>" * 100] * rows}), tmp_path / "pages.parquet")
+    for df, chars in ((tables.documents(spark, str(tmp_path)), 500 * rows), (tables.texts(spark, str(tmp_path), "pages", "page_id"), 300 * rows)):
+        parts = df.groupBy(F.spark_partition_id().alias("part")).count().collect()
+        assert sum(r["count"] for r in parts) == rows
+        assert len(parts) > chars // 10_000 * 0.7
+        assert max(r["count"] for r in parts) < 8 * rows * 10_000 / chars
+
+
+def test_a_python_batch_is_bounded_by_bytes(spark):
+    """Long texts come to Python in short batches."""
+    from newsflow.session import configure
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    df = configure(spark).range(0, 4_000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    assert max(r["n"] for r in df.mapInArrow(sizes, "n long").collect()) < 16 << 20
