@@ -1,12 +1,14 @@
 """Alignment of two tokenizers over the same bytes.
 
-Both tokenizers cut a text's bytes into tokens. Per Arrow batch the tokens of both sides are tables of (document, start, id), and
+Both tokenizers cut a text's bytes into tokens. The tokens of both sides are tables of (document, start, id), and
 ``pandas.merge_asof``, keyed by document, finds for every token start the token of the other side that covers it. The
 union of both directions is the set of overlapping pairs, each once; offsets where tokens of both sides end cut the text into groups.
 
 Texts are encoded in segments: a single space between two printable ASCII characters always ends a token on both sides (the byte-level
 side starts its next word there; no piece of the other side goes on over a space, which is checked when the vocabulary is loaded). So a text has
-the same tokens whole or by segment, a segment that comes again is encoded once, and a long text is aligned in parts of bounded size that end where a segment ends.
+the same tokens whole or by segment, and tokens of both sides end with it: no group and no link goes over its end. So a segment is a document of its own to the
+joins, it is encoded and aligned once however often it comes, and a text's counts, groups and links are those of its segments put together,
+in parts of bounded size for a long text.
 
 Links between ids are counted corpus-wide: each document brings its distinct pairs with their counts, the sums meet each document's
 pairs again in a lookup join, which broadcasts a small pair table and spares hot pairs the shuffle of a large one.
@@ -39,6 +41,8 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are aligned at once, and segments that a worker remembers with their tokens.
 PART_BYTES = 1 << 20
 REMEMBERED = 1 << 18
+#: New segments that are aligned at once.
+ALIGNED = 1 << 15
 
 _CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 # Fixed value: the word rule of byte-level vocabularies.
@@ -91,18 +95,20 @@ class Tokenizers:
         self.forget()
 
     def forget(self) -> None:
-        """Numbers of the segments seen so far, their tokens one after another on either side, and those that are not spelt by them."""
+        """Numbers of the segments seen so far, those that are not spelt by their tokens, and for each what its alignment gave."""
         self.number: dict[str, int] = {}
-        self.tokens = array("i"), array("i")
-        self.ends = array("q", [0]), array("q", [0])
         self.misspelt: set[int] = set()
+        # Per segment the numbers of tokens, groups and links and its groups as text; its links as keys, one after another, and where each segment's end.
+        self.counts = array("q")
+        self.groups: list[bytes] = []
+        self.keys, self.ends = array("q"), array("q", [0])
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
     def encode(self, found: Iterable[str]) -> None:
-        """Give every new segment a number, and its tokens a place."""
+        """Give every new segment a number, and align it."""
         new = [s for s in dict.fromkeys(found) if s not in self.number]
         for group in ([s for s in new if s.isascii()], [s for s in new if not s.isascii()]):
             if group and not self._encode_joined(group):
@@ -136,16 +142,24 @@ class Tokenizers:
     def _add(self, new: list[str], tokens: list[np.ndarray], cuts: list[np.ndarray]) -> None:
         first = len(self.number)
         self.number.update(zip(new, range(first, first + len(new))))
-        for side in (0, 1):
-            self.ends[side].frombytes((cuts[side] + len(self.tokens[side])).astype(np.int64).tobytes())
-            self.tokens[side].frombytes(tokens[side].tobytes())
-
-    def joined(self, numbers: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of the segments in their order, and how many each segment has."""
-        tokens, ends = np.array(self.tokens[side], np.int32), np.array(self.ends[side], np.int64)
-        sizes = ends[numbers + 1] - ends[numbers]
+        for at in range(0, len(new), ALIGNED):
+            part = [c[at : at + ALIGNED] for c in cuts]
+            begun = [int(c[at - 1]) if at else 0 for c in cuts]
+            joined = {k: (tokens[k][begun[k] : int(part[k][-1])], np.diff(part[k], prepend=begun[k])) for k in (0, 1)}
+            for counts, groups, keys in _aligned(joined, self.a_size, self.b_size):
+                self.counts.extend(counts)
+                self.groups.append(groups)
+                self.keys.frombytes(keys.tobytes())
+                self.ends.append(len(self.keys))
+
+    def whole(self, numbers: list[int]) -> tuple[np.ndarray, bytes, np.ndarray]:
+        """Counts, groups as text and link keys of the segments put together; the views end before new segments come."""
+        own = np.array(numbers, np.int64)
+        counts, ends, keys = np.frombuffer(self.counts, np.int64).reshape(-1, 4), np.frombuffer(self.ends, np.int64), np.frombuffer(self.keys, np.int64)
+        sizes = ends[own + 1] - ends[own]
         first = np.cumsum(sizes) - sizes
-        return tokens[np.repeat(ends[numbers] - first, sizes) + np.arange(int(sizes.sum()))], sizes
+        found = keys[np.repeat(ends[own] - first, sizes) + np.arange(int(sizes.sum()))] if len(keys) else keys[:0].copy()
+        return counts[own].sum(0), b"".join(map(self.groups.__getitem__, numbers)), found
 
 
 def segments(text: str, cuts: bool = True) -> list[str]:
@@ -181,28 +195,24 @@ def _decimals(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, ends
 
 
-def _aligned(part: list[tuple[int, list[int]]], known: Tokenizers) -> Iterator[tuple]:
-    """For documents as ``(number, segments)``: (number, n_a, n_b, n_groups, n_links, groups, keys, times)."""
-    owner = np.repeat(np.arange(len(part)), [len(own) for _, own in part])
-    numbers = np.fromiter(chain.from_iterable(own for _, own in part), np.int64, len(owner))
-    joined = {}
-    for side in (0, 1):
-        ids, sizes = known.joined(numbers, side)
-        joined[side] = ids, np.repeat(owner, sizes)
-    tables, ends = [], []
-    for side, size in ((0, known.a_size), (1, known.b_size)):
-        ids, owner = joined[side]
+def _aligned(joined: dict[int, tuple[np.ndarray, np.ndarray]], a_size: np.ndarray, b_size: np.ndarray) -> Iterator[tuple[list[int], bytes, np.ndarray]]:
+    """For every segment, from the tokens of both sides and how many each segment has: (n_a, n_b, n_groups, n_links), groups, link keys."""
+    n = len(joined[0][1])
+    tables, ends, owners = [], [], []
+    for side, size in ((0, a_size), (1, b_size)):
+        ids, sizes = joined[side]
+        owner = np.repeat(np.arange(n), sizes)
         stop = np.cumsum(size[ids])
         start = stop - size[ids]
         ends.append(stop)
+        owners.append(owner)
         tables.append(pd.DataFrame({"document": owner, "at": start, "start": start, "id": ids}))
     links = overlaps(*tables)
     # Groups end where tokens of both sides end.
     both = np.intersect1d(ends[0], ends[1], assume_unique=True)
     group_a, group_b = (np.searchsorted(both, e, "left") for e in ends)
-    owner_a, owner_b = joined[0][1], joined[1][1]
     last = np.searchsorted(ends[0], both, "left")
-    n_groups = np.bincount(owner_a[last], minlength=len(part))
+    n_groups = np.bincount(owners[0][last], minlength=n)
     in_a, in_b = np.bincount(group_a, minlength=len(both)), np.bincount(group_b, minlength=len(both))
     # Text form: a group's ids of one side, then those of the other.
     place_a = np.arange(len(group_a)) + (np.cumsum(in_b) - in_b)[group_a]
@@ -213,18 +223,17 @@ def _aligned(part: list[tuple[int, list[int]]], known: Tokenizers) -> Iterator[t
     after[place_a[np.cumsum(in_a) - 1]] = ord("|")
     after[place_b[np.cumsum(in_b) - 1]] = ord(";")
     text, stops = _decimals(ids, after)
-    n_a, n_b = np.bincount(owner_a, minlength=len(part)), np.bincount(owner_b, minlength=len(part))
-    cut = stops[np.cumsum(n_a + n_b) - 1]
-    key = (links["document"].to_numpy(np.int64) << 40) | (links["a"].to_numpy(np.int64) << 20) | links["b"].to_numpy(np.int64)
-    keys, times = np.unique(key, return_counts=True)
-    n_links = np.bincount(links["document"].to_numpy(), minlength=len(part))
-    bounds = np.searchsorted(keys, np.arange(len(part) + 1, dtype=np.int64) << 40)
-    for k, (number, _) in enumerate(part):
-        own = slice(bounds[k], bounds[k + 1])
-        yield (
-            number, int(n_a[k]), int(n_b[k]), int(n_groups[k]), int(n_links[k]),
-            text[cut[k - 1] if k else 0 : cut[k]].tobytes(), keys[own] & ((1 << 40) - 1), times[own],
-        )
+    n_a, n_b = joined[0][1], joined[1][1]
+    stops = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(n_a + n_b)))].tolist()
+    owner = links["document"].to_numpy()
+    order = np.argsort(owner, kind="stable")
+    key = ((links["a"].to_numpy(np.int64) << 20) | links["b"].to_numpy(np.int64))[order]
+    n_links = np.bincount(owner, minlength=n)
+    bounds = np.concatenate(([0], np.cumsum(n_links))).tolist()
+    counts = np.stack([n_a, n_b, n_groups, n_links], axis=1).tolist()
+    body = text.tobytes()
+    for k in range(n):
+        yield counts[k], body[stops[k] : stops[k + 1]], key[bounds[k] : bounds[k + 1]]
 
 
 def _parts(texts: list[str | None], cuts: bool) -> Iterator[list[tuple[int, list[str]]]]:
@@ -263,9 +272,10 @@ def _align_batch(texts: list[str | None], known: Tokenizers) -> list[tuple]:
         numbered = [(number, [known.number[s] for s in own]) for number, own in part]
         if known.misspelt:
             dropped.update(number for number, own in numbered if not known.misspelt.isdisjoint(own))
-        spelt = [x for x in numbered if x[0] not in dropped]
-        for number, *result in _aligned(spelt, known) if spelt else ():
-            found.setdefault(number, []).append(result)
+        for number, own in numbered:
+            if number not in dropped:
+                counts, groups, keys = known.whole(own)
+                found.setdefault(number, []).append((*counts.tolist(), groups, *np.unique(keys, return_counts=True)))
     return [_whole(found.get(i, []) if i not in dropped else []) for i in range(len(texts))]
 
 

@@ -145,3 +145,19 @@ def test_extra_columns_stay(spark):
     assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"]
     row = found.select("extra", "groups", F.size("pairs").alias("n")).first()
     assert row["extra"] == "clash" and row["groups"].count("|") == row["groups"].count(";") + 1 and row["n"] >= 2
+
+
+def test_a_segment_is_aligned_once(monkeypatch):
+    """Texts that repeat their words cost one alignment of each distinct segment, in whatever order new ones come."""
+    rows = []
+    overlaps = A.overlaps
+    monkeypatch.setattr(A, "overlaps", lambda a, b: rows.append(len(a)) or overlaps(a, b))
+    monkeypatch.setattr(A, "ALIGNED", 3)
+    known = A.Tokenizers(*[open(f"{A.TOKENIZERS}/{name}", "rb").read() for name in (A.BYTE_LEVEL, A.PIECES)])
+    words = ["alpha", "beta", "gamma", "delta", "naïve", "x"]
+    texts = [" ".join(words[(i * k) % 6] for k in range(1, 200)) for i in range(1, 40)]
+    found = A._align_batch(texts, known)
+    assert sum(rows) <= 4 * len(words)
+    alone = [A._align_batch([t], A.Tokenizers(*[open(f"{A.TOKENIZERS}/{name}", "rb").read() for name in (A.BYTE_LEVEL, A.PIECES)]))[0] for t in texts[:3]]
+    for one, other in zip(found, alone):
+        assert one[:5] == other[:5] and all((x == y).all() for x, y in zip(one[5:], other[5:]))
