@@ -559,3 +559,11 @@ def test_rows_that_share_an_id_train_alike_on_both_paths(spark, monkeypatch):
         found.append(linear.fit_svm(df, F.col("tokens"), gap=1e-5))
     assert all(m.gap <= 1e-5 for m in found)
     assert abs(found[0].objective - found[1].objective) <= 2e-5 * found[1].objective
+
+
+def test_training_rows_need_a_label(spark):
+    from newsflow.operators import linear
+
+    df = spark.createDataFrame([(1, 1, ["a"]), (2, None, ["b"]), (3, 0, ["c"])], "id long, label int, tokens array<string>")
+    with pytest.raises(Exception, match="without a label"):
+        linear.fit_svm(df, F.col("tokens"))
