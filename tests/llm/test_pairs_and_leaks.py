@@ -1,5 +1,6 @@
 """SimHash near-dedup and benchmark decontamination."""
 
+import os
 import random
 
 import numpy as np
@@ -109,6 +110,24 @@ def test_drop_keeps_one_of_each(spark):
     assert S.drop_near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("limit", [S.BROADCAST_ROWS, 1])
+def test_drop_stores_no_texts(spark, tmp_path, limit, monkeypatch):
+    """What is stored stays far below the texts; equal rows, repeated ids and both joins keep one row of each group."""
+    monkeypatch.setattr(S, "BROADCAST_ROWS", limit)
+    rng = random.Random(3)
+    body = lambda: " ".join(f"{rng.getrandbits(64):x}" for _ in range(400))
+    texts = [body() for _ in range(30)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(k + 100, texts[k]) for k in range(5)] + [(7, texts[7])] * 3 + [(7, texts[8]), (None, texts[9])]
+    docs(spark, rows).write.parquet(str(tmp_path / "docs"))
+    stored, stage = [], S.stage
+    monkeypatch.setattr(S, "stage", lambda df, name: stored.append(stage(df, name)) or stored[-1])
+    kept = S.drop_near_duplicates(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    # The row of the smallest id represents text 8, which id 7 has as well.
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(k, t) for k, t in enumerate(texts) if k != 8] + [(7, texts[8])])
+    files = [f for df in stored for f in df.inputFiles()]
+    assert sum(os.path.getsize(f.removeprefix("file://")) for f in files) < sum(len(t) for _, t in rows) / 2
+
+
 # --- decontamination ------------------------------------------------------
 
 def brute_leaks(text, items, window=10):
