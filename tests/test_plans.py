@@ -30,3 +30,26 @@ def test_a_python_batch_is_bounded_by_bytes(spark):
 
     df = configure(spark).range(0, 4_000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
     assert max(r["n"] for r in df.mapInArrow(sizes, "n long").collect()) < 16 << 20
+
+
+def test_a_large_table_has_no_more_tasks_than_plain_writers(spark, tmp_path, monkeypatch):
+    """Beyond that number tasks grow, up to their limit, instead of the writers' memory."""
+    pq.write_table(pa.table({"doc_id": list(range(500)), "text": ["word " * 100] * 500}), tmp_path / "documents.parquet")
+    monkeypatch.setattr(tables, "TASK_CHARS", 1_000)
+    assert tables.text_tasks(spark, str(tmp_path), "documents") == 200
+    monkeypatch.setattr(tables, "MOST_CHARS", 1_000)
+    assert tables.text_tasks(spark, str(tmp_path), "documents") == 250
+
+
+def test_sentences_of_an_article_meet_in_tasks_by_their_length(spark, tmp_path, monkeypatch):
+    """The windows over articles use the tasks that the texts were dealt over, not the session's shuffle partitions."""
+    from newsflow.plans import models
+
+    monkeypatch.setattr(tables, "TASK_CHARS", 5_000)
+    texts = [f"One word here {k}. Two words there. Three." for k in range(2_000)]
+    pq.write_table(pa.table({"doc_id": list(range(2_000)), "text": texts}), tmp_path / "documents.parquet")
+    tasks = tables.text_tasks(spark, str(tmp_path), "documents")
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for build in (models.temperature_weights, models.select_top_p, models.sample_candidate, models.block_repeat_ngrams, models.select_top_k):
+        parts = build(spark, str(tmp_path)).select(F.spark_partition_id().alias("part")).distinct().count()
+        assert parts > tasks * 0.8, build.__name__
