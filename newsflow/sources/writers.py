@@ -26,8 +26,11 @@ def write_eval_predictions(
 
 
 def zip_predictions(predictions: DataFrame, references: DataFrame, id_col: str = "id") -> DataFrame:
-    """``(id, predictions, references)`` joined on the row id: a row per reference, its prediction empty if there is none."""
-    paired = references.join(predictions, id_col, "left")
+    """``(id, predictions, references)`` joined on the row id: a row per reference, its prediction empty if there is none.
+
+    Both sides hold texts and grow alike, and sizes guessed from compressed files say little, so neither is ever broadcast.
+    """
+    paired = references.join(predictions.hint("merge"), id_col, "left")
     return paired.select(id_col, F.coalesce("predictions", F.lit("")).alias("predictions"), "references")
 
 

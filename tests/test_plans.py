@@ -53,3 +53,16 @@ def test_sentences_of_an_article_meet_in_tasks_by_their_length(spark, tmp_path,
     for build in (models.temperature_weights, models.select_top_p, models.sample_candidate, models.block_repeat_ngrams, models.select_top_k):
         parts = build(spark, str(tmp_path)).select(F.spark_partition_id().alias("part")).distinct().count()
         assert parts > tasks * 0.8, build.__name__
+
+
+def test_texts_of_both_sides_are_never_broadcast(spark, tmp_path):
+    """Files that compress well look small: summaries and titles still meet by a merge join."""
+    from newsflow.plans import models
+
+    text = ["A title\nOne sentence here. Two are there. Three come after."] * 300
+    pq.write_table(pa.table({"doc_id": list(range(300)), "text": text, "source": ["s"] * 300, "lang": ["en"] * 300}), tmp_path / "documents.parquet")
+    for build in (models.zip_predictions, models.rouge_n, models.rouge_clipped, models.rouge_l, models.rouge_l_union, models.rouge_corpus, models.compare_runs):
+        df = build(spark, str(tmp_path))
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, build.__name__
