@@ -216,6 +216,45 @@ def test_arcs_do_not_go_as_the_corpus_grows(spark):
     assert model.tokens > 900_000 and {" ".join(words[i:i + k]) for k in (2, 3) for i in range(len(words) - k + 1)} <= grams
 
 
+@pytest.mark.parametrize("numbered,part,bits", [(0, 40, 1 << 20), (4, 40, 1 << 20), (4, 10**6, 64), (1 << 18, 40, 64)])
+def test_words_without_a_number_count_the_same(spark, monkeypatch, numbered, part, bits):
+    """Grams are counted and scored right whichever of their words have numbers, over however many parts."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["a", "b", "Cé", "d", "d", f"w{rng.randint(0, 40)}", f"once{i}"]) for _ in range(rng.randint(0, 60)))) for i in range(80)]
+    rows += [(500, None), (None, "a b d"), (501, ""), (7, "a b d d")]
+
+    def scores():
+        df = docs(spark, rows).withColumn("flag", F.coalesce(F.col("doc_id") % 3 > 0, F.lit(False)))
+        assert not df.schema["flag"].nullable
+        found = lm.score(df, lm.train(df.filter("flag")), keep=["doc_id", "flag"]).collect()
+        return sorted(((r["doc_id"] or -1, r["n_tokens"]), r) for r in found)
+
+    plain = scores()
+    for name, value in (("NUMBERED", numbered), ("PART", part), ("FILTER_BITS", bits), ("MEETING", 50), ("GATHER", 100)):
+        monkeypatch.setattr(lm, name, value)
+    other = scores()
+    assert len(plain) == len(other) == len(rows)
+    for (key, a), (same, b) in zip(plain, other):
+        assert key == same and (a["n_known"], a["train_tokens"], a["flag"]) == (b["n_known"], b["train_tokens"], b["flag"])
+        assert b["base_score"] == pytest.approx(a["base_score"]) and b["score"] == pytest.approx(a["score"])
+
+
+def test_training_keeps_only_the_weights(spark):
+    """What is stored on the way to the weights goes, and grams are stored as numbers."""
+    import pathlib
+
+    from newsflow.session import shared_dir
+
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "newsflow"
+    held = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    before = held()
+    model = lm.train(docs(spark, [(k, PROSE) for k in range(5)]))
+    assert [name.split("-")[0] for name in held() - before] == ["weights"]
+    assert dict(model.table.dtypes) == {"key": "bigint", "c": "bigint", "logs": "double", "more": "double"}
+
+
 def test_language_model_awkward(spark):
     source = docs(spark, awkward())
     assert lm.score(source, lm.train(source)).count() == len(awkward())
