@@ -241,6 +241,34 @@ def test_words_without_a_number_count_the_same(spark, monkeypatch, numbered, par
         assert b["base_score"] == pytest.approx(a["base_score"]) and b["score"] == pytest.approx(a["score"])
 
 
+def test_words_are_split_and_looked_up_per_batch(spark, monkeypatch):
+    """Words come out as ``tokens_of`` gives them, and each distinct one of a batch is looked up once."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = [None, "", " ", "A\tB\x0b c\x1cD  e ", "x\u00c9 y Z", "\n", *["".join(rng.choice("aZ \t\n\u00e9\u3000") for _ in range(rng.randint(0, 30))) for _ in range(200)]]
+    whole = pa.array(texts)
+    for column in (whole, whole.slice(3, 50), pa.array(texts, pa.large_string()), pa.array([None], pa.string()), pa.array([], pa.string()), pa.array([b"\xff A \xc3", b"b"])):
+        words, sizes = lm.split_words(column)
+        want = [lm.tokens_of(b if isinstance(b, bytes) or b is None else b.encode())[:-1] for b in column.to_pylist()]
+        assert words.to_pylist() == [w for own in want for w in own] and sizes.tolist() == [len(own) for own in want]
+    known = lm.Words([b"", b"b", b"\xef\xbf\xbd"], [3, 2, 1])
+    looked_up, hashed = [], lm._hashed
+    monkeypatch.setattr(lm, "_hashed", lambda words: looked_up.append(len(words)) or hashed(words))
+    ids, doc = known.keys(pa.array(["a B " * 500, None, "b"]))
+    assert looked_up == [2] and len(ids) == 1007 and ids[[0, 2, 1001, 1002, 1003, 1004, 1005, 1006]].tolist() == [1, 2, 1, 1, 1, 1, 2, 1]
+    assert (ids[1:1001:2] == ids[1]).all() and ids[1] < 0 and np.bincount(doc).tolist() == [1002, 2, 3]
+    assert known.keys(pa.array([b"\xff"]))[0].tolist() == [1, 3, 1]
+
+
+def test_weights_of_trigrams_are_not_stored_on_the_way(spark, monkeypatch):
+    """Trigrams meet the bigrams that they begin with in one shuffle; between counts and weights only bigrams and the words' backoff weights are stored."""
+    staged, stage = [], lm.stage
+    monkeypatch.setattr(lm, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    lm.train(docs(spark, [(k, PROSE) for k in range(3)]))
+    assert staged == ["words", "keys", "grams", "bigrams", "backoff"]
+
+
 def test_training_keeps_only_the_weights(spark):
     """What is stored on the way to the weights goes, and grams are stored as numbers."""
     import pathlib
