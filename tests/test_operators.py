@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 
 import pytest
@@ -567,3 +568,57 @@ def test_training_rows_need_a_label(spark):
     df = spark.createDataFrame([(1, 1, ["a"]), (2, None, ["b"]), (3, 0, ["c"])], "id long, label int, tokens array<string>")
     with pytest.raises(Exception, match="without a label"):
         linear.fit_svm(df, F.col("tokens"))
+
+
+def test_terms_in_slices_take_few_jobs(spark, monkeypatch):
+    """Coefficients beyond a broadcast: a step is at most four jobs, several slices and ranges give the minimum of plain descent, nothing is left behind."""
+    import numpy as np
+
+    from newsflow.operators import linear
+
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(linear, "LEAST_ENTRIES", 300)
+    monkeypatch.setattr(linear, "RANGE_ROWS", 16)
+    rows, df = planted_texts(spark, 90, seed=8)
+    rows = [(i, t, i % 3 if i % 5 else 0) for i, t, _ in rows]
+    df = spark.createDataFrame(rows, "id bigint, text string, label int").withColumn("tokens", F.split("text", " "))
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir')}/newsflow"
+    folder = folder.removeprefix("file://")
+    context = spark.sparkContext
+    context.setJobGroup("sliced-jobs", "training")
+    model = linear.fit_logistic(df, F.col("tokens"), 3, reg=1e-2, gap=1e-4)
+    jobs = len(context.statusTracker().getJobIdsForGroup("sliced-jobs"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 40 + 4 * model.steps and model.steps <= 60 and model.gap <= 1e-4
+    assert not [x for x in os.listdir(folder) if x.startswith(("linear_slices", "linear_state"))]
+    x, terms = dense(rows)
+    y = np.eye(3)[[r[2] for r in rows]]
+    w, b = np.zeros((len(terms), 3)), np.zeros(3)
+    for _ in range(5_000):
+        m = np.exp(x @ w + b)
+        e = (m / m.sum(1, keepdims=True) - y) / len(rows)
+        w, b = w - 0.9 * (1e-2 * w + x.T @ e), b - 0.9 * e.sum(0)
+    m = x @ w + b
+    least = np.mean(np.log(np.exp(m).sum(1)) - (m * y).sum(1)) + 5e-3 * (w**2).sum()
+    assert least <= model.objective * (1 + 1e-9) and model.objective <= least * 1.0002
+    found = {r["term"]: r["coefs"] for r in model.terms.collect()}
+    assert np.allclose([found[t] for t in terms], w, atol=0.02)
+
+
+def test_slices_of_rows_without_ids_terms_or_labels(spark, monkeypatch):
+    """The idf of other rows, repeated and null ids and empty rows: as with broadcast coefficients. A row needs a label."""
+    from newsflow.operators import linear
+
+    rows = [(i % 40 if i % 9 else None, i % 2, [f"w{i % 5}", f"x{i % 2}", f"x{i % 2}", f"only{i}"] if i % 13 else []) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, label int, tokens array<string>")
+    other = df.filter("id % 3 > 0").unionByName(spark.createDataFrame([(99, 0, ["new"]), (100, 1, ["w1", None])], df.schema))
+    found = []
+    for limit in (lookup.MAX_BROADCAST_BYTES, 0):
+        monkeypatch.setattr(lookup, "MAX_BROADCAST_BYTES", limit)
+        monkeypatch.setattr(linear, "LEAST_ENTRIES", 20)
+        found.append(linear.fit_linear(df, F.col("tokens"), 1, linear.squared_hinge, 1e-2, idf_rows=other, gap=1e-6))
+    assert abs(found[0].objective - found[1].objective) <= 2e-6 * found[1].objective
+    one, two = ({r["term"]: r["coefs"][0] for r in m.terms.collect()} for m in found)
+    assert one.keys() == two.keys() and all(abs(one[t] - two[t]) < 1e-2 for t in one) and two["new"] == 0.0
+    with pytest.raises(Exception, match="without a label"):
+        linear.fit_svm(spark.createDataFrame([(1, 1, ["a"]), (2, None, ["b"])], df.schema), F.col("tokens"))
